@@ -31,7 +31,8 @@ def exact_groups(docs: DataFrame, salts: int | None = None) -> DataFrame:
     )
     answer = groups.select("digest", "keep_id", "group_size", F.inline("salted")).withColumnsRenamed({"digest": "a_digest", "salt": "a_salt", "winner": "a_winner"})
     members = salted.select("digest", "salt", F.array_max("ids")["doc_id"].alias("winner"), F.sort_array("ids", asc=False).alias("ids"))
-    same = (F.col("digest") == F.col("a_digest")) & (F.col("salt") == F.col("a_salt")) & F.col("winner").eqNullSafe(F.col("a_winner"))
+    # null-safe on all keys: plain equality would put a not-null filter below one use of the salted groups, which then are not shared
+    same = F.col("digest").eqNullSafe(F.col("a_digest")) & F.col("salt").eqNullSafe(F.col("a_salt")) & F.col("winner").eqNullSafe(F.col("a_winner"))
     return (
         members.join(answer, same)
         .select("keep_id", "group_size", "winner", F.col("digest").alias("text_sha256"), F.posexplode("ids").alias("at", "id"))
