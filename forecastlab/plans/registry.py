@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import features, prices, scalars  # noqa: F401
+from .base import ORACLE_SQL, QUERIES  # noqa: F401
+
 FLAGSHIP = "a5_scorecard"
