@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import features, prices, scalars  # noqa: F401
+from . import features, prices, scalars, scoring  # noqa: F401
 from .base import ORACLE_SQL, QUERIES  # noqa: F401
 
 FLAGSHIP = "a5_scorecard"
