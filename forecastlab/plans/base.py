@@ -72,6 +72,20 @@ VIEWS = {
                CASE WHEN l_linenumber = 5 THEN NULL ELSE ROUND(l_tax * 6e0 - 2e-1, 3) END AS drift, CASE WHEN l_linenumber = 4 THEN NULL ELSE l_extendedprice / 1e5 END AS volatility,
                CASE WHEN l_returnflag = 'A' THEN 1 ELSE 0 END AS won
         FROM {lineitem}""",
+    # Pairs of candidates: a contest an order, with both sides' records, rates, ages, ratings, and a forecast and a price.
+    "pairs": """
+        SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'O' THEN 'atp' WHEN 'F' THEN 'wta' ELSE 'itf' END AS tour, CAST(date_trunc('month', o_orderdate) AS DATE) AS day,
+               CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE CAST(o_orderkey % 5 AS STRING) END AS surface, o_orderkey % 9 AS round_id, CASE WHEN o_orderkey % 4 = 0 THEN 5 ELSE 3 END AS best_of,
+               CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE 100 + CAST(FLOOR(o_totalprice) AS BIGINT) % 5000 END AS a_points, CASE WHEN o_orderkey % 19 = 0 THEN 0 ELSE 100 + (CAST(FLOOR(o_totalprice) AS BIGINT) * 7 + o_custkey) % 5000 END AS b_points,
+               o_orderkey % 11 AS a_form_n, CAST(FLOOR((o_orderkey % 11) * (o_custkey % 5) / 4e0) AS BIGINT) AS a_form_w, (o_orderkey + 3) % 11 AS b_form_n, CAST(FLOOR(((o_orderkey + 3) % 11) * (o_custkey % 3) / 2e0) AS BIGINT) AS b_form_w,
+               o_orderkey % 10 AS a_surf_n, CAST(FLOOR((o_orderkey % 10) * (o_custkey % 6) / 5e0) AS BIGINT) AS a_surf_w, (o_custkey + 2) % 10 AS b_surf_n, CAST(FLOOR(((o_custkey + 2) % 10) * (o_orderkey % 3) / 2e0) AS BIGINT) AS b_surf_w,
+               o_orderkey % 31 AS a_all_n, CAST(FLOOR((o_orderkey % 31) * (o_custkey % 7) / 6e0) AS BIGINT) AS a_all_w, o_custkey % 29 AS b_all_n, CAST(FLOOR((o_custkey % 29) * (o_orderkey % 4) / 3e0) AS BIGINT) AS b_all_w,
+               CASE WHEN o_custkey % 21 = 0 THEN NULL ELSE 6e-1 + (o_custkey % 20) / 1e2 END AS a_serve, 6e-1 + (o_orderkey % 20) / 1e2 AS b_serve, 25e-2 + (o_custkey % 12) / 1e2 AS a_ret, 25e-2 + (o_orderkey % 12) / 1e2 AS b_ret,
+               (o_custkey % 50) / 5e1 AS a_decider, CASE WHEN o_orderkey % 12 = 0 THEN NULL ELSE (o_orderkey % 50) / 5e1 END AS b_decider, (o_custkey % 40) / 4e1 AS a_tiebreak, (o_orderkey % 40) / 4e1 AS b_tiebreak,
+               CAST(18 + o_custkey % 20 AS DOUBLE) AS a_age, CASE WHEN o_orderkey % 14 = 0 THEN NULL ELSE CAST(18 + o_orderkey % 20 AS DOUBLE) END AS b_age, o_custkey % 60 AS a_last_days, CASE WHEN o_orderkey % 18 = 0 THEN NULL ELSE o_orderkey % 60 END AS b_last_days,
+               CAST(1400 + o_custkey % 300 AS DOUBLE) AS a_elo, CAST(1400 + o_orderkey % 300 AS DOUBLE) AS b_elo, o_orderkey % 8 AS meetings, CAST(FLOOR((o_orderkey % 8) * (o_custkey % 4) / 3e0) AS BIGINT) AS a_h2h_wins,
+               CASE WHEN o_orderkey % 15 = 0 THEN NULL ELSE 5e-2 + (o_orderkey % 91) / 1e2 END AS p, 5e-2 + (o_custkey % 90) / 1e2 AS m, CASE WHEN (o_orderkey % 7) * 3 % 5 < 3 THEN 1 ELSE 0 END AS won
+        FROM {orders}""",
     "names": """
         SELECT s_suppkey AS id, s_name || ' O''Né-' || CASE s_suppkey % 4 WHEN 0 THEN 'Ångström' WHEN 1 THEN 'de  la Cruz' WHEN 2 THEN 'Müller' ELSE 'Li' END AS name, 'Cup ' || CAST(s_nationkey AS STRING) || ': ' || s_name || CASE WHEN s_suppkey % 3 = 0 THEN ' vs. ' ELSE ' vs ' END || CASE WHEN s_suppkey % 7 = 0 THEN '' ELSE 'Other ' || CAST(s_suppkey % 11 AS STRING) END AS title FROM {supplier}""",
     "calls": """

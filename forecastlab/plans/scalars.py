@@ -8,6 +8,9 @@ from forecastlab.functions import decision as D
 from forecastlab.functions import probability as P
 from forecastlab.functions import score as S
 from forecastlab.functions import text as X
+from forecastlab.operators.markets import both_sides
+from forecastlab.operators.player_rows import match_stats
+from forecastlab.operators.usage import priced
 
 from .base import query
 
@@ -149,7 +152,7 @@ scalar("f37_winning_index", "forecasts", {"i": X.winning_index(X.parse_json_list
 scalar("f38_market_state", "markets", {"state": D.market_state(c("accepting"), c("closed"))}, "CASE WHEN closed THEN 'CLOSED' WHEN accepting THEN 'OPEN' ELSE 'HALTED' END AS state", keys="event_id market_no")
 query(
     "f39_invert_no_side", "SELECT event_id, market_no, 'yes' AS side, bid, ask, bid_size, ask_size FROM markets UNION ALL SELECT event_id, market_no, 'no', 1 - ask, 1 - bid, ask_size, bid_size FROM markets", "bid ask",
-)(lambda t: __import__("forecastlab.operators.markets", fromlist=["both_sides"]).both_sides(t("markets")).select("event_id", "market_no", "side", "bid", "ask", "bid_size", "ask_size"))
+)(lambda t: both_sides(t("markets")).select("event_id", "market_no", "side", "bid", "ask", "bid_size", "ask_size"))
 scalar("f40_mid_and_notional", "markets", {"mid": D.mid(c("bid"), c("ask")), "notional": c("bid") * c("bid_size")}, "(bid + ask) / 2 AS mid, bid * bid_size AS notional", "mid notional", keys="event_id market_no")
 _arr = lambda n: F.array_repeat(F.lit("x"), n.cast("int"))
 scalar(
@@ -171,7 +174,7 @@ scalar("f46_grade_form", "forecasts", {"grade": D.grade_form(c("defens"), c("sup
 query(
     "f47_token_cost",
     "SELECT event_id, (coalesce(tokens_in, 0) * i + coalesce(tokens_out, 0) * o + coalesce(tokens_cached, 0) * k + coalesce(tokens_written, 0) * w) / 1e6 AS cost FROM calls LEFT JOIN (VALUES ('view', 3.0, 15.0, 0.3, 3.75), ('click', 1.0, 5.0, 0.1, 1.25), ('error', 0.25, 1.25, 0.03, 0.3)) AS r(model, i, o, k, w) USING (model)", "cost",
-)(lambda t: __import__("forecastlab.operators.usage", fromlist=["priced"]).priced(t("calls"), t.spark.createDataFrame([("view", 3.0, 15.0, 0.3, 3.75), ("click", 1.0, 5.0, 0.1, 1.25), ("error", 0.25, 1.25, 0.03, 0.3)], "model string, r_in double, r_out double, r_cached double, r_written double")).select("event_id", "cost"))
+)(lambda t: priced(t("calls"), t.spark.createDataFrame([("view", 3.0, 15.0, 0.3, 3.75), ("click", 1.0, 5.0, 0.1, 1.25), ("error", 0.25, 1.25, 0.03, 0.3)], "model string, r_in double, r_out double, r_cached double, r_written double")).select("event_id", "cost"))
 _TXT = F.element_at(F.array(*map(F.lit, [" 1.5 ", "x", "", "2e3"])), (c("partkey") % 4 + 1).cast("int"))
 _TIME = F.element_at(F.array(*map(F.lit, ["2024-01-02T03:04:05", "nope", "2024-13-01", " 2020-02-29 00:00:00 "])), (c("partkey") % 4 + 1).cast("int"))
 scalar(
@@ -183,7 +186,7 @@ query(
     "f50_per_match_stats",
     """SELECT match_id, p1 AS subject, p1_fs_won / p1_fs_in AS fs_win, CASE WHEN p2_bp_of > 0 THEN (p2_bp_of - p2_bp_conv) / p2_bp_of END AS bp_saved FROM matches
        UNION ALL SELECT match_id, p2, p2_fs_won / p2_fs_in, CASE WHEN p1_bp_of > 0 THEN (p1_bp_of - p1_bp_conv) / p1_bp_of END FROM matches""", "fs_win bp_saved",
-)(lambda t: __import__("forecastlab.operators.player_rows", fromlist=["match_stats"]).match_stats(t("matches")))
+)(lambda t: match_stats(t("matches")))
 _CELLS = F.map_from_arrays(F.array(F.lit("2021"), F.lit("career"), c("year")), F.array(*[F.struct(w.cast("int").alias("w"), x.cast("int").alias("l")) for w, x in ((F.lit(9), F.lit(9)), (F.lit(5), F.lit(5)), (c("partkey") % 3, c("suppkey") % 3))]))
 query(
     "f51_latest_year_cells", "SELECT event_id, CASE WHEN line_no % 2 = 0 THEN 9 WHEN partkey % 3 + suppkey % 3 > 0 THEN CAST(partkey % 3 AS INT) END AS w, CASE WHEN line_no % 2 = 0 THEN 9 WHEN partkey % 3 + suppkey % 3 > 0 THEN CAST(suppkey % 3 AS INT) END AS l FROM forecasts",
