@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decisions, features, prices, scalars, scoring, selection  # noqa: F401
+from . import decisions, features, models, prices, scalars, scoring, selection  # noqa: F401
 from .base import ORACLE_SQL, QUERIES  # noqa: F401
 
 FLAGSHIP = "a5_scorecard"
