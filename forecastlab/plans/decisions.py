@@ -16,11 +16,11 @@ from .base import query
 from .scalars import CAND, EV, EV_GRADE, RISK, RISK_GRADE
 
 c = F.col
-_RISK = D.risk_score(c("p"), c("defens"), c("gap_market"), c("is_a"), 1.6, c("gap_model"))
 
 
 def graded(t):
-    return t("forecasts").withColumns({"score": _RISK, "risk_bucket": D.risk_bucket(_RISK), "ev_bucket": D.classify_ev(c("p"), c("m"))})
+    risk = D.risk_score(c("p"), c("defens"), c("gap_market"), c("is_a"), 1.6, c("gap_model"))
+    return t("forecasts").withColumns({"score": risk, "risk_bucket": D.risk_bucket(risk), "ev_bucket": D.classify_ev(c("p"), c("m"))})
 
 
 ROW = "event_id, partkey, suppkey"
@@ -64,7 +64,6 @@ query("j5_resolutions_all_runs", f"SELECT f.event_id, count(*) AS n FROM forecas
 query("j6_post_facts", "SELECT id AS event_id, a_serve - 0.05 AS serve_baseline, CASE WHEN id % 3 > 0 THEN b_serve END AS serve_actual, CASE WHEN id % 3 > 0 THEN b_serve END - (a_serve - 0.05) AS serve_divergence, CASE WHEN id % 3 > 0 THEN b_ret END - a_ret AS ret_divergence FROM pairs", "serve_baseline serve_actual serve_divergence ret_divergence")(
     lambda t: R.join_post_facts(t("pairs").select(c("id").alias("event_id"), (c("a_serve") - 0.05).alias("serve_baseline"), c("a_ret").alias("ret_baseline")), t("pairs").filter("id % 3 > 0").select(c("id").alias("event_id"), c("b_serve").alias("serve_actual"), c("b_ret").alias("ret_actual")), ["serve", "ret"]).select("event_id", "serve_baseline", "serve_actual", "serve_divergence", "ret_divergence")
 )
-_A, _B = F.concat(F.lit("player"), (c("id") % 50).cast("string")), F.concat(F.lit("rival"), (c("id") % 7).cast("string"))
 FX = "SELECT p.o_orderkey AS fixture_id, CASE WHEN o_orderkey % 2 = 0 THEN 'atp' ELSE 'wta' END AS tour, CAST(o_orderdate AS DATE) AS day, 'player' || CAST(o_orderkey % 50 AS VARCHAR) || '|' || 'rival' || CAST(o_orderkey % 7 AS VARCHAR) AS pair FROM orders p"
 
 

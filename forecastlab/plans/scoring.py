@@ -65,7 +65,7 @@ for mode, low, high in (("tail", 0.0, 0.2), ("ev", 0.3, 0.65), ("confidence", 0.
 query(
     "a23_flow_tier_retro",
     f"WITH r AS (SELECT won, p, {FLOW} AS tier FROM forecasts WHERE won IS NOT NULL) SELECT tier, count(*) AS n, avg(won) AS hit_rate, avg((p - won) ** 2) AS brier, avg(won) - (SELECT avg(won) FROM r) AS delta FROM (SELECT * FROM r UNION ALL SELECT won, p, 'all' FROM r) GROUP BY tier", "hit_rate brier delta",
-)(lambda t: S.flow_tier_retro(t("forecasts"), D.flow_tier(NOTABLE, SMART)))
+)(lambda t: S.flow_tier_retro(t("forecasts"), D.flow_tier(NOTABLE(), SMART())))
 query(
     "a41_shift_grading",
     " UNION ALL ".join(f"SELECT event_id, '{s}' AS shift, {s} AS value, CASE WHEN abs({s}) >= .005 AND won IS NOT NULL THEN ({s} > 0) = (won = 1) END AS correct FROM forecasts" for s in ("gap_model", "gap_market")), "value",
