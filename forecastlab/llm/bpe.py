@@ -16,10 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices
-from .pretokenize import boundaries
+from .pretokenize import pre_tokens
 
-#: Pre-tokens whose ids a worker remembers: a bound on its memory, beyond which it merges anew.
+#: Pre-tokens whose ids a worker remembers in each of two generations: a bound on its memory, beyond which it merges anew.
 REMEMBERED = 300_000
+#: Longer pre-tokens are not remembered.
+LONGEST = 64
 
 
 @cache
@@ -69,25 +71,44 @@ def _merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p, live in zip(part, alive) if live]
 
 
-class Pieces(dict):
-    """Pre-token to its ids as little-endian unsigned 32-bit bytes; remembers a bounded number."""
+class Remembered(dict):
+    """A bounded memory of what pre-tokens give: full, it becomes the older generation, from which what is used again moves back."""
+
+    def __init__(self):
+        super().__init__()
+        self.older: dict[bytes, bytes] = {}
+
+    def keep(self, piece: bytes, ids: bytes) -> bytes:
+        if len(piece) <= LONGEST:
+            if len(self) >= REMEMBERED:
+                self.older = dict(self)
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
+class Pieces(Remembered):
+    """Pre-token to its ids as little-endian unsigned 32-bit bytes."""
 
     def __init__(self, ranks: dict[bytes, int]):
         super().__init__()
         self.ranks = ranks
 
     def __missing__(self, piece: bytes) -> bytes:
-        ids = pack("<%dI" % len(found := merge(piece, self.ranks)), *found)
-        if len(self) >= REMEMBERED:
-            self.clear()
-        if len(piece) <= 64:
-            self[piece] = ids
-        return ids
+        if (ids := self.older.get(piece)) is None:
+            ids = pack("<%dI" % len(found := merge(piece, self.ranks)), *found)
+        return self.keep(piece, ids)
+
+
+@cache
+def pieces_of(path: str) -> Pieces:
+    """The worker's memory for a rank file; it outlives tasks."""
+    return Pieces(load_ranks(path))
 
 
 def encode(texts: list[str], pieces: dict) -> list[bytes]:
     """The ids of each text as little-endian unsigned 32-bit bytes."""
-    return [b"".join(map(pieces.__getitem__, [data[a:b] for a, b in zip(at, at[1:])])) for data, at in boundaries(texts)]
+    return [b"".join(map(pieces.__getitem__, cut_up)) for cut_up in pre_tokens(texts)]
 
 
 @cache
@@ -117,7 +138,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, group: int = 64) -> DataF
     kinds = {"doc_id": pa.int64(), "n_tokens": pa.int64(), "ids": pa.binary(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, table = Pieces(load_ranks(ranks_path)), token_table(ranks_path)
+        pieces, table = pieces_of(ranks_path), token_table(ranks_path)
         for batch in batches:
             for part in slices(batch, group):
                 ids = encode([t or "" for t in part.column(1).to_pylist()], pieces)

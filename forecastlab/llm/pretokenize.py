@@ -66,34 +66,36 @@ def states_before(symbol: np.ndarray, width: int = 64) -> np.ndarray:
     composed side by side, the rows' functions are composed pair by pair in doubling strides, and each row then runs
     from the state that the rows before it leave.
     """
-    _, to, _ = _tables()
+    to = _tables()[1].reshape(-1).astype(np.intp)
     n = len(symbol)
     rows = -(-n // width)
-    grid = np.full(rows * width, S_END, dtype=np.uint8)
+    grid = np.full(rows * width, S_END, dtype=np.intp)
     grid[:n] = symbol
-    grid = np.ascontiguousarray(grid.reshape(rows, width).T)
-    whole = np.tile(np.arange(8, dtype=np.uint8), (rows, 1))
+    grid = np.ascontiguousarray(grid.reshape(rows, width).T) * 8
+    whole = np.tile(np.arange(8, dtype=np.intp)[:, None], (1, rows))
     for column in grid:
-        whole = to[column[:, None], whole]
+        whole = to.take(column + whole)
+    whole = np.ascontiguousarray(whole.T)
     stride = 1
     while stride < rows:
-        whole[stride:] = np.take_along_axis(whole[stride:], whole[:-stride].astype(np.intp), axis=1)
+        whole[stride:] = np.take_along_axis(whole[stride:], whole[:-stride], axis=1)
         stride *= 2
-    state = np.concatenate([np.zeros(1, dtype=np.uint8), whole[:-1, NONE]])
+    state = np.concatenate([np.zeros(1, dtype=np.intp), whole[:-1, NONE]])
     out = np.empty((width, rows), dtype=np.uint8)
     for k, column in enumerate(grid):
         out[k] = state
-        state = to[column, state]
+        state = to.take(column + state)
     return out.T.reshape(-1)[:n]
 
 
-def boundaries(texts: list[str]) -> list[tuple[bytes, list[int]]]:
+def boundaries(texts: list[str]) -> list[tuple[bytes, np.ndarray]]:
     """For each text its UTF-8 bytes and the byte offsets of its tokens' starts, and of the end."""
     end = 0x10FFFF  # a noncharacter; a text that has it is taken by itself
     odd = [i for i, t in enumerate(texts) if chr(end) in t]
     if odd and len(texts) > 1:
         return [boundaries([t])[0] for t in texts]
-    end = 0x110000 - 1 if not odd else next(c for c in range(0xE000, 0x110000) if chr(c) not in texts[0])
+    if odd:
+        end = next(c for c in range(0xE000, 0x110000) if chr(c) not in texts[0])
     points = np.frombuffer((chr(end).join(texts) + chr(end)).encode("utf-32-le"), dtype=np.uint32)
     symbol = _symbols(points, end)
     start = _tables()[2][symbol, states_before(symbol)]
@@ -106,6 +108,15 @@ def boundaries(texts: list[str]) -> list[tuple[bytes, list[int]]]:
     out, first, base = [], 0, 0
     for text, last in zip(texts, split.tolist()):
         data = text.encode()
-        out.append((data, [*(offset[at[first:last]] - base).tolist(), len(data)]))
+        out.append((data, np.append(offset[at[first:last]] - base, len(data))))
         first, base = last + 1, base + len(data)
     return out
+
+
+def pre_tokens(texts: list[str]) -> list[list[bytes]]:
+    """Each text's pre-tokens. A byte that UTF-8 never has is put between them, and the text is split there."""
+    out = []
+    for data, at in boundaries(texts):
+        marked = np.insert(np.frombuffer(data, dtype=np.uint8), at[1:-1], 0xFF)
+        out.append(marked.tobytes().split(b"\xff") if data else [])
+    return out

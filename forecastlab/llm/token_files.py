@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
-from struct import Struct
+from functools import cache
+from struct import Struct, pack
 from uuid import uuid4
 from zlib import crc32
 
@@ -13,9 +15,9 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import REMEMBERED
+from .bpe import Remembered
 from .common import id_buckets, in_buckets
-from .pretokenize import boundaries
+from .pretokenize import pre_tokens
 
 MAGIC, HEAD = b"IDPLANE1", Struct("<8sIIQQ")
 #: Ids in a block, and what a block is cut into: 4 byte planes or 32 bit planes.
@@ -72,32 +74,38 @@ def unpack_ids(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return out, lengths
 
 
-class LibraryPieces(dict):
-    """Pre-token to ids by the tokenizers library; remembers a bounded number. Byte-level BPE encodes each pre-token by itself."""
+class LibraryPieces(Remembered):
+    """Pre-token to ids by the tokenizers library. Byte-level BPE encodes each pre-token by itself."""
 
     def __init__(self, path: str):
-        import os
-
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
 
-    def learn(self, pieces: set[bytes]) -> None:
-        if len(self) > REMEMBERED:
-            self.clear()
-        new = [p for p in pieces if p not in self]
+    def learn(self, pieces: set[bytes]) -> dict[bytes, bytes]:
+        """The ids of pre-tokens that are not in the younger generation: from the older one, or from one call of the library."""
+        found = {p: self.keep(p, ids) for p in pieces if (ids := self.older.get(p)) is not None}
+        new = [p for p in pieces if p not in found]
         for p, e in zip(new, self.tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False)):
-            self[p] = np.array(e.ids, dtype="<u4").tobytes()
+            found[p] = self.keep(p, pack("<%dI" % len(ids := e.ids), *ids))
+        return found
+
+
+@cache
+def library_pieces(path: str) -> LibraryPieces:
+    """The worker's memory for a tokenizer file; it outlives tasks."""
+    return LibraryPieces(path)
 
 
 def encode_with_library(texts: list[str], known: LibraryPieces) -> list[bytes]:
     """The ids of each text as little-endian unsigned 32-bit bytes: those of its pre-tokens, each new one encoded once."""
-    cut_up = [[data[a:b] for a, b in zip(at, at[1:])] for data, at in boundaries(texts)]
-    known.learn(set().union(*cut_up))
-    return [b"".join(map(known.__getitem__, pieces)) for pieces in cut_up]
+    cut_up = pre_tokens(texts)
+    got = [list(map(known.get, pieces)) for pieces in cut_up]
+    new = known.learn({p for pieces, ids in zip(cut_up, got) if None in ids for p, i in zip(pieces, ids) if i is None})
+    return [b"".join([new[p] if i is None else i for p, i in zip(pieces, ids)] if None in ids else ids) for pieces, ids in zip(cut_up, got)]
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | None = 2, per_shard: int = 2_000, ids_per_file: int = 1_000_000) -> None:
@@ -117,7 +125,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     names = ["shard", "file", "ids", "n_ids", "data"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, shard, file, ids, parts, size = LibraryPieces(tokenizer_path), None, 0, [], [], 0
+        known, shard, file, ids, parts, size = library_pieces(tokenizer_path), None, 0, [], [], 0
 
         def close() -> pa.RecordBatch:
             all_ids = np.frombuffer(b"".join(parts), dtype="<u4")
