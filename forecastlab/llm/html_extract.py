@@ -35,9 +35,17 @@ MARKS = set(
     "cookie cookies consent gdpr notice alert popup modal overlay dialog newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments reply replies "
     "discussion disqus widget search form pagination pager toolbar copyright legal contentinfo complementary skip hidden tagcloud feedback respond".split()
 )
+#: Beginnings of such words, as in commentlist or advertisement2.
+MARK_STARTS = ("advert", "breadcrumb", "comment", "cookie", "navbar", "newsletter", "popup", "promo", "sidebar", "sponsor", "subscri")
 CONTENT = set("article content main post entry story body text".split())
 
 
+def is_marked(words: set[str], in_article: bool) -> bool:
+    """Whether words of class, id and role mark an element as no article text. An article's own header holds its heading."""
+    found = {w for w in words if w in MARKS or w.startswith(MARK_STARTS)}
+    return bool(found - {"header"} if in_article else found)
+
+
 @dataclass
 class Node:
     """An element of a wrapper. text: None, a constant, or True for a slot; least: 0 if optional; many: whether it repeats."""
@@ -160,7 +168,8 @@ def read(page: str) -> tuple[Node, list[tuple[str, str, bool, bool]]]:
         own = _attributes(m[3])
         marks = {w for k in ("class", "id", "role") for w in re.findall(r"[a-z]+", own.get(k, "").lower())}
         unseen = "hidden" in own or own.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", own.get("style", ""), re.I) is not None
-        if name in INLINE and not (unseen or marks & MARKS):
+        in_article = any(o.name in ("article", "main") for o in stack)
+        if name in INLINE and not (unseen or is_marked(marks, in_article)):
             continue
         if name in VOID:
             flush()
@@ -176,10 +185,9 @@ def read(page: str) -> tuple[Node, list[tuple[str, str, bool, bool]]]:
             close(k)
         top = stack[-1]
         key = name + "".join("." + re.sub(r"\d+", "0", w) for w in sorted(own.get("class", "").lower().split())[:3])
-        in_article = any(o.name in ("article", "main") for o in stack)
         whole = name in ("html", "body", "main", "article")
         dropped = name in DROPPED or unseen or name == "header" and not in_article
-        stack.append(Open(name, Node(key), f"{top.path}/{key}", top.dropped or dropped, top.marked or bool(marks & MARKS and not whole)))
+        stack.append(Open(name, Node(key), f"{top.path}/{key}", top.dropped or dropped, top.marked or is_marked(marks, in_article) and not whole))
     close(1)
     return root, blocks
 
@@ -196,7 +204,8 @@ def profile(wrapper: Node, pages: int) -> dict:
 
     def walk(node: Node, path: str) -> float:
         name, *classes = node.key.split(".")
-        if name in DROPPED or name == "header" or any(w in MARKS for c in classes for w in re.findall("[a-z]+", c)):
+        inside = re.search(r"/(article|main)\b", path.rpartition("/")[0]) is not None
+        if name in DROPPED or name == "header" and not inside or name not in ("html", "body", "main", "article") and is_marked({w for c in classes for w in re.findall("[a-z]+", c)}, inside):
             return 0
         for tag in ("article", "main"):
             if name == tag:
