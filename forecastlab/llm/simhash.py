@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import cut, in_buckets, join_hot, slices  # noqa: F401
+from .common import cut, join_hot, slices
 from .components import components
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c in range(256))
@@ -183,12 +183,18 @@ def near_groups(docs: DataFrame, words: int = 4, bits: int = 4) -> DataFrame:
 def drop_near_copies(docs: DataFrame, words: int = 4, bits: int = 4) -> DataFrame:
     """docs with one row of each component of near_groups: that with the smallest doc_id. All columns stay.
 
-    Rows without doc_id are kept, for no smallest one is among them, unless their component has another.
+    Rows without a doc_id go where their component has one; of others, each distinct text stays once. Of rows that repeat
+    a doc_id, one stays.
     """
-    groups = near_groups(docs, words, bits).filter(F.col("doc_id").isNotNull() & (F.col("doc_id") == F.col("component_id")))
-    keep = groups.select(F.col("doc_id").alias("_keep")).distinct()
+    groups = cut(near_groups(docs, words, bits))
+    keep = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
     firsts = docs.join(keep, F.col("doc_id") == F.col("_keep"), "left_semi")
-    ids = firsts.groupBy("doc_id").count().filter("count > 1")
-    if ids.isEmpty():
+    if not firsts.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        firsts = firsts.dropDuplicates(["doc_id"])
+    unnamed = groups.filter("component_id IS NULL").select(F.col("fp").alias("_fp")).distinct()
+    if unnamed.isEmpty():
         return firsts
-    return firsts.dropDuplicates(["doc_id"])
+    mark = F.xxhash64("text")
+    nulls = docs.filter("doc_id IS NULL").dropDuplicates(["text"])
+    marks = fingerprints(nulls.select(mark.alias("doc_id"), "text"), words).join(unnamed, F.col("fp") == F.col("_fp"), "left_semi").select(F.col("doc_id").alias("_keep"))
+    return firsts.unionByName(nulls.join(marks.distinct(), mark == F.col("_keep"), "left_semi"))

@@ -252,6 +252,8 @@ def test_simhash_awkward(spark):
     kept = simhash.drop_near_copies(docs_of(spark, AWKWARD))
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 4, 7, 8, 9, 10]
     assert simhash.near_groups(docs_of(spark, [])).count() == 0
+    unnamed = docs_of(spark, [(None, "x y", None), (None, "x y", None), (1, "z", None), (1, "z", None)])
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in simhash.drop_near_copies(unnamed).collect()) == [(0, "x y"), (1, "z")]
 
 
 # --- 5 weighted sampling
