@@ -43,17 +43,18 @@ def exact_groups(docs: DataFrame, salts: int | None = None) -> DataFrame:
     )
 
 
-def drop_exact_copies(docs: DataFrame) -> DataFrame:
-    """docs without the rows whose text a kept row has, by exact_groups; all columns stay.
+def drop_exact_copies(docs: DataFrame, salts: int | None = None) -> DataFrame:
+    """docs without the rows whose text a kept row has; all columns stay. The same three stages as in exact_groups.
 
-    Rows are told apart by doc_id and text. Of rows that repeat both, one stays.
+    Of equal texts (a null one counts as empty) the row with the largest doc_id stays, of several the one whose other
+    columns are largest, in their order, which their types must have. The rest of a row goes along with its text, so
+    nothing is joined back. A kept null text stays null.
     """
-    kept = exact_groups(docs).filter("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_digest"))
-    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
-    found = docs.withColumn("_digest", digest).join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (F.col("_digest") == F.col("_kept_digest")), "left_semi")
-    return found.dropDuplicates(["doc_id", "_digest"]).drop("_digest") if _repeats(docs) else found.drop("_digest")
-
-
-def _repeats(docs: DataFrame) -> bool:
-    """Whether a doc_id is in more than one row."""
-    return not docs.groupBy("doc_id").count().filter("count > 1").isEmpty()
+    salts = salts or root_scale(docs.count(), 16, 65_536, by=8)
+    others = ["doc_id", *[c for c in docs.columns if c not in ("doc_id", "text")]]
+    rows = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.struct(*others, F.col("text").isNull().alias("_no_text")).alias("row")).select(
+        "text", "row", F.sha2("text", 256).alias("digest"), F.pmod(F.xxhash64("row.doc_id"), F.lit(salts)).cast("int").alias("salt")
+    )
+    salted = rows.groupBy("digest", "salt", "text").agg(F.max("row").alias("row"))
+    kept = salted.groupBy("digest", "text").agg(F.max("row").alias("row"))
+    return kept.select(*[F.when(~F.col("row._no_text"), F.col("text")).alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
