@@ -125,7 +125,7 @@ def pack(rows: DataFrame, plan: pd.DataFrame, block_words: int) -> DataFrame:
     (source, bucket) and then over buckets, whose number grows as the square root of the rows.
     """
     spark = rows.sparkSession
-    rows = rows.withColumn("h", F.xxhash64("doc_id")).withColumn("bucket", F.pmod("h", F.lit(root_scale(rows.count(), 16, 1_000_000, by=4))))
+    rows = rows.withColumn("h", F.xxhash64("doc_id")).withColumn("bucket", F.pmod("h", F.lit(root_scale(rows.count(), 16, 1_000_000))))
     inside = Window.partitionBy("skey", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     over = Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = rows.groupBy("skey", "bucket").agg(F.sum("size").alias("in_bucket"))
@@ -160,8 +160,9 @@ def mix_counts(docs: DataFrame, block_words: int = 64, **how) -> DataFrame:
     times, so no document exceeds cap times its size; draws are seeded, so reruns agree.
     """
     placed, slots = mix(docs, block_words=block_words, **how)
+    # the hint: slots grow with the input, but Spark takes what Python makes of a range to be as small as the range
     times = slots.groupBy("src", "block").agg(F.count("*").alias("times"))
-    used = pieces(placed, block_words).join(times, ["src", "block"], "left").withColumn("used", F.col("words") * F.coalesce("times", F.lit(0)))
+    used = pieces(placed, block_words).join(times.hint("merge"), ["src", "block"], "left").withColumn("used", F.col("words") * F.coalesce("times", F.lit(0)))
     some = used.groupBy("src", "start", "doc_id", "size", "source_size", "target").agg(F.sum("used").cast("long").alias("taken"))
     none = placed.filter("size = 0").withColumn("taken", F.lit(0).cast("long"))
     out = ["doc_id", "size", "source_size", "target", "taken"]
@@ -184,14 +185,16 @@ def mix_documents(docs: DataFrame, block_words: int = 64, **how) -> DataFrame:
     if plan.empty:
         return docs.limit(0)
     placed, slots = pack(rows, plan, block_words), draw_slots(docs.sparkSession, plan, how["slots_per_shard"], how["seed"])
-    taken = pieces(placed, block_words).join(slots.select("src", "block", "epoch"), ["src", "block"])
+    taken = pieces(placed, block_words).join(slots.select("src", "block", "epoch").hint("merge"), ["src", "block"])
     runs = taken.groupBy("src", "start", "doc_id", "_mark", "size", "epoch").agg(F.sum("words").alias("_taken"), F.sort_array(F.collect_list(F.struct("first", "words"))).alias("_parts"))
     runs = runs.select(F.col("doc_id").alias("_id"), F.col("_mark").alias("_m"), F.col("size").alias("_size"), "_taken", "_parts", "epoch").dropDuplicates(["_id", "_m", "epoch"])
     found = docs.withColumn("_mark", mark).join(runs, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_m")))
-    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
-    some = F.expr("array_join(flatten(transform(_parts, p -> slice(_words, cast(p.first as int) + 1, cast(p.words as int)))), ' ')")
-    text = F.when(F.col("_taken") == F.col("_size"), F.col("text")).otherwise(some)
-    out = found.withColumn("_words", words).withColumn("text", text)
+    # the outer transform binds the words, so that they are found once a row and only in rows that are taken in part
+    some = F.transform(
+        F.array(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))),
+        lambda words: F.array_join(F.flatten(F.transform("_parts", lambda p: F.slice(words, p["first"].cast("int") + 1, p["words"].cast("int")))), " "),
+    )[0]
+    out = found.withColumn("text", F.when(F.col("_taken") == F.col("_size"), F.col("text")).otherwise(some))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))
     return out.select(docs.columns)
