@@ -74,8 +74,18 @@ def unpack_ids(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return out, lengths
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: printable ones for themselves, the others from U+0100 on, in order."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+LETTERS = byte_letters()
+
+
 class LibraryPieces(Remembered):
-    """Pre-token to ids by the tokenizers library. Byte-level BPE encodes each pre-token by itself."""
+    """Pre-token to ids by the tokenizers library's model. Byte-level BPE encodes each pre-token by itself, as letters for its bytes."""
 
     def __init__(self, path: str):
         super().__init__()
@@ -83,14 +93,15 @@ class LibraryPieces(Remembered):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
 
     def learn(self, pieces: set[bytes]) -> dict[bytes, bytes]:
-        """The ids of pre-tokens that are not in the younger generation: from the older one, or from one call of the library."""
+        """The ids of pre-tokens that are not in the younger generation: from the older one, or from the library."""
         found = {p: self.keep(p, ids) for p in pieces if (ids := self.older.get(p)) is not None}
-        new = [p for p in pieces if p not in found]
-        for p, e in zip(new, self.tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False)):
-            found[p] = self.keep(p, pack("<%dI" % len(ids := e.ids), *ids))
+        tokenize = self.tokenizer.model.tokenize
+        for p in pieces:
+            if p not in found:
+                tokens = tokenize(p.decode("latin-1").translate(LETTERS))
+                found[p] = self.keep(p, pack("<%dI" % len(tokens), *[t.id for t in tokens]))
         return found
 
 
