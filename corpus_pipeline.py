@@ -10,7 +10,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from forecastlab.llm import bpe, exact_dedup, mixing, quality, simhash, token_files
+from forecastlab.llm import bpe, exact_dedup, mixing, near_copies, quality, token_files
 from forecastlab.llm.common import DOCUMENT_COLUMNS, shared_dir, table
 
 
@@ -26,8 +26,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash component (4-word shingles, 4 differing bits) the document with the smallest doc_id."""
-    return simhash.drop_near_copies(docs.select(DOCUMENT_COLUMNS), words=4, bits=4)
+    """Of each component of texts with a similarity of 5-word shingles of 0.8 or more the document with the smallest doc_id."""
+    return near_copies.drop_near_copies(docs.select(DOCUMENT_COLUMNS))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

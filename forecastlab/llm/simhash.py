@@ -8,7 +8,7 @@ from functools import cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -180,6 +180,26 @@ def near_groups(docs: DataFrame, words: int = 4, bits: int = 4) -> DataFrame:
     return join_hot(fps, answer, "fp", "n", fps.count()).select("doc_id", "fp", "component_id")
 
 
+def text_mark() -> Column:
+    """A hash by which a text is known; null counts as empty."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def keep_firsts(docs: DataFrame, roots: DataFrame) -> DataFrame:
+    """docs with one row of each component of roots (mark, root): that with the smallest doc_id, then mark; null doc_ids come last.
+
+    A component is known by its root and a row by doc_id and mark, so texts that share a doc_id do not stand for each other.
+    """
+    marked = docs.withColumn("_mark", text_mark())
+    rows = marked.select("doc_id", "_mark").join(roots, F.col("_mark") == F.col("mark"))
+    least = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "mark")).alias("k"))
+    keep = cut(least.select(F.col("k.doc_id").alias("_keep"), F.col("k.mark").alias("_keep_mark")))
+    firsts = marked.join(keep, (F.col("_mark") == F.col("_keep_mark")) & F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
+    if not firsts.groupBy("doc_id", "_mark").count().filter("count > 1").isEmpty():
+        firsts = firsts.dropDuplicates(["doc_id", "_mark"])
+    return firsts.drop("_mark")
+
+
 def drop_near_copies(docs: DataFrame, words: int = 4, bits: int = 4) -> DataFrame:
     """docs with one row of each component of near_groups: that with the smallest doc_id. All columns stay.
 
