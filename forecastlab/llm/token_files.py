@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 from functools import cache
 from struct import Struct, pack
@@ -93,6 +94,12 @@ class LibraryPieces(Remembered):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        tokens = self.tokenizer.get_added_tokens_decoder()
+        self.added = {t.content: pack("<I", i) for i, t in tokens.items()}
+        longest_first = sorted(self.added, key=len, reverse=True)
+        self.split = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")").split if self.added else lambda text: [text]
+        #: Whether added tokens depend on more than their own letters, so that the library is to find them.
+        self.odd = any(t.single_word or t.lstrip or t.rstrip for t in tokens.values()) or self.tokenizer.normalizer is not None
 
     def learn(self, pieces: set[bytes]) -> dict[bytes, bytes]:
         """The ids of pre-tokens that are not in the younger generation: from the older one, or from the library."""
@@ -112,11 +119,18 @@ def library_pieces(path: str) -> LibraryPieces:
 
 
 def encode_with_library(texts: list[str], known: LibraryPieces) -> list[bytes]:
-    """The ids of each text as little-endian unsigned 32-bit bytes: those of its pre-tokens, each new one encoded once."""
-    cut_up = pre_tokens(texts)
+    """The ids of each text as little-endian unsigned 32-bit bytes, as the library's encode(text, add_special_tokens=False) has them.
+
+    Texts are split at added tokens, which have ids of their own; of what is between, each new pre-token is encoded once.
+    """
+    parts = [known.split(t) for t in texts]
+    whole = {i: known.tokenizer.encode(t, add_special_tokens=False).ids for i, (t, p) in enumerate(zip(texts, parts)) if known.odd and len(p) > 1}
+    cut_up = pre_tokens([t for p in parts for t in p[::2]])
     got = [list(map(known.get, pieces)) for pieces in cut_up]
     new = known.learn({p for pieces, ids in zip(cut_up, got) if None in ids for p, i in zip(pieces, ids) if i is None})
-    return [b"".join([new[p] if i is None else i for p, i in zip(pieces, ids)] if None in ids else ids) for pieces, ids in zip(cut_up, got)]
+    between = iter([b"".join([new[p] if i is None else i for p, i in zip(pieces, ids)] if None in ids else ids) for pieces, ids in zip(cut_up, got)])
+    out = [b"".join([known.added[t] if k % 2 else next(between) for k, t in enumerate(p)]) for p in parts]
+    return [pack("<%dI" % len(whole[i]), *whole[i]) if i in whole else ids for i, ids in enumerate(out)]
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | None = 2, per_shard: int = 2_000, ids_per_file: int = 1_000_000) -> None:
