@@ -193,14 +193,13 @@ def read(page: str) -> tuple[Node, list[tuple[str, str, bool, bool]]]:
 
 
 def profile(wrapper: Node, pages: int) -> dict:
-    """What a wrapper says of its pages: the path of the content element, and the paths of constant texts.
+    """What a wrapper says of its pages: the path of the content element.
 
     The content element is the outermost article, else main, else the element whose own blocks hold most slot text; a class
     or id word for content counts double.
     """
     found: dict[str, str] = {}
     amounts: dict[str, float] = {}
-    slots, constants = set(), set()
 
     def walk(node: Node, path: str) -> float:
         name, *classes = node.key.split(".")
@@ -211,36 +210,31 @@ def profile(wrapper: Node, pages: int) -> dict:
             if name == tag:
                 found.setdefault(tag, path)
         own = node.chars if node.text is True else 0
-        if node.text is True:
-            slots.add(path)
-        elif node.text is not None and node.least and pages >= 5:
-            constants.add(path)
         below = sum(walk(n, f"{path}/{n.key}") for n in node.inner)
         amounts[path] = (own + below) * (2 if CONTENT & {w for c in classes for w in re.findall("[a-z]+", c)} else 1)
         return own
 
     walk(wrapper, "")
     root = found.get("article") or found.get("main") or max(amounts, key=lambda p: (amounts[p], -len(p)), default="")
-    varies = any(s.startswith(root) for s in slots)
-    return {"root": root, "constant": sorted(constants - slots) if varies else []}
+    return {"root": root}
 
 
 def main_text(page: str, of_host: dict) -> str:
-    """The page's blocks below the content element that are neither in dropped or marked elements nor constant; joined by newlines.
+    """The page's blocks below the content element that are neither in dropped nor in marked elements; joined by newlines.
 
     A page without such blocks is judged by its own wrapper, then without marks: so one that differs from its host keeps its text.
     """
     own, blocks = read(page)
 
-    def below(root: str, constant: set[str], marks: bool) -> list[str]:
-        return [t for p, t, dropped, marked in blocks if not dropped and not (marked and marks) and (p == root or p.startswith(root + "/") or not root) and p not in constant]
+    def below(root: str, marks: bool) -> list[str]:
+        return [t for p, t, dropped, marked in blocks if not dropped and not (marked and marks) and (p == root or p.startswith(root + "/") or not root)]
 
     mine = None
     for how in ("host", "own", "unmarked"):
         if how != "host" and mine is None:
             mine = profile(own, 1)
         says = of_host if how == "host" else mine
-        if kept := below(says["root"], set(says["constant"]), how != "unmarked"):
+        if kept := below(says["root"], how != "unmarked"):
             return "\n".join(kept)
     return ""
 
