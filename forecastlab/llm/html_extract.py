@@ -1,8 +1,8 @@
 """Main text of web pages by wrappers: union-free regular expressions inferred for each host from all its pages.
 
 Pages of a host are aligned one after another, element by element. Where two streams differ, an element that only one has
-becomes optional, neighbours alike become a repeated group, and texts that differ become a slot. What stays the
-same text on all pages is template; the slots below the content element are the article.
+becomes optional, neighbours alike become a repeated group, and texts that differ become a slot. Slots show where the
+content element is; all its text that is not in dropped or marked parts is the article, whether it varies or not.
 """
 
 from __future__ import annotations
@@ -37,6 +37,8 @@ MARKS = set(
 )
 #: Beginnings of such words, as in commentlist or advertisement2.
 MARK_STARTS = ("advert", "breadcrumb", "comment", "cookie", "navbar", "newsletter", "popup", "promo", "sidebar", "sponsor", "subscri")
+#: Elements that are blocks of text or groups of such, never all of an article.
+TEXTS = set("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table thead tbody tfoot tr td th caption figure figcaption address summary center".split())
 CONTENT = set("article content main post entry story body text".split())
 
 
@@ -193,48 +195,55 @@ def read(page: str) -> tuple[Node, list[tuple[str, str, bool, bool]]]:
 
 
 def profile(wrapper: Node, pages: int) -> dict:
-    """What a wrapper says of its pages: the path of the content element.
+    """What a wrapper says of its pages: the paths of the content elements.
 
-    The content element is the outermost article, else main, else the element whose own blocks hold most slot text; a class
-    or id word for content counts double.
+    Those are all outermost articles, else all outermost mains, else the deepest element that holds all slot text which
+    is not in dropped or marked parts: no single block of text, and no part of an element whose class is a word for
+    content. Of a single page nothing is known to be constant, so all its text counts as slots.
     """
-    found: dict[str, str] = {}
-    amounts: dict[str, float] = {}
+    found: dict[str, dict[str, None]] = {"article": {}, "main": {}}
+    amounts: dict[str, int] = {}
 
-    def walk(node: Node, path: str) -> float:
+    def walk(node: Node, path: str) -> int:
         name, *classes = node.key.split(".")
         inside = re.search(r"/(article|main)\b", path.rpartition("/")[0]) is not None
         if name in DROPPED or name == "header" and not inside or name not in ("html", "body", "main", "article") and is_marked({w for c in classes for w in re.findall("[a-z]+", c)}, inside):
             return 0
-        for tag in ("article", "main"):
-            if name == tag:
-                found.setdefault(tag, path)
-        own = node.chars if node.text is True else 0
-        below = sum(walk(n, f"{path}/{n.key}") for n in node.inner)
-        amounts[path] = (own + below) * (2 if CONTENT & {w for c in classes for w in re.findall("[a-z]+", c)} else 1)
-        return own
+        if name in found and not any(path.startswith(p + "/") for p in found[name]):
+            found[name].setdefault(path)
+        own = node.chars if node.text is True or pages == 1 else 0
+        amounts[path] = amounts.get(path, 0) + own + sum(walk(n, f"{path}/{n.key}") for n in node.inner)
+        return amounts[path]
+
+    def is_content(path: str) -> bool:
+        return bool(CONTENT & {w for c in path.rpartition("/")[2].split(".")[1:] for w in re.findall("[a-z]+", c)})
 
     walk(wrapper, "")
-    root = found.get("article") or found.get("main") or max(amounts, key=lambda p: (amounts[p], -len(p)), default="")
-    return {"root": root}
+    if roots := found["article"] or found["main"]:
+        return {"roots": list(roots)}
+    root = max((p for p, n in amounts.items() if n == amounts[""]), key=lambda p: p.count("/"), default="") if amounts.get("") else ""
+    while root.rpartition("/")[2].split(".")[0] in TEXTS:
+        root = root.rpartition("/")[0]
+    parts = root.split("/")
+    return {"roots": [next((p for k in range(2, len(parts)) if parts[k - 1].split(".")[0] not in ("html", "body") and is_content(p := "/".join(parts[:k]))), root)]}
 
 
 def main_text(page: str, of_host: dict) -> str:
-    """The page's blocks below the content element that are neither in dropped nor in marked elements; joined by newlines.
+    """The page's blocks below the content elements that are neither in dropped nor in marked elements; joined by newlines.
 
     A page without such blocks is judged by its own wrapper, then without marks: so one that differs from its host keeps its text.
     """
     own, blocks = read(page)
 
-    def below(root: str, marks: bool) -> list[str]:
-        return [t for p, t, dropped, marked in blocks if not dropped and not (marked and marks) and (p == root or p.startswith(root + "/") or not root)]
+    def below(roots: list[str], marks: bool) -> list[str]:
+        return [t for p, t, dropped, marked in blocks if not dropped and not (marked and marks) and any(p == root or p.startswith(root + "/") or not root for root in roots)]
 
     mine = None
     for how in ("host", "own", "unmarked"):
         if how != "host" and mine is None:
             mine = profile(own, 1)
         says = of_host if how == "host" else mine
-        if kept := below(says["root"], how != "unmarked"):
+        if kept := below(says["roots"], how != "unmarked"):
             return "\n".join(kept)
     return ""
 

@@ -11,7 +11,15 @@ def text_of(spark, html, n):
 
 
 @pytest.mark.parametrize("n", [1, 4, 5, 9])
-@pytest.mark.parametrize("tags", [("<article>", "</article>")])
+@pytest.mark.parametrize("tags", [("<article>", "</article>"), ("<div class='content'>", "</div>"), ("<div class='x'>", "</div>")])
 def test_html_keeps_constant_lines_of_articles(spark, n, tags):
     html = f"<body><nav>m</nav><div class='menu'>n</div>{tags[0]}<h1>Recipe</h1><p>a %(i)s</p><h2>Ingredients</h2><p>b %(i)s</p><div class='ad'>buy</div>{tags[1]}<footer>f</footer></body>"
     assert text_of(spark, html, n) == {i: f"Recipe\na {i} text\nIngredients\nb {i} text" for i in range(n)}
+
+
+@pytest.mark.parametrize("n", [1, 2, 6])
+def test_html_content_of_several_containers(spark, n):
+    html = "<body><nav>m</nav><div class='content'><h1>T %(i)s</h1><section class='intro'><p>a %(i)s and much more text than elsewhere</p></section><section class='more'><p>b %(i)s</p></section></div><footer>f</footer></body>"
+    assert text_of(spark, html, n) == {i: f"T {i} text\na {i} text and much more text than elsewhere\nb {i} text" for i in range(n)}
+    html = "<body><nav>m</nav><article class='one'><p>a %(i)s</p></article><div>x</div><article class='two'><p>b %(i)s</p></article></body>"
+    assert text_of(spark, html, n) == {i: f"a {i} text\nb {i} text" for i in range(n)}
