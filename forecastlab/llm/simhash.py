@@ -201,20 +201,7 @@ def keep_firsts(docs: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame, words: int = 4, bits: int = 4) -> DataFrame:
-    """docs with one row of each component of near_groups: that with the smallest doc_id. All columns stay.
-
-    Rows without a doc_id go where their component has one; of others, each distinct text stays once. Of rows that repeat
-    a doc_id, one stays.
-    """
-    groups = cut(near_groups(docs, words, bits))
-    keep = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    firsts = docs.join(keep, F.col("doc_id") == F.col("_keep"), "left_semi")
-    if not firsts.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        firsts = firsts.dropDuplicates(["doc_id"])
-    unnamed = groups.filter("component_id IS NULL").select(F.col("fp").alias("_fp")).distinct()
-    if unnamed.isEmpty():
-        return firsts
-    mark = F.xxhash64("text")
-    nulls = docs.filter("doc_id IS NULL").dropDuplicates(["text"])
-    marks = fingerprints(nulls.select(mark.alias("doc_id"), "text"), words).join(unnamed, F.col("fp") == F.col("_fp"), "left_semi").select(F.col("doc_id").alias("_keep"))
-    return firsts.unionByName(nulls.join(marks.distinct(), mark == F.col("_keep"), "left_semi"))
+    """docs with one row of each component of fingerprints that at most bits differing bits link: that with the smallest doc_id. All columns stay."""
+    fps = cut(fingerprints(docs.select(text_mark().alias("doc_id"), "text"), words).distinct())
+    roots = cut(components(links(fps.select("fp").distinct(), bits)))
+    return keep_firsts(docs, cut(fps.join(roots, fps["fp"] == roots["node"], "left").select(F.col("doc_id").alias("mark"), F.coalesce("root", "fp").alias("root"))))
