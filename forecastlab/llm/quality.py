@@ -25,11 +25,8 @@ FEATURES = WIDE + HASHED + 6
 
 def passages(text: str) -> np.ndarray:
     """A row of features for each passage of PASSAGE words of a whole text; one row of zeros for a text without words."""
-    data = np.frombuffer(text.encode(), dtype=np.uint8)
-    words = text.split()
-    if not words:
-        return np.zeros((1, FEATURES), dtype=np.float32)
-    n = -(-len(words) // PASSAGE)
+    raw = text.encode()
+    data, words = np.frombuffer(raw, dtype=np.uint8), [w.decode() for w in raw.split()]  # at the six ASCII white-space characters, as begins
     white = (data == 32) | ((data >= 9) & (data <= 13))
     begins = np.flatnonzero(~white & np.concatenate([[True], white[:-1]]))
     n = max(1, -(-len(begins) // PASSAGE))
@@ -46,9 +43,8 @@ def passages(text: str) -> np.ndarray:
     more = np.zeros((n, 6))
     for k in range(n):
         here = words[k * PASSAGE : (k + 1) * PASSAGE]
-        if here:
-            m = len(here)
-            more[k] = (len(set(here)) / m, sum(map(str.__eq__, here, here[1:])) / m, min(length[k] / m, 40) / 10, min(max(map(len, here)), 60) / 20, m / PASSAGE, sum(map(str.isupper, here)) / m)
+        m = len(here)
+        more[k] = (len(set(here)) / m, sum(map(str.__eq__, here, here[1:])) / m, min(length[k] / m, 40) / 10, min(max(map(len, here)), 60) / 20, m / PASSAGE, sum(map(str.isupper, here)) / m)
     return np.concatenate([counts * 4, np.sqrt(hashed), more], axis=1).astype(np.float32)
 
 
