@@ -134,17 +134,15 @@ def candidates(nodes: DataFrame, most: int | None, crowd: int = 4096) -> DataFra
         some = np.flatnonzero(n + homes)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some]), pa.array(homes[some])], ["anchor", "n", "homes"])
 
-    load = nodes.mapInArrow(count, "anchor long, n long, homes long").groupBy("anchor").agg(F.sum("n").alias("n"), F.sum("homes").alias("homes")).collect()  # at most ANCHORS rows
-    pages = max(1, min(ANCHORS, sum(r["n"] + r["homes"] for r in load) // 16_384))
-    grid_i, grid_j, first = np.ones(ANCHORS, dtype=np.int64), np.ones(ANCHORS, dtype=np.int64), np.arange(ANCHORS, dtype=np.int64) % pages
-    at = pages
-    for r in sorted(load):
-        if r["n"] + r["homes"] > crowd:
-            i, j = max(1, -(-r["homes"] // crowd)), max(1, -(-r["n"] // crowd))
-            grid_i[r["anchor"]], grid_j[r["anchor"]], first[r["anchor"]] = i, j, at
-            at += i * j
+    load = cut(nodes.mapInArrow(count, "anchor long, n long, homes long").groupBy("anchor").agg(F.sum("n").alias("n"), F.sum("homes").alias("homes")))
+    pages = max(1, min(ANCHORS, load.agg(F.coalesce(F.sum(F.col("n") + F.col("homes")), F.lit(0))).first()[0] // 16_384))
+    crowded = [(r["anchor"], max(1, -(-r["homes"] // crowd)), max(1, -(-r["n"] // crowd))) for r in load.filter(F.col("n") + F.col("homes") > crowd).orderBy("anchor").collect()]  # at most ANCHORS rows
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grid_i, grid_j, first, at = np.ones(ANCHORS, dtype=np.int64), np.ones(ANCHORS, dtype=np.int64), np.arange(ANCHORS, dtype=np.int64) % pages, pages
+        for anchor, i, j in crowded:
+            grid_i[anchor], grid_j[anchor], first[anchor] = i, j, at
+            at += i * j
         for batch in batches:
             for part in slices(batch, 4096):
                 node, low, high, size, label, asks = _fields(part)
@@ -201,8 +199,8 @@ def near_roots(docs: DataFrame, rounds: tuple[int | None, ...] = (2, 16, None))
     anchor; after components are built, only texts that had more are asked again, now for those in other components: for
     16, then for all. So no candidate goes untested unless its two texts are already in one component.
     """
-    nodes = cut(fingerprints(docs))
-    now, edges, tested, roots = nodes.withColumns({"label": F.col("node"), "asks": F.lit(True)}), None, None, None
+    nodes = cut(fingerprints(docs).withColumn("label", F.col("node")))
+    now, tested = nodes.withColumn("asks", F.lit(True)), None
     for most in rounds:
         found = cut(candidates(now, most))
         pairs = found.filter("b IS NOT NULL")
@@ -210,16 +208,17 @@ def near_roots(docs: DataFrame, rounds: tuple[int | None, ...] = (2, 16, None))
             pairs = cut(pairs.join(tested, ["a", "b"], "left_anti"))
         tested = pairs if tested is None else tested.unionByName(pairs)
         good = cut(confirmed(pairs, docs))
-        edges = good if edges is None else edges.unionByName(good)
-        roots = cut(components(edges))
+        if not good.isEmpty():
+            of = lambda side: nodes.select(F.col("node").alias(side), F.col("label").alias(f"label_{side}"))  # noqa: B023, E731
+            roots = components(good.join(of("a"), "a").join(of("b"), "b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b")))
+            nodes = cut(nodes.join(roots.select(F.col("node").alias("label"), "root"), "label", "left").select("node", "low", "high", "size", F.coalesce("root", "label").alias("label")))
         more = found.filter("b IS NULL").select(F.col("a").alias("node"), F.lit(True).alias("asks"))
         if more.isEmpty():
             break
-        labels = nodes.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
-        now = cut(labels.join(more, "node", "left").fillna(False, ["asks"]))
-    return nodes.join(roots, "node", "left").select(F.col("node").alias("mark"), F.coalesce("root", "node").alias("root"))
+        now = cut(nodes.join(more, "node", "left").fillna(False, ["asks"]))
+    return nodes.select(F.col("node").alias("mark"), F.col("label").alias("root"))
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """docs with one row of each component of near_roots: that with the smallest doc_id. All columns stay."""
-    return keep_firsts(docs, cut(near_roots(docs)))
+    return keep_firsts(docs, near_roots(docs))
