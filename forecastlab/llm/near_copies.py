@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
-from .common import cut, join_hot, slices
+from .common import cut, slices
 from .components import components
 from .simhash import _LOWER, SEGMENT_BITS, anchors, keep_firsts, text_mark
 
@@ -36,34 +36,42 @@ def shingles(text: str | None, words: int = WORDS) -> set[bytes]:
     return {joined[a:b] for a, b in zip(starts[: max(1, len(starts) - words + 1)], ends[min(words, len(ends)) - 1 :])}
 
 
-def are_near(a: set[bytes], b: set[bytes]) -> bool:
-    """Whether the Jaccard similarity is at least FIFTHS / 5; two texts without words are alike."""
-    both = len(a & b)
+def digests(found: set[bytes]) -> np.ndarray:
+    """The XXH3 values of shingles: a row of two 64-bit halves for each, ascending."""
+    values = np.frombuffer(b"".join(map(xxh3_128_digest, found)), dtype="<u8").reshape(-1, 2)
+    return values[np.argsort(values[:, 0])]
+
+
+def are_near(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets of shingles, as ascending 64-bit hashes, have a Jaccard similarity of at least FIFTHS / 5; two texts without words are alike."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
     return 5 * both >= FIFTHS * (len(a) + len(b) - both)
 
 
-def fingerprint(found: set[bytes]) -> bytes:
+def fingerprint(hashes: np.ndarray) -> bytes:
     """128 bits, each set if it is in over half the shingles' XXH3 values."""
-    if not found:
+    if not len(hashes):
         return bytes(16)
-    hashes = np.frombuffer(b"".join(map(xxh3_128_digest, found)), dtype=np.uint8).reshape(-1, 16)
-    set_ = np.zeros(128, dtype=np.int64)
-    for k in range(0, len(hashes), 65_536):
-        set_ += np.unpackbits(hashes[k : k + 65_536], axis=1).sum(axis=0, dtype=np.int64)
-    return np.packbits(set_ * 2 > len(hashes)).tobytes()
+    bytes_, set_ = np.ascontiguousarray(hashes).view(np.uint8).reshape(-1, 16), np.zeros(128, dtype=np.int64)
+    for k in range(0, len(bytes_), 65_536):
+        set_ += np.unpackbits(bytes_[k : k + 65_536], axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(set_ * 2 > len(bytes_)).tobytes()
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """node (mark of the text), low, high, size (number of shingles) for each distinct text of docs."""
+    """node (mark of the text), low, high, size (number of shingles), hashes (the shingles' ascending 64-bit ones) for each distinct text of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 256):
-                found = [shingles(t) for t in part.column(1).to_pylist()]
+                found = [digests(shingles(t)) for t in part.column(1).to_pylist()]
                 halves = np.frombuffer(b"".join(map(fingerprint, found)), dtype="<i8").reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array([len(s) for s in found], pa.int32())], ["node", "low", "high", "size"])
+                sets = pa.array([f[:, 0].tobytes() for f in found], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array([len(f) for f in found], pa.int32()), sets], ["node", "low", "high", "size", "hashes"])
 
-    return docs.select(text_mark().alias("node"), F.col("text").cast("string")).mapInArrow(run, "node long, low long, high long, size int").dropDuplicates(["node"])
+    found = cut(docs.select(text_mark().alias("node"), F.col("text").cast("string")).mapInArrow(run, "node long, low long, high long, size int, hashes binary"))
+    repeated = found.groupBy("node").count().filter("count > 1")
+    return found if repeated.isEmpty() else cut(found.dropDuplicates(["node"]))
 
 
 def _covered(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -85,8 +93,16 @@ def _fields(part: pa.RecordBatch) -> list[np.ndarray]:
     return [node, low.view(np.uint64), high.view(np.uint64), size, label, asks.astype(bool)]
 
 
-def _pairs(rows: np.ndarray, most: int | None, cells: int = 2_000_000) -> tuple[np.ndarray, np.ndarray]:
-    """Candidates between homes and guests of one anchor that have other labels, the nearest `most` homes of each guest; and guests with more."""
+def _mixed(node: np.ndarray) -> np.ndarray:
+    """A hash of nodes, the same everywhere: it deals them to cells, and the least of some nodes is their leader."""
+    return (node.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+
+
+def _pairs(rows: np.ndarray, most: int | None, cells: int = 2_000_000) -> np.ndarray:
+    """Candidates between guests and homes of one anchor that have other labels: guest, home, bits apart, lead (see _mixed), and how many homes the guest has besides.
+
+    Of each guest's homes those come that are among the `most` nearest or among the `most` leading ones; all, if most is None.
+    """
     homes, guests = rows[rows["role"] & _HOME > 0], rows[rows["role"] & _GUEST > 0]
     found, step = [], max(1, cells // max(1, len(guests)))
     seen = np.zeros(len(guests), dtype=np.int64)
@@ -98,43 +114,54 @@ def _pairs(rows: np.ndarray, most: int | None, cells: int = 2_000_000) -> tuple[
         fits = (here["label"][i] != guests["label"][j]) & (5 * np.minimum(a, b) >= FIFTHS * np.maximum(a, b))
         i, j = i[fits], j[fits]
         seen += np.bincount(j, minlength=len(guests))
-        found.append(_nearest(here["node"][i], j, apart[i, j], most))
+        found.append(_first(j, here["node"][i], apart[i, j], most))
     if not found:
-        return np.zeros((0, 2), dtype=np.int64), np.zeros(0, dtype=np.int64)
-    node, j, _ = _nearest(*map(np.concatenate, zip(*found)), most)
-    return np.stack([np.minimum(node, guests["node"][j]), np.maximum(node, guests["node"][j])], axis=1), guests["node"][seen > most] if most else np.zeros(0, dtype=np.int64)
+        return np.zeros((0, 5), dtype=np.int64)
+    j, node, apart = _first(*map(np.concatenate, zip(*found)), most)
+    besides = seen - np.bincount(j, minlength=len(guests))
+    return np.stack([guests["node"][j], node, apart.astype(np.int64), _mixed(node).astype(np.int64), besides[j]], axis=1)
 
 
-def _nearest(node: np.ndarray, j: np.ndarray, apart: np.ndarray, most: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _first(j: np.ndarray, node: np.ndarray, apart: np.ndarray, most: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The `most` nearest and the `most` leading nodes of each j."""
     if most is None or len(j) == 0:
-        return node, j, apart
-    order = np.lexsort((node, apart, j))
-    first = np.flatnonzero(np.diff(j[order], prepend=-1))
-    rank = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
-    kept = order[rank < most]
-    return node[kept], j[kept], apart[kept]
+        return j, node, apart
+    kept = np.zeros(len(j), dtype=bool)
+    for by in (apart, _mixed(node)):
+        order = np.lexsort((node, by, j))
+        first = np.flatnonzero(np.diff(j[order], prepend=-1))
+        rank = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+        kept[order[rank < most]] = True
+    return j[kept], node[kept], apart[kept]
 
 
-def candidates(nodes: DataFrame, most: int | None, crowd: int = 4096) -> DataFrame:
-    """Pairs (a, b) of nodes (node, low, high, size, label, asks) with other labels that may be near, and (a, null) where a has more than these.
-
-    All nodes wait at their own anchors; those that ask visit all anchors that cover them and name the nearest `most`
-    there, or all. An anchor with over crowd rows is cut into a grid of cells of at most crowd homes and guests each.
-    """
-    nodes = nodes.select("node", "low", "high", "size", "label", "asks")
+def anchor_load(nodes: DataFrame) -> DataFrame:
+    """anchor, n (guests), homes: how many nodes each anchor has. At most ANCHORS rows."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, homes = np.zeros(ANCHORS, dtype=np.int64), np.zeros(ANCHORS, dtype=np.int64)
         for batch in batches:
             for part in slices(batch, 4096):
-                _, low, high, *_, asks = _fields(part)
-                key, own, row = _covered(low, high)
-                n += np.bincount(key[asks[row]], minlength=ANCHORS)
+                key, own, _ = _covered(*_fields(part)[1:3])
+                n += np.bincount(key, minlength=ANCHORS)
                 homes += np.bincount(key[own], minlength=ANCHORS)
         some = np.flatnonzero(n + homes)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some]), pa.array(homes[some])], ["anchor", "n", "homes"])
 
-    load = cut(nodes.mapInArrow(count, "anchor long, n long, homes long").groupBy("anchor").agg(F.sum("n").alias("n"), F.sum("homes").alias("homes")))
+    return cut(nodes.select(_NODE).mapInArrow(count, "anchor long, n long, homes long").groupBy("anchor").agg(F.sum("n").alias("n"), F.sum("homes").alias("homes")))
+
+
+_NODE = ["node", "low", "high", "size", "label", "asks"]
+
+
+def candidates(nodes: DataFrame, most: int | None, crowd: int = 4096, load: DataFrame | None = None) -> DataFrame:
+    """Candidates of nodes (node, low, high, size, label, asks) that have other labels: guest, home, apart, lead, besides (see _pairs), for each anchor.
+
+    All nodes wait at their own anchors; those that ask visit all anchors that cover them. An anchor with over crowd
+    rows is cut into a grid of cells of at most crowd homes and guests each. load may be of the same nodes in an
+    earlier round.
+    """
+    nodes, load = nodes.select(_NODE), load or anchor_load(nodes)
     pages = max(1, min(ANCHORS, load.agg(F.coalesce(F.sum(F.col("n") + F.col("homes")), F.lit(0))).first()[0] // 16_384))
     crowded = [(r["anchor"], max(1, -(-r["homes"] // crowd)), max(1, -(-r["n"] // crowd))) for r in load.filter(F.col("n") + F.col("homes") > crowd).orderBy("anchor").collect()]  # at most ANCHORS rows
 
@@ -147,7 +174,7 @@ def candidates(nodes: DataFrame, most: int | None, crowd: int = 4096) -> DataFra
             for part in slices(batch, 4096):
                 node, low, high, size, label, asks = _fields(part)
                 key, own, row = _covered(low, high)
-                dealt, mixed = [], (node.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+                dealt, mixed = [], _mixed(node)
                 for role, chosen in ((_HOME, own), (_GUEST, asks[row])):
                     k, r = key[chosen], row[chosen]
                     mine, over = (mixed[r] % grid_i[k].astype(np.uint64), grid_j[k]) if role == _HOME else (mixed[r] // np.uint64(7) % grid_j[k].astype(np.uint64), grid_i[k])
@@ -167,52 +194,73 @@ def candidates(nodes: DataFrame, most: int | None, crowd: int = 4096) -> DataFra
         rows = np.frombuffer(b"".join(frame["rows"]), dtype=_ROW)
         rows = rows[np.argsort(rows["anchor"], kind="stable")]
         ends = [*(np.flatnonzero(np.diff(rows["anchor"])) + 1).tolist(), len(rows)]
-        found = [_pairs(rows[a:b], most) for a, b in zip([0, *ends], ends)]
-        pairs, more = np.unique(np.concatenate([p for p, _ in found]), axis=0), np.unique(np.concatenate([m for _, m in found]))
-        return pd.DataFrame({"a": np.concatenate([pairs[:, 0], more]), "b": pd.array([*pairs[:, 1].tolist(), *[None] * len(more)], dtype="Int64")})
+        return pd.DataFrame(np.concatenate([_pairs(rows[a:b], most) for a, b in zip([0, *ends], ends)]), columns=["guest", "home", "apart", "lead", "besides"])
 
-    return nodes.mapInArrow(deal, "cell long, rows binary").groupBy("cell").applyInPandas(compare, "a long, b long").distinct()
+    return nodes.mapInArrow(deal, "cell long, rows binary").groupBy("cell").applyInPandas(compare, "guest long, home long, apart long, lead long, besides long")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of pairs (a, b) whose texts share at least four of five shingles, by joining the texts. A text with very many pairs is broadcast."""
+def confirmed(pairs: DataFrame, sets: DataFrame, hot: int = 20_000) -> DataFrame:
+    """Those of pairs (guest, home) that share at least four of five shingles, by joining their sets (node, hashes) to both sides.
 
-    def with_texts(rows: DataFrame, side: str) -> DataFrame:
-        counts = rows.groupBy(side).agg(F.count("*").alias("n"))
-        texts = docs.select(text_mark().alias(side), F.coalesce("text", F.lit("")).alias(f"text_{side}")).join(counts, side).groupBy(side).agg(F.first(f"text_{side}").alias(f"text_{side}"), F.first("n").alias("n"))
-        return join_hot(rows, cut(texts), side, "n", total).drop("n")
+    The homes of over hot pairs, whose number is that of all pairs by hot at most, go to their pairs one batch of
+    pairs at a time: their pairs are spread by the guest, and a copy of the home's set comes to each spread.
+    """
+    counts = cut(pairs.groupBy("home").agg(F.count("*").alias("n")).filter(F.col("n") > hot).withColumn("spread", F.ceil(F.col("n") / hot).cast("int")))
+    with_guest = pairs.join(sets.select(F.col("node").alias("guest"), F.col("hashes").alias("guest_set")), "guest")
+    homes = sets.select(F.col("node").alias("home"), F.col("hashes").alias("home_set"))
+    if counts.isEmpty():
+        both = with_guest.join(homes, "home")
+    else:
+        few = F.broadcast(counts.select("home", "spread"))  # a row for each hot home
+        dealt = with_guest.join(few, "home", "left").withColumn("at", F.pmod(F.xxhash64("guest"), F.coalesce("spread", F.lit(1))).cast("int")).drop("spread")
+        copies = homes.join(few, "home", "left").withColumn("at", F.explode(F.sequence(F.lit(0), F.coalesce("spread", F.lit(1)) - 1))).drop("spread")
+        both = dealt.join(copies, ["home", "at"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 64):
-                near = [are_near(shingles(x), shingles(y)) for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist())]
-                yield part.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+            for part in slices(batch, 256):
+                near = [are_near(np.frombuffer(x, dtype="<u8"), np.frombuffer(y, dtype="<u8")) for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist())]
+                yield part.select(["guest", "home"]).filter(pa.array(near, pa.bool_()))
+
+    return both.select("guest", "home", "guest_set", "home_set").mapInArrow(run, "guest long, home long")
+
 
-    total = pairs.count()
-    return with_texts(with_texts(pairs, "a"), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+def _one_each(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of each guest's candidates over all its anchors the nearest and the leading one as pairs; and the guests that have others."""
+    best = cut(found.groupBy("guest").agg(
+        F.min_by("home", F.struct("apart", "home")).alias("nearest"), F.min_by("home", F.struct("lead", "home")).alias("leader"), F.min("home").alias("low"), F.max("home").alias("high"), F.max("besides").alias("besides")
+    ))
+    only = (F.col("besides") == 0) & (F.col("low") == F.col("high"))
+    pairs = best.select("guest", F.explode(F.array_distinct(F.array("nearest", "leader"))).alias("home"))
+    return pairs, best.filter(~only).select("guest")
 
 
-def near_roots(docs: DataFrame, rounds: tuple[int | None, ...] = (2, 16, None)) -> DataFrame:
+def near_roots(docs: DataFrame, rounds: tuple[int | None, ...] = (1, 64, None)) -> DataFrame:
     """mark, root for each distinct text of docs (text): the components that confirmed candidates make.
 
-    A group of many near copies would have all its pairs as candidates. So each text first names its 2 nearest at each
-    anchor; after components are built, only texts that had more are asked again, now for those in other components: for
-    16, then for all. So no candidate goes untested unless its two texts are already in one component.
+    A group of many near copies would have all its pairs as candidates. So each text first names two over all its
+    anchors: the nearest, and the one that leads by a hash, which is mostly the same for a whole group. After components
+    are built, only texts that had more are asked again, now for those in other components: for up to 64 nearest and 64
+    leading ones at each anchor, then for all. So no candidate goes untested unless its two texts are already in one component.
     """
-    nodes = cut(fingerprints(docs).withColumn("label", F.col("node")))
-    now, tested = nodes.withColumn("asks", F.lit(True)), None
+    found = fingerprints(docs)
+    sets = found.select("node", "hashes")
+    nodes = found.select("node", "low", "high", "size", F.col("node").alias("label"))
+    now = nodes.withColumn("asks", F.lit(True))
+    load = anchor_load(now)
     for most in rounds:
-        found = cut(candidates(now, most))
-        pairs = found.filter("b IS NOT NULL")
-        if tested is not None:
-            pairs = cut(pairs.join(tested, ["a", "b"], "left_anti"))
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        good = cut(confirmed(pairs, docs))
+        got = cut(candidates(now, most, load=load))
+        if most == 1:
+            pairs, more = _one_each(got)
+        else:
+            pairs = got.select(F.least("guest", "home").alias("guest"), F.greatest("guest", "home").alias("home")).distinct()
+            more = got.filter("besides > 0").select("guest").distinct()
+        good = cut(confirmed(cut(pairs), sets))
         if not good.isEmpty():
             of = lambda side: nodes.select(F.col("node").alias(side), F.col("label").alias(f"label_{side}"))  # noqa: B023, E731
-            roots = components(good.join(of("a"), "a").join(of("b"), "b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b")))
+            roots = components(good.join(of("guest"), "guest").join(of("home"), "home").select(F.col("label_guest").alias("a"), F.col("label_home").alias("b")))
             nodes = cut(nodes.join(roots.select(F.col("node").alias("label"), "root"), "label", "left").select("node", "low", "high", "size", F.coalesce("root", "label").alias("label")))
-        more = found.filter("b IS NULL").select(F.col("a").alias("node"), F.lit(True).alias("asks"))
+        more = cut(more.select(F.col("guest").alias("node"), F.lit(True).alias("asks")))
         if more.isEmpty():
             break
         now = cut(nodes.join(more, "node", "left").fillna(False, ["asks"]))

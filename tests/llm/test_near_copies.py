@@ -12,6 +12,12 @@ from forecastlab.llm import near_copies
 from .test_corpus_operators import docs_of
 
 
+def similarity(a, b):
+    """The Jaccard similarity of five-word shingles, by plain sets."""
+    x, y = ({tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
 def edited(words, n, rng):
     words = list(words)
     for i in rng.sample(range(len(words)), n):
@@ -28,7 +34,7 @@ def test_near_stage_drops_copies_of_eight_tenths(spark, sf):
     for i in range(40, 60):
         words = [f"w{rng.randrange(5000)}" for _ in range(400)]
         rows += [(2 * i, " ".join(words), "s"), (2 * i + 1, " ".join(edited(words, 14, rng)), "s")]
-    near = {i for i in range(60) if near_copies.are_near(near_copies.shingles(rows[2 * i][1]), near_copies.shingles(rows[2 * i + 1][1]))}
+    near = {i for i in range(60) if similarity(rows[2 * i][1], rows[2 * i + 1][1]) >= 0.8}
     kept = {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs_of(spark, rows), sf).collect()}
     assert near == set(range(40)) and {2 * i for i in range(60)} <= kept
     assert len([i for i in near if 2 * i + 1 in kept]) <= 2 and all(2 * i + 1 in kept for i in range(40, 60))
@@ -47,11 +53,24 @@ def test_near_candidates_are_whole_and_bounded(spark, crowd):
             fps.append(f)
     rows = [(i, int(f[0].view(np.int64)), int(f[1].view(np.int64)), 100, i, True) for i, f in enumerate(fps)]
     nodes = spark.createDataFrame(rows, "node long, low long, high long, size int, label long, asks boolean")
-    got = {(r["a"], r["b"]) for r in near_copies.candidates(nodes, None, crowd).collect()}
+    got = {(min(r["guest"], r["home"]), max(r["guest"], r["home"])) for r in near_copies.candidates(nodes, None, crowd).collect()}
     apart = {(i, j): int(np.bitwise_count(fps[i] ^ fps[j]).sum()) for i, j in combinations(range(len(fps)), 2)}
     assert {p for p, n in apart.items() if n <= 15} <= got <= {p for p, n in apart.items() if n <= near_copies.RADIUS}
     some = near_copies.candidates(nodes, 2, crowd).collect()
-    assert {(r["a"], r["b"]) for r in some if r["b"] is not None} < got and any(r["b"] is None for r in some)
+    assert {(min(r["guest"], r["home"]), max(r["guest"], r["home"])) for r in some} < got and any(r["besides"] for r in some)
+
+
+@pytest.mark.parametrize("hot", [20_000, 3])
+def test_confirmed_pairs_are_those_of_eight_tenths(spark, hot):
+    """Hot homes are dealt out to several tasks, and no pair is lost."""
+    rng, texts = random.Random(8), []
+    base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+    texts = [" ".join(edited(base, n % 12, rng)) for n in range(24)]
+    rows = [(i, near_copies.digests(near_copies.shingles(t))[:, 0].tobytes()) for i, t in enumerate(texts)]
+    sets = spark.createDataFrame([(i, bytearray(b)) for i, b in rows], "node long, hashes binary")
+    pairs = spark.createDataFrame(list(combinations(range(24), 2)), "guest long, home long")
+    got = sorted((r["guest"], r["home"]) for r in near_copies.confirmed(pairs, sets, hot).collect())
+    assert got == [(i, j) for i, j in combinations(range(24), 2) if similarity(texts[i], texts[j]) >= 0.8]
 
 
 def test_near_copies_of_a_crowd_leave_one(spark):
