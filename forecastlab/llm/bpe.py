@@ -8,7 +8,6 @@ import heapq
 from collections.abc import Iterator
 from functools import cache
 from pathlib import Path
-from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -16,13 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices
-from .pretokenize import pre_tokens
-
-#: Pre-tokens whose ids a worker remembers in each of two generations: a bound on its memory, beyond which it merges anew.
-REMEMBERED = 300_000
-#: Longer pre-tokens are not remembered.
-LONGEST = 64
-
+from .piece_table import PieceTable
 
 @cache
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -71,78 +64,57 @@ def _merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p, live in zip(part, alive) if live]
 
 
-class Remembered(dict):
-    """A bounded memory of what pre-tokens give: full, it becomes the older generation, from which what is used again moves back."""
-
-    def __init__(self):
-        super().__init__()
-        self.older: dict[bytes, bytes] = {}
-
-    def keep(self, piece: bytes, ids: bytes) -> bytes:
-        if len(piece) <= LONGEST:
-            if len(self) >= REMEMBERED:
-                self.older = dict(self)
-                self.clear()
-            self[piece] = ids
-        return ids
-
-
-class Pieces(Remembered):
-    """Pre-token to its ids as little-endian unsigned 32-bit bytes."""
-
-    def __init__(self, ranks: dict[bytes, int]):
-        super().__init__()
-        self.ranks = ranks
-
-    def __missing__(self, piece: bytes) -> bytes:
-        if (ids := self.older.get(piece)) is None:
-            ids = pack("<%dI" % len(found := merge(piece, self.ranks)), *found)
-        return self.keep(piece, ids)
-
-
 @cache
-def pieces_of(path: str) -> Pieces:
+def table_of(path: str) -> PieceTable:
     """The worker's memory for a rank file; it outlives tasks."""
-    return Pieces(load_ranks(path))
+    ranks = load_ranks(path)
+    return PieceTable(lambda pieces: [merge(p, ranks) for p in pieces])
 
 
-def encode(texts: list[str], pieces: dict) -> list[bytes]:
-    """The ids of each text as little-endian unsigned 32-bit bytes."""
-    return [b"".join(map(pieces.__getitem__, cut_up)) for cut_up in pre_tokens(texts)]
+def encode(texts: list[str], path: str) -> list[np.ndarray]:
+    """The ids of each text as little-endian unsigned 32-bit numbers."""
+    return table_of(path).encode(texts)
 
 
 @cache
-def token_table(path: str) -> list[bytes]:
+def token_bytes(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all tokens after one another, and where each id's begin and how many they are."""
     ranks = load_ranks(path)
-    table = [b""] * (max(ranks.values()) + 1)
+    length = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
     for token, rank in ranks.items():
-        table[rank] = token
-    return table
+        length[rank] = len(token)
+    return np.frombuffer(b"".join(sorted(ranks, key=ranks.__getitem__)), dtype=np.uint8), np.cumsum(length) - length, length
 
 
-def decode(ids: bytes, table: list[bytes]) -> bytes:
-    return b"".join(map(table.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
+def offsets(ids: np.ndarray, path: str) -> np.ndarray:
+    """The byte offset at which each token of a text starts, and the text's length at the end."""
+    return np.concatenate([[0], np.cumsum(token_bytes(path)[2][ids])])
 
 
-def offsets(ids: bytes, table: list[bytes]) -> np.ndarray:
-    """The byte offset at which each token of a decoded text starts, and its length at the end."""
-    return np.concatenate([[0], np.cumsum([len(table[i]) for i in np.frombuffer(ids, dtype="<u4").tolist()], dtype=np.int64)]).astype(np.int64)
+def decode(ids: np.ndarray, at: np.ndarray, path: str) -> bytes:
+    """The bytes of ids, each put at its offset."""
+    data, begin, _ = token_bytes(path)
+    return data[np.repeat(begin[ids] - at[:-1], np.diff(at)) + np.arange(at[-1])].tobytes()
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, group: int = 64) -> DataFrame:
-    """One row for each row of docs (doc_id, text): doc_id, n_tokens, ids (binary, little-endian unsigned 32-bit), ids_sha256, decoded_sha256.
+    """One row for each row of docs (doc_id, text): doc_id, n_tokens, ids, offsets, ids_sha256, decoded_sha256.
 
-    Null texts count as empty and have no ids; whole texts are encoded, however long. decoded_sha256 is of the bytes that
-    the ids decode to. Repeated rows have a row each; an empty table gives an empty result; other columns are not looked at.
+    ids are little-endian unsigned 32-bit numbers, offsets the byte offsets of the tokens, and the text's length, as such
+    64-bit ones. Null texts count as empty and have no ids; whole texts are encoded, however long. decoded_sha256 is of
+    the bytes that the ids decode to. Repeated rows have a row each; an empty table gives an empty result; other columns
+    are not looked at.
     """
-    kinds = {"doc_id": pa.int64(), "n_tokens": pa.int64(), "ids": pa.binary(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
+    kinds = {"doc_id": pa.int64(), "n_tokens": pa.int64(), "ids": pa.binary(), "offsets": pa.binary(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, table = pieces_of(ranks_path), token_table(ranks_path)
         for batch in batches:
             for part in slices(batch, group):
-                ids = encode([t or "" for t in part.column(1).to_pylist()], pieces)
-                columns = [part.column(0), [len(x) // 4 for x in ids], ids, [hashlib.sha256(x).hexdigest() for x in ids], [hashlib.sha256(decode(x, table)).hexdigest() for x in ids]]
+                ids = encode([t or "" for t in part.column(1).to_pylist()], ranks_path)
+                at = [offsets(x, ranks_path) for x in ids]
+                decoded = [hashlib.sha256(decode(x, o, ranks_path)).hexdigest() for x, o in zip(ids, at)]
+                raw = [x.astype("<u4").tobytes() for x in ids]
+                columns = [part.column(0), [len(x) for x in ids], raw, [o.astype("<i8").tobytes() for o in at], [hashlib.sha256(x).hexdigest() for x in raw], decoded]
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds.values())], list(kinds))
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids binary, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids binary, offsets binary, ids_sha256 string, decoded_sha256 string")

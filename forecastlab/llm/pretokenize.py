@@ -88,35 +88,38 @@ def states_before(symbol: np.ndarray, width: int = 64) -> np.ndarray:
     return out.T.reshape(-1)[:n]
 
 
-def boundaries(texts: list[str]) -> list[tuple[bytes, np.ndarray]]:
-    """For each text its UTF-8 bytes and the byte offsets of its tokens' starts, and of the end."""
+def cuts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of all texts after one another, the offsets in them at which tokens start, with the end, and how many tokens each text has."""
     end = 0x10FFFF  # a noncharacter; a text that has it is taken by itself
     odd = [i for i, t in enumerate(texts) if chr(end) in t]
     if odd and len(texts) > 1:
-        return [boundaries([t])[0] for t in texts]
+        parts = [cuts([t]) for t in texts]
+        base = np.cumsum([0, *[len(data) for data, *_ in parts]])
+        return np.concatenate([d for d, *_ in parts]), np.concatenate([*[at[:-1] + b for (_, at, _), b in zip(parts, base)], base[-1:]]), np.concatenate([n for *_, n in parts])
     if odd:
         end = next(c for c in range(0xE000, 0x110000) if chr(c) not in texts[0])
-    points = np.frombuffer((chr(end).join(texts) + chr(end)).encode("utf-32-le"), dtype=np.uint32)
+    points = np.frombuffer((chr(end).join(texts) + chr(end)).encode("utf-32-le"), dtype=np.uint32) if texts else np.zeros(0, dtype=np.uint32)
+    data = np.frombuffer("".join(texts).encode(), dtype=np.uint8)
+    if not len(points):
+        return data, np.zeros(1, dtype=np.int64), np.zeros(0, dtype=np.int64)
     symbol = _symbols(points, end)
-    start = _tables()[2][symbol, states_before(symbol)]
-    closing = np.flatnonzero(symbol == S_END)
-    size = 1 + (points >= 0x80).astype(np.int8) + (points >= 0x800) + (points >= 0x10000)
-    size[closing] = 0
-    offset = np.concatenate([np.zeros(1, dtype=np.int64), np.cumsum(size, dtype=np.int64)])
-    at = np.flatnonzero(start)
-    split = np.searchsorted(at, closing)
-    out, first, base = [], 0, 0
-    for text, last in zip(texts, split.tolist()):
-        data = text.encode()
-        out.append((data, np.append(offset[at[first:last]] - base, len(data))))
-        first, base = last + 1, base + len(data)
-    return out
+    closing = symbol == S_END
+    start = np.flatnonzero(_tables()[2][symbol, states_before(symbol)] & ~closing)
+    if len(data) == len(points) - len(texts):
+        offset = np.arange(len(points), dtype=np.int64) - (np.cumsum(closing) - closing)
+    else:
+        size = 1 + (points >= 0x80).astype(np.int8) + (points >= 0x800) + (points >= 0x10000)
+        size[closing] = 0
+        offset = np.cumsum(size, dtype=np.int64) - size
+    return data, np.append(offset[start], len(data)), np.diff(np.searchsorted(start, np.flatnonzero(closing)), prepend=0)
 
 
-def pre_tokens(texts: list[str]) -> list[list[bytes]]:
-    """Each text's pre-tokens. A byte that UTF-8 never has is put between them, and the text is split there."""
-    out = []
-    for data, at in boundaries(texts):
-        marked = np.insert(np.frombuffer(data, dtype=np.uint8), at[1:-1], 0xFF)
-        out.append(marked.tobytes().split(b"\xff") if data else [])
+def boundaries(texts: list[str]) -> list[tuple[bytes, np.ndarray]]:
+    """For each text its UTF-8 bytes and the byte offsets of its tokens' starts, and of the end."""
+    _, at, n = cuts(texts)
+    out, first, base = [], 0, 0
+    for text, tokens in zip(texts, n.tolist()):
+        data = text.encode()
+        out.append((data, np.append(at[first : first + tokens] - base, len(data))))
+        first, base = first + tokens, base + len(data)
     return out

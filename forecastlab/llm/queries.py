@@ -54,7 +54,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken")).drop("ids")
+    return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken")).drop("ids", "offsets")
 
 
 QUERIES = {f.__name__: f for f in (op1_mixing, op2_html_extraction, op3_sharding, op4_simhash, op5_fingerprints, op6_exact_dedup, op7_url_filter, op8_token_files, op9_quality, op10_bpe)}

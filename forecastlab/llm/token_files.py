@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
 from functools import cache
-from struct import Struct, pack
+from struct import Struct
 from uuid import uuid4
 from zlib import crc32
 
@@ -16,9 +17,8 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import Remembered
 from .common import id_buckets, in_buckets
-from .pretokenize import pre_tokens
+from .piece_table import PieceTable
 
 MAGIC, HEAD = b"IDPLANE1", Struct("<8sIIQQ")
 #: Ids in a block, and what a block is cut into: 4 byte planes or 32 bit planes.
@@ -85,52 +85,46 @@ def byte_letters() -> dict[int, str]:
 LETTERS = byte_letters()
 
 
-class LibraryPieces(Remembered):
-    """Pre-token to ids by the tokenizers library's model. Byte-level BPE encodes each pre-token by itself, as letters for its bytes."""
+class Library:
+    """The tokenizers library's encode(text, add_special_tokens=False) for one tokenizer file.
+
+    A byte-level BPE file without normaliser, whose pre-tokeniser is the usual one, encodes each pre-token by itself, as
+    letters for its bytes; so the library's model gets each new pre-token once. Texts are split at the file's added
+    tokens, which have ids of their own, as the library does. Any other file's texts go to the library as they are.
+    """
 
     def __init__(self, path: str):
-        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        tokens = self.tokenizer.get_added_tokens_decoder()
-        self.added = {t.content: pack("<I", i) for i, t in tokens.items()}
+        how, tokens = json.loads(self.tokenizer.to_str()), self.tokenizer.get_added_tokens_decoder()
+        before, model = how["pre_tokenizer"] or {}, how["model"]
+        self.by_pieces = (
+            how["normalizer"] is None and how["truncation"] is None and how["padding"] is None
+            and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+            and model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "fuse_unk"))
+            and not any(t.single_word or t.lstrip or t.rstrip for t in tokens.values())
+        )
+        self.added = {t.content: np.array([i], dtype=np.uint32) for i, t in tokens.items()}
         longest_first = sorted(self.added, key=len, reverse=True)
         self.split = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")").split if self.added else lambda text: [text]
-        #: Whether added tokens depend on more than their own letters, so that the library is to find them.
-        self.odd = any(t.single_word or t.lstrip or t.rstrip for t in tokens.values()) or self.tokenizer.normalizer is not None
-
-    def learn(self, pieces: set[bytes]) -> dict[bytes, bytes]:
-        """The ids of pre-tokens that are not in the younger generation: from the older one, or from the library."""
-        found = {p: self.keep(p, ids) for p in pieces if (ids := self.older.get(p)) is not None}
         tokenize = self.tokenizer.model.tokenize
-        for p in pieces:
-            if p not in found:
-                tokens = tokenize(p.decode("latin-1").translate(LETTERS))
-                found[p] = self.keep(p, pack("<%dI" % len(tokens), *[t.id for t in tokens]))
-        return found
-
-
-@cache
-def library_pieces(path: str) -> LibraryPieces:
-    """The worker's memory for a tokenizer file; it outlives tasks."""
-    return LibraryPieces(path)
+        self.table = PieceTable(lambda pieces: [[t.id for t in tokenize(p.decode("latin-1").translate(LETTERS))] for p in pieces])
 
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if not self.by_pieces:
+            return [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        parts = [self.split(t) for t in texts]
+        between = iter(self.table.encode([t for p in parts for t in p[::2]]))
+        whole = [[self.added[t] if k % 2 else next(between) for k, t in enumerate(p)] for p in parts]
+        return [p[0] if len(p) == 1 else np.concatenate(p) for p in whole]
 
-def encode_with_library(texts: list[str], known: LibraryPieces) -> list[bytes]:
-    """The ids of each text as little-endian unsigned 32-bit bytes, as the library's encode(text, add_special_tokens=False) has them.
 
-    Texts are split at added tokens, which have ids of their own; of what is between, each new pre-token is encoded once.
-    """
-    parts = [known.split(t) for t in texts]
-    whole = {i: known.tokenizer.encode(t, add_special_tokens=False).ids for i, (t, p) in enumerate(zip(texts, parts)) if known.odd and len(p) > 1}
-    cut_up = pre_tokens([t for p in parts for t in p[::2]])
-    got = [list(map(known.get, pieces)) for pieces in cut_up]
-    new = known.learn({p for pieces, ids in zip(cut_up, got) if None in ids for p, i in zip(pieces, ids) if i is None})
-    between = iter([b"".join([new[p] if i is None else i for p, i in zip(pieces, ids)] if None in ids else ids) for pieces, ids in zip(cut_up, got)])
-    out = [b"".join([known.added[t] if k % 2 else next(between) for k, t in enumerate(p)]) for p in parts]
-    return [pack("<%dI" % len(whole[i]), *whole[i]) if i in whole else ids for i, ids in enumerate(out)]
+@cache
+def library(path: str) -> Library:
+    """The worker's tokenizer of a file, with its memory; it outlives tasks."""
+    return Library(path)
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | None = 2, per_shard: int = 2_000, ids_per_file: int = 1_000_000) -> None:
@@ -146,28 +140,28 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     keyed = rows.withColumn("k", F.coalesce("doc_id", F.lit(-(2**63))))
     bounds = id_buckets(keyed.select(F.col("k").cast("double").alias("doc_id")), per_shard)
     sorted_ = in_buckets(keyed, "k", bounds, "shard").repartition(len(bounds) + 1, "shard").sortWithinPartitions("shard", "k", "text")
-    end = b"" if end_id is None else end_id.to_bytes(4, "little")
+    end = np.array([] if end_id is None else [end_id], dtype=np.uint32)
     names = ["shard", "file", "ids", "n_ids", "data"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, shard, file, ids, parts, size = library_pieces(tokenizer_path), None, 0, [], [], 0
+        known, shard, file, ids, parts, size = library(tokenizer_path), None, 0, [], [], 0
 
         def close() -> pa.RecordBatch:
-            all_ids = np.frombuffer(b"".join(parts), dtype="<u4")
-            data = pack_ids(all_ids, np.array([len(p) // 4 for p in parts]))
+            all_ids = np.concatenate([x for p in parts for x in (p, end)])
+            data = pack_ids(all_ids, np.array([len(p) + len(end) for p in parts]))
             return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([file], pa.int32()), pa.array([ids], pa.list_(pa.int64())), pa.array([len(all_ids)], pa.int64()), pa.array([data], pa.binary())], names)
 
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                for doc, s, e in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), encode_with_library(part.column(1).to_pylist(), known)):
-                    if parts and (s != shard or size >= 4 * ids_per_file):
+                for doc, s, e in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), known.encode(part.column(1).to_pylist())):
+                    if parts and (s != shard or size >= ids_per_file):
                         yield close()
                         file, ids, parts, size = (file + 1 if s == shard else 0), [], [], 0
                     shard = s
                     ids.append(doc)
-                    parts.append(e + end)
-                    size += len(parts[-1])
+                    parts.append(e)
+                    size += len(e) + len(end)
         if parts:
             yield close()
 

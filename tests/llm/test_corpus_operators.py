@@ -349,7 +349,6 @@ def test_token_files_query(spark, sf, texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     start, want = 0, {}
     for i in sorted(texts):
         ids = np.array([*t.encode(texts[i], add_special_tokens=False).ids, 2], dtype="<u4")
@@ -400,10 +399,11 @@ def test_bpe_on_random_texts(tiktoken_encoding):
     rng, some = random.Random(1), "abst 'sr ve'll  \n\t'td1２é½!?.　 \x1c漢😀m'\U0010ffff"
     texts = ["".join(rng.choice(some) for _ in range(rng.randint(0, 40))) for _ in range(1500)] + ["", "a" * 3000 + "bc" * 2000, " " * 300, "'s's''s", "<|endoftext|>"]
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    for t, ids in zip(texts, bpe.encode(texts, bpe.Pieces(bpe.load_ranks(path)))):
-        assert np.frombuffer(ids, dtype="<u4").tolist() == tiktoken_encoding.encode_ordinary(t)
-        assert bpe.decode(ids, bpe.token_table(path)) == t.encode()
-        assert bpe.offsets(ids, bpe.token_table(path))[-1] == len(t.encode())
+    for t, ids in zip(texts, bpe.encode(texts, path)):
+        assert ids.tolist() == tiktoken_encoding.encode_ordinary(t)
+        at = bpe.offsets(ids, path)
+        assert bpe.decode(ids, at, path) == t.encode()
+        assert at[-1] == len(t.encode()) and [t.encode()[a:b] for a, b in zip(at, at[1:])] == [tiktoken_encoding.decode_single_token_bytes(i) for i in ids]
 
 
 def test_boundaries_cover_texts():
@@ -411,12 +411,33 @@ def test_boundaries_cover_texts():
         assert at[-1] == len(data) and at.tolist() == sorted({*at.tolist()} | {0})
 
 
-def test_bpe_awkward(spark):
+def test_bpe_awkward(spark, tiktoken_encoding):
     got = bpe.encode_documents(docs_of(spark, AWKWARD), public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    assert got.count() == len(AWKWARD)
+    key = lambda r: (r[0] is not None, r[0] or 0, r[1])
+    want = [(i, np.array(tiktoken_encoding.encode_ordinary(t or ""), dtype="<u4").tobytes()) for i, t, _ in AWKWARD]
+    rows = got.collect()
+    assert sorted([(r["doc_id"], bytes(r["ids"])) for r in rows], key=key) == sorted(want, key=key)
+    assert all(r["decoded_sha256"] in {hashlib.sha256((t or "").encode()).hexdigest() for _, t, _ in AWKWARD} for r in rows)
+    assert all(len(r["offsets"]) == 8 * (r["n_tokens"] + 1) for r in rows)
     assert bpe.encode_documents(docs_of(spark, []), public_tokenizers.path("byte_bpe_50k.tiktoken")).count() == 0
 
 
+def test_piece_table_starts_anew_when_full(monkeypatch, tiktoken_encoding):
+    """A small table: full several times, its slots crowded, texts longer than a chunk; ids stay right."""
+    from forecastlab.llm import piece_table
+
+    for name, value in (("SLOT_BITS", 10), ("REMEMBERED", 600), ("CHUNK", 1 << 11)):
+        monkeypatch.setattr(piece_table, name, value)
+    piece_table._powers.cache_clear()
+    ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    table_ = piece_table.PieceTable(lambda pieces: [bpe.merge(p, ranks) for p in pieces])
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{rng.integers(900)}" for _ in range(n)) for n in (1, 50, 3000, 0, 2000)] + ["y" * 5000 + " tail"]
+    got = [x.tolist() for _ in range(2) for x in table_.encode(texts)]
+    piece_table._powers.cache_clear()
+    assert got == [tiktoken_encoding.encode_ordinary(t) for t in texts] * 2
+
+
 # --- 9 quality
 
 
