@@ -49,15 +49,32 @@ def plan_sources(rows: DataFrame, block_words: int, cycle: tuple[float, ...], sh
     }).astype({"src": "int32", "source_size": "int64", "target": "float64", "blocks": "int64", "draws": "int64"})
 
 
+def hypergeometric(good: int, bad: int, n: int, u: float) -> int:
+    """The number of good ones among n drawn without return, by inverting the distribution at u, whatever the sizes.
+
+    Probabilities are summed over 8 standard deviations around the mode, beyond which less than 1e-15 lies; that is
+    some 16 times the square root of n / 4 numbers, a few million for 1e11 blocks.
+    """
+    least, most, total = max(0, n - bad), min(good, n), good + bad
+    if least == most:
+        return least
+    mode = min(most, max(least, (n + 1) * (good + 1) // (total + 2)))
+    wide = 30 + int(8 * (n * (good / total) * (bad / total) * ((total - n) / max(1, total - 1))) ** 0.5)
+    low, high = max(least, mode - wide), min(most, mode + wide)
+    k = np.arange(low, high, dtype=np.float64)
+    steps = np.log((good - k) / (k + 1)) + np.log((n - k) / (bad - n + k + 1))
+    logs = np.concatenate([[0.0], np.cumsum(steps)])
+    below = np.cumsum(np.exp(logs - logs.max()))
+    return low + min(int(np.searchsorted(below, u * below[-1], side="right")), high - low)
+
+
 def _part(quota: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
     """How many of n draws without return fall on each source: multinomial counts, given that all quotas are used up in the end."""
-    total = int(quota.sum())
-    if total < 1_000_000_000:
-        return rng.multivariate_hypergeometric(quota, n, method="marginals")
-    base = np.array([int(q) * n // total for q in quota.tolist()], dtype=np.int64)
-    while (short := n - int(base.sum())) > 0:
-        base += np.minimum(rng.multinomial(short, quota / total), quota - base)
-    return base
+    out, total = np.zeros(len(quota), dtype=np.int64), int(quota.sum())
+    for i, (q, u) in enumerate(zip(quota.tolist(), rng.random(len(quota)).tolist())):
+        out[i] = hypergeometric(q, total - q, n, u)
+        total, n = total - q, n - int(out[i])
+    return out
 
 
 def shard_counts(shard: int, shards: int, slots: int, quota: tuple[int, ...], seed: int, node=None) -> tuple[np.ndarray, np.ndarray]:
@@ -119,14 +136,14 @@ def draw_slots(spark, plan: pd.DataFrame, slots_per_shard: int, seed: int) -> Da
 
 
 def pack(rows: DataFrame, plan: pd.DataFrame, block_words: int) -> DataFrame:
-    """rows (skey, size and others) with their place in their source: src, start, source_size, target.
+    """rows (skey, doc_id, size, mark and others) with their place in their source: src, start, source_size, target.
 
     Starts are running sums of size by source in a hashed order. A source can be most rows, so sums run inside
     (source, bucket) and then over buckets, whose number grows as the square root of the rows.
     """
     spark = rows.sparkSession
     rows = rows.withColumn("h", F.xxhash64("doc_id")).withColumn("bucket", F.pmod("h", F.lit(root_scale(rows.count(), 16, 1_000_000))))
-    inside = Window.partitionBy("skey", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("skey", "bucket").orderBy("h", "doc_id", "size", "mark").rowsBetween(Window.unboundedPreceding, -1)
     over = Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = rows.groupBy("skey", "bucket").agg(F.sum("size").alias("in_bucket"))
     offsets = sums.withColumn("offset", F.coalesce(F.sum("in_bucket").over(over), F.lit(0))).join(spark.createDataFrame(plan), "skey").drop("in_bucket")
@@ -143,13 +160,17 @@ def pieces(placed: DataFrame, block_words: int) -> DataFrame:
     return cut_up.withColumn("first", first).withColumn("words", end - first)
 
 
-def mix(docs: DataFrame, cycle: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, block_words: int = 64, slots_per_shard: int = 4096, seed: int = 7) -> tuple[DataFrame, DataFrame]:
-    """docs (doc_id, text, source) in place, and the slots of the mix; see mix_counts and mix_documents."""
-    rows = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")).withColumn("skey", source_key()))
+def _sized(docs: DataFrame, *others: str) -> DataFrame:
+    """doc_id, source, size, mark (a hash of the text, which orders rows alike in the others), skey, and others."""
+    return docs.select(*others, "doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("mark"), source_key().alias("skey"))
+
+
+def mix(rows: DataFrame, cycle: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, block_words: int = 64, slots_per_shard: int = 4096, seed: int = 7) -> tuple[DataFrame, DataFrame]:
+    """rows (skey, doc_id, size, mark) in place, and the slots of the mix; see mix_counts and mix_documents."""
     plan = plan_sources(rows, block_words, cycle, share, cap)
     if plan.empty:
         plan.loc[0] = ["null", 0, 0, 0.0, 0, 0]
-    return cut(pack(rows, plan, block_words)), draw_slots(docs.sparkSession, plan, slots_per_shard, seed)
+    return cut(pack(rows, plan, block_words)), draw_slots(rows.sparkSession, plan, slots_per_shard, seed)
 
 
 def mix_counts(docs: DataFrame, block_words: int = 64, **how) -> DataFrame:
@@ -159,7 +180,7 @@ def mix_counts(docs: DataFrame, block_words: int = 64, **how) -> DataFrame:
     repeated rows have places of their own. An empty table gives an empty result. No block comes more often than cap
     times, so no document exceeds cap times its size; draws are seeded, so reruns agree.
     """
-    placed, slots = mix(docs, block_words=block_words, **how)
+    placed, slots = mix(cut(_sized(docs.select("doc_id", "text", "source"))), block_words=block_words, **how)
     # the hint: slots grow with the input, but Spark takes what Python makes of a range to be as small as the range
     times = slots.groupBy("src", "block").agg(F.count("*").alias("times"))
     used = pieces(placed, block_words).join(times.hint("merge"), ["src", "block"], "left").withColumn("used", F.col("words") * F.coalesce("times", F.lit(0)))
@@ -170,31 +191,24 @@ def mix_counts(docs: DataFrame, block_words: int = 64, **how) -> DataFrame:
 
 
 def mix_documents(docs: DataFrame, block_words: int = 64, **how) -> DataFrame:
-    """The mix as documents with the columns of docs: a row for each document and epoch that takes words of it.
+    """The mix as documents with the columns of docs: a row for each row and epoch that takes words of it.
 
     A document whose blocks are all taken in an epoch keeps its text as it is; of another, the taken words are joined
     by single spaces. n_chars is of the new text. Documents that the mix takes nothing of, such as those without
-    words, have no row. Rows are told apart by doc_id, source and number of words; rows alike in these that differ in
-    text are told apart by their hash.
+    words, have no row; an empty table gives an empty result. Rows are numbered and kept once, with their texts, so
+    repeated rows have places, words and rows of their own; other columns, whatever their names, go along.
     """
-    mark = F.xxhash64("text")
-    own = docs.select("doc_id", "text", "source", mark.alias("_mark"))
-    rows = cut(own.select("doc_id", "source", word_count(F.col("text")).alias("size"), "_mark").withColumn("skey", source_key()))
-    how = {"cycle": (5, 2, 1), "share": 1.5, "cap": 2.0, "slots_per_shard": 4096, "seed": 7} | how
-    plan = plan_sources(rows, block_words, how["cycle"], how["share"], how["cap"])
-    if plan.empty:
-        return docs.limit(0)
-    placed, slots = pack(rows, plan, block_words), draw_slots(docs.sparkSession, plan, how["slots_per_shard"], how["seed"])
+    numbered = cut(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("no")))
+    rows = cut(_sized(numbered.select("row.doc_id", "row.text", "row.source", "no"), "no"))
+    placed, slots = mix(rows, block_words=block_words, **how)
     taken = pieces(placed, block_words).join(slots.select("src", "block", "epoch").hint("merge"), ["src", "block"])
-    runs = taken.groupBy("src", "start", "doc_id", "_mark", "size", "epoch").agg(F.sum("words").alias("_taken"), F.sort_array(F.collect_list(F.struct("first", "words"))).alias("_parts"))
-    runs = runs.select(F.col("doc_id").alias("_id"), F.col("_mark").alias("_m"), F.col("size").alias("_size"), "_taken", "_parts", "epoch").dropDuplicates(["_id", "_m", "epoch"])
-    found = docs.withColumn("_mark", mark).join(runs, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_m")))
+    runs = taken.groupBy("no", "size", "epoch").agg(F.sum("words").alias("taken"), F.sort_array(F.collect_list(F.struct("first", "words"))).alias("parts"))
+    found = numbered.join(runs, "no")
     # the outer transform binds the words, so that they are found once a row and only in rows that are taken in part
     some = F.transform(
-        F.array(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))),
-        lambda words: F.array_join(F.flatten(F.transform("_parts", lambda p: F.slice(words, p["first"].cast("int") + 1, p["words"].cast("int")))), " "),
+        F.array(F.regexp_extract_all("row.text", F.lit(WORD), F.lit(0))),
+        lambda words: F.array_join(F.flatten(F.transform("parts", lambda p: F.slice(words, p["first"].cast("int") + 1, p["words"].cast("int")))), " "),
     )[0]
-    out = found.withColumn("text", F.when(F.col("_taken") == F.col("_size"), F.col("text")).otherwise(some))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(docs.columns)
+    out = found.withColumn("text", F.when(F.col("taken") == F.col("size"), F.col("row.text")).otherwise(some))
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return out.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])

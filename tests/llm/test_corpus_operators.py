@@ -85,6 +85,39 @@ def test_mixing_awkward(spark):
     assert mixing.mix_documents(docs_of(spark, [])).count() == 0
 
 
+def test_draws_have_the_same_law_at_every_size():
+    """Means and deviations of 400 draws of 4096 slots at 30,000, a million, 2e9 and 1e11 blocks; exact sums; small cases against numpy."""
+    for total in (30_000, 1_000_000, 2_000_000_000, 100_000_000_000):
+        quota = np.array([total * 6 // 10, total // 4, total - total * 6 // 10 - total // 4], dtype=np.int64)
+        got = np.array([mixing._part(quota, 4096, np.random.default_rng([9, k])) for k in range(400)])
+        assert (got.sum(axis=1) == 4096).all() and (got >= 0).all()
+        p = quota / total
+        sd = np.sqrt(4096 * p * (1 - p) * (total - 4096) / (total - 1))
+        assert (np.abs(got.mean(axis=0) - 4096 * p) < 4 * sd / 20).all()
+        assert (np.abs(got.std(axis=0) / sd - 1) < 0.2).all()
+    half = [mixing._part(np.array([6 * 10**10, 4 * 10**10]), 5 * 10**10, np.random.default_rng(k))[0] for k in range(40)]
+    sd = (5e10 * 0.24 / 2) ** 0.5
+    assert abs(np.mean(half) - 3e10) < 4 * sd / 6 and 0.6 < np.std(half) / sd < 1.5
+    assert [mixing.hypergeometric(3, 2, 5, u) for u in (0, 0.5, 0.999)] == [3, 3, 3] and mixing.hypergeometric(0, 9, 4, 0.5) == 0
+    grid = [mixing.hypergeometric(5, 7, 6, (i + 0.5) / 20_000) for i in range(20_000)]
+    want = np.random.default_rng(0).hypergeometric(5, 7, 6, 200_000)
+    assert np.abs(np.bincount(grid, minlength=6) / 20_000 - np.bincount(want, minlength=6) / 200_000).max() < 0.01
+
+
+def test_mixed_repeated_rows_hold_what_they_take(spark):
+    """Rows that repeat each other, one id with two texts, and columns called epoch, no and row."""
+    words = lambda n, w: " ".join(f"{w}{i}" for i in range(n))
+    rows = [(1, words(500, "a"), "s1")] * 2 + [(1, words(500, "b"), "s1"), (2, words(700, "c"), "s2"), (None, words(90, "d"), None), (None, words(90, "d"), None), (3, None, "s1")]
+    docs = docs_of(spark, rows).selectExpr("*", "'e' AS epoch", "1L AS no", "2L AS row")
+    taken = sum(r["taken"] for r in mixing.mix_counts(docs).collect())
+    mixed = mixing.mix_documents(docs)
+    got = mixed.collect()
+    assert mixed.columns == docs.columns and {(r["epoch"], r["no"], r["row"]) for r in got} == {("e", 1, 2)}
+    assert sum(len(r["text"].split()) for r in got) == taken
+    for r in got:
+        assert any(set(r["text"].split()) <= set((t or "").split()) and r["doc_id"] == i for i, t, _ in rows)
+
+
 def test_mixed_documents_hold_what_is_taken(docs):
     whole = docs.filter("text is not null")
     counts = {r["doc_id"]: r["taken"] for r in mixing.mix_counts(whole).collect()}
