@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -13,13 +14,13 @@ from xxhash import xxh3_128_digest
 
 from .common import cut, slices
 from .components import components
-from .simhash import _LOWER, SEGMENT_BITS, anchors, keep_firsts, text_mark
+from .simhash import _LOWER, keep_firsts, text_mark
 
 #: Words in a shingle; least similarity in fifths (four of five shingles in common).
 WORDS, FIFTHS = 5, 4
 #: Bits of a fingerprint in segments of 16, and the most that may differ in a candidate. Two segments within 1 of each other always meet at an
 #: anchor, so pairs within 15 bits are always candidates; at a similarity of 0.8 the mean is 19 bits and the deviation 4.
-SEGMENTS, RADIUS = 8, 30
+SEGMENTS, SEGMENT_BITS, RADIUS = 8, 16, 30
 ANCHORS = SEGMENTS * 2 ** (11 + 1)
 _ROW = np.dtype([("anchor", "<i4"), ("role", "u1"), ("node", "<i8"), ("low", "<u8"), ("high", "<u8"), ("size", "<i4"), ("label", "<i8")])
 _HOME, _GUEST = 1, 2
@@ -74,6 +75,22 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return found if repeated.isEmpty() else cut(found.dropDuplicates(["node"]))
 
 
+@cache
+def anchors(threshold: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """The words of the perfect [15, 11] Hamming code, of covering radius 1, beside a free bit: for each 16-bit value its nearest anchor, and the anchors within covering radius plus threshold, padded with -1."""
+    values = np.arange(1 << SEGMENT_BITS, dtype=np.int64)
+    bits = (values[:, None] >> np.arange(15)) & 1
+    syndrome = np.bitwise_xor.reduce(bits * np.arange(1, 16), axis=1)
+    home = np.where(syndrome > 0, values ^ (1 << np.maximum(syndrome - 1, 0)), values)
+    codewords = np.unique(home)
+    code_no = np.full(1 << SEGMENT_BITS, -1, dtype=np.int32)
+    code_no[codewords] = np.arange(len(codewords))
+    flips = np.array([m for m in range(1 << SEGMENT_BITS) if m.bit_count() <= 1 + threshold], dtype=np.int64)
+    near = np.sort(code_no[values[:, None] ^ flips[None, :]], axis=1)[:, ::-1]
+    near = near[:, : int((near >= 0).sum(axis=1).max())]
+    return code_no[home], near
+
+
 def _covered(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Anchor, whether it is the fingerprint's own (nearest) one, and row, for each fingerprint and anchor that covers it."""
     home, near = anchors()

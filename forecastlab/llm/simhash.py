@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import cache
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -51,42 +53,65 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
 
 
-#: The anchors of a 16-bit segment: the perfect [15, 11] Hamming code on 15 bits, next to the free last bit. Its covering radius is 1.
-SEGMENTS, SEGMENT_BITS, RADIUS = 4, 16, 1
+#: What comparing two fingerprints costs, as a part of what a shuffled row does.
+COMPARING = 0.001
+
+
+class Cover:
+    """The anchors of one segment of a fingerprint: the words of a perfect Hamming code of covering radius 1 beside free bits.
+
+    The code has 4 parity bits over 15 (3 over 7 in segments under 15 bits). A value's syndrome alone says which flips
+    lead to its nearest anchor, and which to all anchors within radius plus threshold.
+    """
+
+    def __init__(self, shift: int, width: int, threshold: int):
+        self.parity = 4 if width >= 15 else 3
+        coded = (1 << self.parity) - 1
+        self.shift, self.mask, self.coded = np.uint64(shift), np.uint64((1 << width) - 1), np.uint64((1 << coded) - 1)
+        bits = (np.arange(1 << coded)[:, None] >> np.arange(coded)) & 1
+        self.syndrome = np.bitwise_xor.reduce(bits * np.arange(1, coded + 1), axis=1).astype(np.int64)
+        flips = [sum(1 << i for i in some) for n in range(2 + threshold) for some in combinations(range(width), n)]
+        by = [[m for m in flips if self.syndrome[m & int(self.coded)] == s] for s in range(coded + 1)]
+        self.flips = np.array([x + [0] * (max(map(len, by)) - len(x)) for x in by], dtype=np.uint64)
+        self.valid = np.array([[True] * len(x) + [False] * (self.flips.shape[1] - len(x)) for x in by])
+
+    def anchors(self, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Anchor, whether it is the fingerprint's own (nearest) one, and row, for each fingerprint and anchor that covers it."""
+        value = (fps.view(np.uint64) >> self.shift) & self.mask
+        syndrome = self.syndrome[(value & self.coded).astype(np.int64)]
+        home = np.where(syndrome > 0, value ^ (np.uint64(1) << np.maximum(syndrome - 1, 0).astype(np.uint64)), value)
+        row, k = np.nonzero(self.valid[syndrome])
+        key = value[row] ^ self.flips[syndrome[row], k]
+        return key.astype(np.int64), key == home[row], row
+
+
+def segments(n: int, bits: int) -> list[tuple[int, int]]:
+    """Widths and thresholds of the segments for n fingerprints that at most bits differing bits link.
+
+    Of k segments one differs in at most bits // k. Many narrow ones need few copies of a fingerprint, few wide ones
+    have far more anchors; the cheapest k is taken, so rows at an anchor stay few however many fingerprints there are.
+    """
+
+    def plan(k: int) -> list[tuple[int, int]]:
+        return [(64 // k + (i < 64 % k), bits // k) for i in range(k)]
+
+    def cost(k: int) -> float:
+        each = [(sum(comb(w, i) for i in range(t + 2)) / (1 << parity), 1 << (w - parity)) for w, t in plan(k) for parity in (4 if w >= 15 else 3,)]
+        return sum(rows * (1 + COMPARING * n / anchors) for rows, anchors in each)
+
+    return plan(min((k for k in range(1, min(8, bits + 2)) if bits // k <= 2), key=cost))
 
 
 @cache
-def anchors(threshold: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """For each 16-bit value its nearest anchor, and the anchors within covering radius plus threshold, padded with -1."""
-    values = np.arange(1 << SEGMENT_BITS, dtype=np.int64)
-    bits = (values[:, None] >> np.arange(15)) & 1
-    syndrome = np.bitwise_xor.reduce(bits * np.arange(1, 16), axis=1)
-    home = np.where(syndrome > 0, values ^ (1 << np.maximum(syndrome - 1, 0)), values)
-    codewords = np.unique(home)
-    code_no = np.full(1 << SEGMENT_BITS, -1, dtype=np.int32)
-    code_no[codewords] = np.arange(len(codewords))
-    flips = np.array([m for m in range(1 << SEGMENT_BITS) if m.bit_count() <= RADIUS + threshold], dtype=np.int64)
-    near = np.sort(code_no[values[:, None] ^ flips[None, :]], axis=1)[:, ::-1]
-    near = near[:, : int((near >= 0).sum(axis=1).max())]
-    return code_no[home], near
-
-
-#: Anchors of all segments: a bound on the rows of the table that says which of them are crowded.
-ANCHORS = SEGMENTS * 2 ** (11 + 1)
-
-
-def _covered(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor, whether it is the fingerprint's own (nearest) one, and row, for each fingerprint and anchor that covers it."""
-    home, near = anchors()
-    keys, own, row = [], [], []
-    for s in range(SEGMENTS):
-        seg = ((fps.view(np.uint64) >> np.uint64(SEGMENT_BITS * s)) & np.uint64(0xFFFF)).astype(np.int64)
-        got = near[seg]
-        r, c = np.nonzero(got >= 0)
-        keys.append(got[r, c] + s * (ANCHORS // SEGMENTS))
-        own.append(got[r, c] == home[seg[r]])
-        row.append(r)
-    return np.concatenate(keys).astype(np.int32), np.concatenate(own), np.concatenate(row)
+def covers(plan: tuple[tuple[int, int], ...]) -> list[Cover]:
+    ends = np.cumsum([w for w, _ in plan]).tolist()
+    return [Cover(end - w, w, t) for end, (w, t) in zip(ends, plan)]
+
+
+def _covered(fps: np.ndarray, plan: tuple[tuple[int, int], ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As Cover.anchors, for all segments; the anchor's number begins with that of its segment."""
+    found = [c.anchors(fps) for c in covers(plan)]
+    return np.concatenate([key + (s << 48) for s, (key, *_) in enumerate(found)]), np.concatenate([own for _, own, _ in found]), np.concatenate([row for *_, row in found])
 
 
 def _linked(fps: np.ndarray, home: np.ndarray, bits: int, cells: int = 4_000_000) -> list[tuple[int, int]]:
@@ -112,35 +137,35 @@ def _linked(fps: np.ndarray, home: np.ndarray, bits: int, cells: int = 4_000_000
     return [(x, label[x]) for x in linked]
 
 
-def links(distinct: DataFrame, bits: int = 4, crowd: int = 4096) -> DataFrame:
+def links(distinct: DataFrame, bits: int = 4, crowd: int = 4096, plan: list[tuple[int, int]] | None = None) -> DataFrame:
     """Edges (a, b) between fingerprints of distinct (fp), which connect exactly what at most bits differing bits connect.
 
-    With four segments and at most 4 differing bits, some segment differs in at most 1. The anchors of a segment are the
-    words of a covering code of radius 1: a fingerprint's own anchor is within 1 of it, so within 1 + 1 of the other's
-    segment, and every fingerprint goes to all anchors within that distance (at most 9 a segment). Per anchor, those
-    at home there are compared with all that came. Anchors with over crowd rows are cut into a grid of cells of at
-    most crowd homes and visitors each, so that no task holds a crowd; no pair is left out.
+    With k segments and at most `bits` differing bits, some segment differs in at most t = bits // k (see segments). The
+    anchors of a segment are the words of a covering code of radius 1: a fingerprint's own anchor is within 1 of it, so
+    within 1 + t of the other's segment, and every fingerprint goes to all anchors within that distance. Per anchor,
+    those at home there are compared with all that came. Anchors with over crowd homes or four times as many visitors
+    are cut into a grid of cells of at most so many, so that no task holds a crowd; no pair is left out.
     """
-    if bits // SEGMENTS != 1:
-        raise ValueError("the anchors of this code cover thresholds of 4 to 7 bits")
+    n = distinct.count()
+    how = tuple(plan or segments(n, bits))
 
     def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 4096):
+            for part in slices(batch, 1024):
                 fps = part.column(0).to_numpy(zero_copy_only=False)
-                key, own, row = _covered(fps)
+                key, own, row = _covered(fps, how)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(own), pa.array(fps[row])], ["anchor", "own", "fp"])
 
-    covered = distinct.select("fp").mapInArrow(cover, "anchor int, own boolean, fp long")
-    load = cut(covered.groupBy("anchor").agg(F.count("*").alias("n"), F.sum(F.col("own").cast("int")).alias("homes")))
-    total = load.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    grid = F.broadcast(load.filter(F.col("n") > crowd).select("anchor", F.ceil(F.col("homes") / crowd).cast("int").alias("gi"), F.ceil(F.col("n") / crowd).cast("int").alias("gj")))
-    pages = max(1, min(ANCHORS, total // 16_384))
+    covered = distinct.select("fp").mapInArrow(cover, "anchor long, own boolean, fp long")
+    load = covered.groupBy("anchor").agg(F.count("*").alias("n"), F.sum(F.col("own").cast("int")).alias("homes"))
+    crowded = cut(load.filter((F.col("homes") > crowd) | (F.col("n") > 4 * crowd)))  # as many as rows by crowd at most
+    grid = F.broadcast(crowded.select("anchor", F.ceil(F.greatest(F.col("homes"), F.lit(1)) / crowd).cast("int").alias("gi"), F.ceil(F.col("n") / (4 * crowd)).cast("int").alias("gj")))
+    pages = max(1, min(1 << 20, int(n * sum(c.valid.sum() / len(c.valid) for c in covers(how))) // 16_384))
     dealt = covered.join(grid, "anchor", "left").fillna(1, ["gi", "gj"])
     part = lambda n, seed: F.pmod(F.xxhash64("fp", F.lit(seed)), F.col(n)).cast("int")
-    as_home = dealt.filter("own and gi > 0").select("anchor", F.lit(True).alias("own"), "fp", part("gi", 1).alias("i"), F.explode(F.sequence(F.lit(0), F.col("gj") - 1)).alias("j"))
-    as_guest = dealt.filter("gi > 0").select("anchor", F.lit(False).alias("own"), "fp", part("gj", 2).alias("j"), F.explode(F.sequence(F.lit(0), F.col("gi") - 1)).alias("i")).select("anchor", "own", "fp", "i", "j")
-    page = F.when((F.col("i") > 0) | (F.col("j") > 0), F.col("anchor")).otherwise(F.pmod("anchor", F.lit(pages)))
+    as_home = dealt.filter("own").select("anchor", F.lit(True).alias("own"), "fp", part("gi", 1).alias("i"), F.explode(F.sequence(F.lit(0), F.col("gj") - 1)).alias("j"))
+    as_guest = dealt.select("anchor", F.lit(False).alias("own"), "fp", part("gj", 2).alias("j"), F.explode(F.sequence(F.lit(0), F.col("gi") - 1)).alias("i")).select("anchor", "own", "fp", "i", "j")
+    page = F.when((F.col("i") > 0) | (F.col("j") > 0), F.col("anchor")).otherwise(F.pmod(F.xxhash64("anchor"), F.lit(pages)))
     rows = as_home.unionByName(as_guest).withColumn("page", page)
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:

@@ -257,6 +257,36 @@ def test_simhash_query(spark, sf, texts):
     assert {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in got} == {i: (f"{fps[i]:016x}", want[i]) for i in fps}
 
 
+def test_covers_meet_whatever_differs_by_the_threshold():
+    """In each plan two values at most threshold apart meet at the own anchor of either, and an own anchor is within 1."""
+    rng = np.random.default_rng(2)
+    for n in (10, 10**7, 10**10):
+        for cover, (width, threshold) in zip(simhash.covers(tuple(simhash.segments(n, 4))), simhash.segments(n, 4)):
+            a = rng.integers(0, 2**63, 300, dtype=np.int64)
+            flips = [sum({1 << int(b) for b in rng.choice(width, rng.integers(0, threshold + 1), replace=False)}) for _ in a]
+            b = (a.view(np.uint64) ^ (np.array(flips, dtype=np.uint64) << cover.shift)).view(np.int64)
+            key, own, row = cover.anchors(a)
+            homes = dict(zip(row[own].tolist(), key[own].tolist()))
+            assert all((h ^ int(v >> int(cover.shift)) & int(cover.mask)).bit_count() <= 1 for h, v in zip(map(homes.get, range(300)), a.view(np.uint64).tolist()))
+            there = {i: set() for i in range(300)}
+            key, _, row = cover.anchors(b)
+            for k, i in zip(key.tolist(), row.tolist()):
+                there[i].add(k)
+            assert all(homes[i] in there[i] for i in range(300))
+
+
+def test_anchors_hold_few_rows_however_many_fingerprints():
+    """From 1e4 to 1e11 fingerprints homes at an anchor stay below 16,384, and comparisons a fingerprint grow far less than tenfold a step."""
+    for n in (10**k for k in range(4, 12)):
+        plan = simhash.segments(n, 4)
+        assert max(n / 2 ** (w - (4 if w >= 15 else 3)) for w, _ in plan) < 16_384
+    rng = np.random.default_rng(6)
+    for n in (3_000, 30_000):
+        fps = rng.integers(-(2**63), 2**63, n, dtype=np.int64)
+        key, own, _ = simhash._covered(fps, tuple(simhash.segments(n, 4)))
+        assert len(key) <= 12 * n and np.unique(key[own], return_counts=True)[1].max() < n / 1024 * 3 + 20
+
+
 def test_links_are_complete(spark):
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**63, 40, dtype=np.uint64)
@@ -264,9 +294,9 @@ def test_links_are_complete(spark):
     fps = {int(x.view(np.int64)): int(x) for x in np.unique(near)}
     order = sorted(fps)
     want = brute_components({i: fps[i] for i in order})
-    for crowd in (4096, 5):
+    for crowd, n in ((4096, 10), (5, 10), (4096, 10**7), (5, 10**7), (4096, 10**10)):
         nodes = spark.createDataFrame([(i,) for i in order], "fp long")
-        got = {r["node"]: r["root"] for r in components.components(simhash.links(nodes, 4, crowd)).collect()}
+        got = {r["node"]: r["root"] for r in components.components(simhash.links(nodes, 4, crowd, simhash.segments(n, 4))).collect()}
         assert {i: got.get(i, i) for i in order} == want
 
 
