@@ -178,15 +178,15 @@ def test_html_on_pages(spark, sf):
 def test_html_marks():
     page = """<body class="sidebar-left"><div id="sidebar2">s</div><article><div class="entry-header"><h1>T</h1></div><p>a</p><ul class="commentlist"><li>c</li></ul><p hidden>h</p><p>b &amp; c</p></article>
     <div class="article-comments"><p>x</p></div></body>"""
-    own = html_extract.profile(html_extract.read(page)[0], 1)
+    own = html_extract.profile(html_extract.read(page).wrapper, 1)
     assert html_extract.main_text(page, own) == "T\na\nb & c"
     plain = "<body><div class='menu'><p>m</p></div><div id='text'><p>first block of text</p><p>second block</p></div><div class='footer'>f</div></body>"
-    assert html_extract.main_text(plain, html_extract.profile(html_extract.read(plain)[0], 1)) == "first block of text\nsecond block"
+    assert html_extract.main_text(plain, html_extract.profile(html_extract.read(plain).wrapper, 1)) == "first block of text\nsecond block"
 
 
 def test_wrapper_alignment():
-    one = html_extract.read("<body><nav>m</nav><p>a</p><p>b</p><div>x</div></body>")[0]
-    two = html_extract.read("<body><nav>m</nav><p>c</p><h2>t</h2></body>")[0]
+    one = html_extract.read("<body><nav>m</nav><p>a</p><p>b</p><div>x</div></body>").wrapper
+    two = html_extract.read("<body><nav>m</nav><p>c</p><h2>t</h2></body>").wrapper
     body = html_extract.merged(one, two).inner[0]
     assert [(n.key, n.least, n.many, n.text) for n in body.inner] == [("nav", 1, False, "m"), ("p", 1, True, True), ("div", 0, False, "x"), ("h2", 0, False, "t")]
 

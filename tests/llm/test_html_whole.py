@@ -1,5 +1,7 @@
 """Articles stay whole: constant lines, and content in several containers."""
 
+import time
+
 import pytest
 
 from forecastlab.llm import html_extract
@@ -23,3 +25,50 @@ def test_html_content_of_several_containers(spark, n):
     assert text_of(spark, html, n) == {i: f"T {i} text\na {i} text and much more text than elsewhere\nb {i} text" for i in range(n)}
     html = "<body><nav>m</nav><article class='one'><p>a %(i)s</p></article><div>x</div><article class='two'><p>b %(i)s</p></article></body>"
     assert text_of(spark, html, n) == {i: f"a {i} text\nb {i} text" for i in range(n)}
+
+
+def test_html_deep_pages(spark):
+    """5,000 nested elements, on one page and on all pages of a host."""
+    deep = "<body><nav>m</nav>" + "<div>" * 5_000 + "<p>deep %(i)s</p>" + "</div>" * 5_000 + "</body>"
+    assert text_of(spark, deep, 3) == {i: f"deep {i} text" for i in range(3)}
+    rows = [(0, "http://a.example/", "<article><p>x</p></article>"), (1, "http://a.example/", "<article>" + "<section>" * 5_000 + "y")]
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r["page_id"]: r["text"] for r in got} == {0: "x", 1: "y"}
+
+
+@pytest.mark.parametrize("page,text", [
+    ("<p>a</p>" + "<div " * 200_000, "a"), ("<p>a</p>" + "<a '>' " * 100_000, None), ("<p>a</p>" + "<!--" * 200_000, "a"), ("<p>a</p>" + "<script>" * 100_000, "a"),
+    ("<p>a</p>" + "<" * 500_000, None), ("<p>a</p>" + "<p><span class=ad>" * 50_000, "a"), ("<p>a</p><p title=\"x" + "b " * 300_000, "a"),
+])
+def test_html_of_a_megabyte_without_ends_takes_seconds(page, text):
+    began = time.time()
+    got = html_extract.main_text(page, [])
+    assert time.time() - began < 20 and got.startswith("a") and (text is None or got == text)
+
+
+def test_html_long_sequences_align_within_bounds():
+    a = [f"k{i}" for i in range(3_000)]
+    b = [x for i, x in enumerate(a) if i % 3] + ["new"] * 2
+    began = time.time()
+    for x, y in ((a, b), (b, a), (a[::-1], b)):
+        pairs = html_extract._matches(x, y)
+        assert all(x[i] == y[j] for i, j in pairs) and pairs == sorted(set(pairs)) and all(p < q for (_, p), (_, q) in zip(pairs, pairs[1:]))
+    assert len(html_extract._matches(a, b)) == 2_000 and time.time() - began < 5
+
+
+def test_html_wrappers_round_trip():
+    one = html_extract.read("<body><div class='w-1/2 a'><p>x</p><ul><li>1</li><li>2</li></ul></div><p>y</p></body>").wrapper
+    assert html_extract.from_json(html_extract.to_json(one)) == one
+    assert html_extract.main_text("<body><nav>m</nav><div class='w-1/2'><p>x</p></div></body>", [["body", "div.w-0/0"]]) == "x"
+
+
+@pytest.mark.parametrize("n", [1, 5])
+@pytest.mark.parametrize("inside,text", [
+    ("<p>a <span class='ad'>BUY <span>now</span> cheap</span>b %(i)s</p>", "a b {i} text"), ("<section class='related-work'><p>r %(i)s</p></section>", "r {i} text"),
+    ("<div class='search-results'><p>r %(i)s</p></div>", "r {i} text"), ("<div class='legal'><p>r %(i)s</p></div>", "r {i} text"),
+    ("<div class='related-posts'><p>r</p></div><p>b %(i)s</p>", "b {i} text"), ("<p>a <a class='promo'>x<p>b %(i)s</p>", "a\nb {i} text"),
+    ("<div class='search-box'>find</div><div class='comment-list'>c</div><p>b %(i)s</p>", "b {i} text"), ("<p>1 < 2 & b %(i)s", "1 < 2 & b {i} text"),
+])
+def test_html_names_and_inline_marks(spark, n, inside, text):
+    got = text_of(spark, f"<body><nav>m</nav><article><h1>T</h1>{inside}</article><footer>f</footer></body>", n)
+    assert got == {i: "T\n" + text.format(i=i) for i in range(n)}
