@@ -59,6 +59,11 @@ def join_hot(rows: DataFrame, unique: DataFrame, key: str, weight: str, total: i
     return rows.join(hot, key).unionByName(rows.join(hot_keys, key, "left_anti").join(cold, key))
 
 
+def join_few(rows: DataFrame, few: DataFrame, on, how: str, most: int = 1_000_000) -> DataFrame:
+    """rows semi- or anti-joined (how) to few, a table that is kept: broadcast while it has at most `most` rows, shuffled beyond."""
+    return rows.join(F.broadcast(few) if few.count() <= most else few.hint("merge"), on, how)
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 

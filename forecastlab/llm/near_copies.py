@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
-from .common import cut, slices
+from .common import cut, join_few, slices
 from .components import components
 from .simhash import _LOWER, keep_firsts, text_mark
 
@@ -60,19 +60,30 @@ def fingerprint(hashes: np.ndarray) -> bytes:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """node (mark of the text), low, high, size (number of shingles), hashes (the shingles' ascending 64-bit ones) for each distinct text of docs."""
+    """node (mark of the text), low, high, size (number of shingles) for each distinct text of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 256):
                 found = [digests(shingles(t)) for t in part.column(1).to_pylist()]
                 halves = np.frombuffer(b"".join(map(fingerprint, found)), dtype="<i8").reshape(-1, 2)
-                sets = pa.array([f[:, 0].tobytes() for f in found], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array([len(f) for f in found], pa.int32()), sets], ["node", "low", "high", "size", "hashes"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array([len(f) for f in found], pa.int32())], ["node", "low", "high", "size"])
 
-    found = cut(docs.select(text_mark().alias("node"), F.col("text").cast("string")).mapInArrow(run, "node long, low long, high long, size int, hashes binary"))
-    repeated = found.groupBy("node").count().filter("count > 1")
-    return found if repeated.isEmpty() else cut(found.dropDuplicates(["node"]))
+    return docs.select(text_mark().alias("node"), F.col("text").cast("string")).mapInArrow(run, "node long, low long, high long, size int").dropDuplicates(["node"])
+
+
+def shingle_sets(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """node, hashes (ascending 64-bit ones of its shingles) for each text of docs that is in pairs (guest, home)."""
+    needed = cut(pairs.select(F.col("guest").alias("needed")).unionByName(pairs.select(F.col("home").alias("needed"))).distinct())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 256):
+                sets = pa.array([digests(shingles(t))[:, 0].tobytes() for t in part.column(1).to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), sets], ["node", "hashes"])
+
+    texts = join_few(docs.select(text_mark().alias("node"), F.col("text").cast("string")), needed, F.col("node") == F.col("needed"), "left_semi")
+    return cut(texts.mapInArrow(run, "node long, hashes binary").groupBy("node").agg(F.first("hashes").alias("hashes")))
 
 
 @cache
@@ -260,9 +271,7 @@ def near_roots(docs: DataFrame, rounds: tuple[int | None, ...] = (1, 64, None))
     are built, only texts that had more are asked again, now for those in other components: for up to 64 nearest and 64
     leading ones at each anchor, then for all. So no candidate goes untested unless its two texts are already in one component.
     """
-    found = fingerprints(docs)
-    sets = found.select("node", "hashes")
-    nodes = found.select("node", "low", "high", "size", F.col("node").alias("label"))
+    nodes = cut(fingerprints(docs).withColumn("label", F.col("node")))
     now = nodes.withColumn("asks", F.lit(True))
     load = anchor_load(now)
     for most in rounds:
@@ -272,7 +281,8 @@ def near_roots(docs: DataFrame, rounds: tuple[int | None, ...] = (1, 64, None))
         else:
             pairs = got.select(F.least("guest", "home").alias("guest"), F.greatest("guest", "home").alias("home")).distinct()
             more = got.filter("besides > 0").select("guest").distinct()
-        good = cut(confirmed(cut(pairs), sets))
+        pairs = cut(pairs)
+        good = cut(confirmed(pairs, shingle_sets(docs, pairs)))
         if not good.isEmpty():
             of = lambda side: nodes.select(F.col("node").alias(side), F.col("label").alias(f"label_{side}"))  # noqa: B023, E731
             roots = components(good.join(of("guest"), "guest").join(of("home"), "home").select(F.col("label_guest").alias("a"), F.col("label_home").alias("b")))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import cut, join_hot, slices
+from .common import cut, join_few, join_hot, slices
 from .components import components
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c in range(256))
@@ -218,8 +218,9 @@ def keep_firsts(docs: DataFrame, roots: DataFrame) -> DataFrame:
     marked = docs.withColumn("_mark", text_mark())
     rows = marked.select("doc_id", "_mark").join(roots, F.col("_mark") == F.col("mark"))
     least = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "mark")).alias("k"))
-    keep = cut(least.select(F.col("k.doc_id").alias("_keep"), F.col("k.mark").alias("_keep_mark")))
-    firsts = marked.join(keep, (F.col("_mark") == F.col("_keep_mark")) & F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
+    keep = least.select(F.col("k.doc_id").alias("_keep"), F.col("k.mark").alias("_keep_mark"))
+    others = rows.select(F.col("doc_id").alias("_id"), F.col("_mark").alias("_m")).join(keep, (F.col("_m") == F.col("_keep_mark")) & F.col("_id").eqNullSafe(F.col("_keep")), "left_anti")
+    firsts = join_few(marked, cut(others.distinct()), (F.col("_mark") == F.col("_m")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
     if not firsts.groupBy("doc_id", "_mark").count().filter("count > 1").isEmpty():
         firsts = firsts.dropDuplicates(["doc_id", "_mark"])
     return firsts.drop("_mark")
