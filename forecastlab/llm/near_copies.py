@@ -22,6 +22,8 @@ WORDS, FIFTHS = 5, 4
 #: anchor, so pairs within 15 bits are always candidates; at a similarity of 0.8 the mean is 19 bits and the deviation 4.
 SEGMENTS, SEGMENT_BITS, RADIUS = 8, 16, 30
 ANCHORS = SEGMENTS * 2 ** (11 + 1)
+#: Leading texts of a shingle that others are compared with before all are.
+LEADERS = 8
 _ROW = np.dtype([("anchor", "<i4"), ("role", "u1"), ("node", "<i8"), ("low", "<u8"), ("high", "<u8"), ("size", "<i4"), ("label", "<i8")])
 _HOME, _GUEST = 1, 2
 
@@ -72,9 +74,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(text_mark().alias("node"), F.col("text").cast("string")).mapInArrow(run, "node long, low long, high long, size int").dropDuplicates(["node"])
 
 
-def shingle_sets(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """node, hashes (ascending 64-bit ones of its shingles) for each text of docs that is in pairs (guest, home)."""
-    needed = cut(pairs.select(F.col("guest").alias("needed")).unionByName(pairs.select(F.col("home").alias("needed"))).distinct())
+def shingle_sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
+    """node, hashes (ascending 64-bit ones of its shingles) for each text of docs that is in needed (needed), a table that is kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,12 +128,12 @@ def _mixed(node: np.ndarray) -> np.ndarray:
 
 
 def _pairs(rows: np.ndarray, most: int | None, cells: int = 2_000_000) -> np.ndarray:
-    """Candidates between guests and homes of one anchor that have other labels: guest, home, bits apart, lead (see _mixed), and how many homes the guest has besides.
+    """Candidates between guests and homes of one anchor that have other labels, from both sides: node, other, bits apart, lead (see _mixed), and how many others the node has besides.
 
-    Of each guest's homes those come that are among the `most` nearest or among the `most` leading ones; all, if most is None.
+    Of each node's others those come that are among the `most` nearest or among the `most` leading ones; all, if most is None.
     """
     homes, guests = rows[rows["role"] & _HOME > 0], rows[rows["role"] & _GUEST > 0]
-    found, step = [], max(1, cells // max(1, len(guests)))
+    found, out, step = [], [], max(1, cells // max(1, len(guests)))
     seen = np.zeros(len(guests), dtype=np.int64)
     for k in range(0, len(homes), step):
         here = homes[k : k + step]
@@ -143,11 +144,17 @@ def _pairs(rows: np.ndarray, most: int | None, cells: int = 2_000_000) -> np.nda
         i, j = i[fits], j[fits]
         seen += np.bincount(j, minlength=len(guests))
         found.append(_first(j, here["node"][i], apart[i, j], most))
-    if not found:
-        return np.zeros((0, 5), dtype=np.int64)
-    j, node, apart = _first(*map(np.concatenate, zip(*found)), most)
-    besides = seen - np.bincount(j, minlength=len(guests))
-    return np.stack([guests["node"][j], node, apart.astype(np.int64), _mixed(node).astype(np.int64), besides[j]], axis=1)
+        at, node, bits = _first(i, guests["node"][j], apart[i, j], most)
+        out.append(_rows(here["node"], at, node, bits, np.bincount(i, minlength=len(here))))
+    if found:
+        j, node, bits = _first(*map(np.concatenate, zip(*found)), most)
+        out.append(_rows(guests["node"], j, node, bits, seen))
+    return np.concatenate(out) if out else np.zeros((0, 5), dtype=np.int64)
+
+
+def _rows(names: np.ndarray, at: np.ndarray, node: np.ndarray, bits: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    besides = seen - np.bincount(at, minlength=len(names))
+    return np.stack([names[at], node, bits.astype(np.int64), _mixed(node).astype(np.int64), besides[at]], axis=1)
 
 
 def _first(j: np.ndarray, node: np.ndarray, apart: np.ndarray, most: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -222,7 +229,7 @@ def candidates(nodes: DataFrame, most: int | None, crowd: int = 4096, load: Data
         rows = np.frombuffer(b"".join(frame["rows"]), dtype=_ROW)
         rows = rows[np.argsort(rows["anchor"], kind="stable")]
         ends = [*(np.flatnonzero(np.diff(rows["anchor"])) + 1).tolist(), len(rows)]
-        return pd.DataFrame(np.concatenate([_pairs(rows[a:b], most) for a, b in zip([0, *ends], ends)]), columns=["guest", "home", "apart", "lead", "besides"])
+        return pd.DataFrame(np.concatenate([_pairs(rows[a:b], most) for a, b in zip([0, *ends], ends)]), columns=["guest", "home", "apart", "lead", "besides"]).drop_duplicates()
 
     return nodes.mapInArrow(deal, "cell long, rows binary").groupBy("cell").applyInPandas(compare, "guest long, home long, apart long, lead long, besides long")
 
@@ -254,43 +261,117 @@ def confirmed(pairs: DataFrame, sets: DataFrame, hot: int = 20_000) -> DataFrame
 
 
 def _one_each(found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of each guest's candidates over all its anchors the nearest and the leading one as pairs; and the guests that have others."""
+    """Of each node's candidates over all its anchors the nearest and the leading one as pairs (guest, home); and all nodes with candidates: needed, more."""
     best = cut(found.groupBy("guest").agg(
         F.min_by("home", F.struct("apart", "home")).alias("nearest"), F.min_by("home", F.struct("lead", "home")).alias("leader"), F.min("home").alias("low"), F.max("home").alias("high"), F.max("besides").alias("besides")
     ))
-    only = (F.col("besides") == 0) & (F.col("low") == F.col("high"))
-    pairs = best.select("guest", F.explode(F.array_distinct(F.array("nearest", "leader"))).alias("home"))
-    return pairs, best.filter(~only).select("guest")
+    pairs = best.select(F.explode(F.array_distinct(F.array("nearest", "leader"))).alias("home"), "guest").select(F.least("guest", "home").alias("guest"), F.greatest("guest", "home").alias("home")).distinct()
+    return pairs, best.select(F.col("guest").alias("needed"), ((F.col("besides") > 0) | (F.col("low") != F.col("high"))).alias("more"))
+
+
+def prefixes(sets: DataFrame) -> DataFrame:
+    """node, size, h, rest: of each set (node, hashes) the rarest fifth of its shingles and one more, without those that no other set has; rest counts from h on.
+
+    Two sets that are four fifths alike have one of these in common, in whatever order all sets rank shingles. Passages
+    that many texts share are not among them, unless they are over four fifths of a text.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 256):
+                found = [np.frombuffer(b, dtype="<i8") for b in part.column(1).to_pylist()]
+                n = np.array([len(f) for f in found])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), n)), pa.array(np.repeat(n, n).astype(np.int32)), pa.array(np.concatenate(found))], ["node", "size", "h"])
+
+    rows = sets.select("node", "hashes").mapInArrow(run, "node long, size int, h long")
+    known = rows.join(rows.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "h", "left")
+    ranked = known.groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(1)).alias("n"), "h"))).alias("ranked"))
+    first = F.slice("ranked", F.lit(1), F.col("size") - F.floor((4 * F.col("size") + 4) / 5).cast("int") + 1)
+    return cut(ranked.select("node", "size", F.posexplode(first).alias("at", "x")).filter("x.n > 1").select("node", "size", "x.h", (F.col("size") - F.col("at")).alias("rest")))
 
 
-def near_roots(docs: DataFrame, rounds: tuple[int | None, ...] = (1, 64, None)) -> DataFrame:
+def _shared(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs (guest, home) of nodes with other labels that share a shingle of their prefixes (rows), one of which leads by a hash among those that have it.
+
+    What two sets that are four fifths alike share is four ninths of both sizes; from their first common shingle on, in
+    the order that ranks all, each has that many.
+    """
+    known = rows.join(nodes.select("node", "label"), "node")
+    leads = F.array(*[F.min_by(F.struct("node", "label", "size", "rest"), F.struct(F.xxhash64("node", F.lit(k)), "node")) for k in range(LEADERS)])
+    lead = known.groupBy("h").agg(leads.alias("leads"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high")
+    apart = known.join(lead.select("h", F.explode(F.array_distinct("leads")).alias("lead")), "h").filter(F.col("label") != F.col("lead.label"))
+    fits = 9 * F.least("rest", "lead.rest") >= 4 * (F.col("size") + F.col("lead.size"))
+    return apart.filter(fits).select(F.least("node", "lead.node").alias("guest"), F.greatest("node", "lead.node").alias("home")).distinct()
+
+
+def _links_between(rows: DataFrame, nodes: DataFrame, sets: DataFrame, block: int = 64) -> DataFrame:
+    """Links (guest, home) between nodes with other labels that share a shingle of their prefixes (rows); all of them.
+
+    Of each shingle's labels the most frequent asks nothing, so a large component is not compared with itself. A node
+    asks other labels (a table of nodes and labels, not of pairs); those that ask a label and its members meet in blocks
+    of about `block` each, and only links come out.
+    """
+    known = rows.join(nodes.select("node", "label"), "node").withColumn("spare", 9 * F.col("rest") - 4 * F.col("size"))
+    by_label = known.groupBy("h", "label").agg(F.min("size").alias("least"), F.max("spare").alias("most"), F.count("*").alias("n"))
+    main = by_label.groupBy("h").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("labels")).filter("labels > 1")
+    asking = known.join(main.select("h", "main"), "h").filter("label != main").drop("n")
+    of = by_label.select("h", F.col("label").alias("of"), "least", "most")
+    asks = cut(asking.join(of, "h").filter("label != of AND spare >= 4 * least AND most >= 4 * size").select("of", "node").distinct())
+
+    def blocks(members: DataFrame, name: str) -> DataFrame:
+        n = members.groupBy("of").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+        dealt = members.join(n, "of").withColumn("at", F.pmod(F.xxhash64("node"), F.col("blocks")))
+        return dealt.join(sets, "node").groupBy("of", "at").agg(F.collect_list(F.struct("node", "hashes")).alias(name)).drop("at")
+
+    members = nodes.select(F.col("label").alias("of"), "node").join(asks.select("of").distinct(), "of", "left_semi").join(rows.select("node").distinct(), "node", "left_semi")
+    both = blocks(asks, "askers").join(blocks(members, "members"), "of").select("askers", "members")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 1):
+                ((askers,), (members,)) = part.column(0).to_pylist(), part.column(1).to_pylist()
+                found = [np.frombuffer(m["hashes"], dtype="<u8") for m in members]
+                size = np.array([len(f) for f in found])
+                joined, owner = np.concatenate(found), np.repeat(np.arange(len(found)), size)
+                for a in askers:
+                    own = np.frombuffer(a["hashes"], dtype="<u8")
+                    both = np.bincount(owner[np.isin(joined, own)], minlength=len(found))
+                    near = np.flatnonzero((5 * both >= FIFTHS * (len(own) + size - both)) & np.array([m["node"] != a["node"] for m in members]))
+                    if len(near):
+                        yield pa.RecordBatch.from_arrays([pa.array([a["node"]] * len(near), pa.int64()), pa.array([members[k]["node"] for k in near], pa.int64())], ["guest", "home"])
+
+    return both.mapInArrow(run, "guest long, home long")
+
+
+def _merged(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """nodes with the labels of the components that links (guest, home) make of theirs."""
+    good = cut(links)
+    if good.isEmpty():
+        return nodes
+    of = lambda side: nodes.select(F.col("node").alias(side), F.col("label").alias(f"label_{side}"))
+    roots = components(good.join(of("guest"), "guest").join(of("home"), "home").select(F.col("label_guest").alias("a"), F.col("label_home").alias("b")))
+    return cut(nodes.join(roots.select(F.col("node").alias("label"), "root"), "label", "left").select("node", F.coalesce("root", "label").alias("label")))
+
+
+def near_roots(docs: DataFrame) -> DataFrame:
     """mark, root for each distinct text of docs (text): the components that confirmed candidates make.
 
-    A group of many near copies would have all its pairs as candidates. So each text first names two over all its
-    anchors: the nearest, and the one that leads by a hash, which is mostly the same for a whole group. After components
-    are built, only texts that had more are asked again, now for those in other components: for up to 64 nearest and 64
-    leading ones at each anchor, then for all. So no candidate goes untested unless its two texts are already in one component.
+    A group of many texts near each other would have all its pairs as candidates. So each text first names two over all
+    its anchors: the nearest, and the one that leads by a hash, which is mostly the same for a whole group. Texts that
+    have more are then joined exactly, by the rarest of their shingles (see prefixes): first each with leading texts
+    that have the shingle, then, in blocks, all that are still in other components. Candidates are named from both sides, so the two
+    texts of one that was not tested both have more: none goes untested unless it cannot be near or is in one component.
     """
     nodes = cut(fingerprints(docs).withColumn("label", F.col("node")))
-    now = nodes.withColumn("asks", F.lit(True))
-    load = anchor_load(now)
-    for most in rounds:
-        got = cut(candidates(now, most, load=load))
-        if most == 1:
-            pairs, more = _one_each(got)
-        else:
-            pairs = got.select(F.least("guest", "home").alias("guest"), F.greatest("guest", "home").alias("home")).distinct()
-            more = got.filter("besides > 0").select("guest").distinct()
-        pairs = cut(pairs)
-        good = cut(confirmed(pairs, shingle_sets(docs, pairs)))
-        if not good.isEmpty():
-            of = lambda side: nodes.select(F.col("node").alias(side), F.col("label").alias(f"label_{side}"))  # noqa: B023, E731
-            roots = components(good.join(of("guest"), "guest").join(of("home"), "home").select(F.col("label_guest").alias("a"), F.col("label_home").alias("b")))
-            nodes = cut(nodes.join(roots.select(F.col("node").alias("label"), "root"), "label", "left").select("node", "low", "high", "size", F.coalesce("root", "label").alias("label")))
-        more = cut(more.select(F.col("guest").alias("node"), F.lit(True).alias("asks")))
-        if more.isEmpty():
-            break
-        now = cut(nodes.join(more, "node", "left").fillna(False, ["asks"]))
+    pairs, involved = _one_each(cut(candidates(nodes.withColumn("asks", F.lit(True)), 1)))
+    nodes = nodes.select("node", "label")
+    sets = shingle_sets(docs, involved)
+    nodes = _merged(nodes, confirmed(cut(pairs), sets))
+    more = involved.filter("more").select(F.col("needed").alias("node"))
+    if not more.isEmpty():
+        rows = prefixes(sets.join(more, "node", "left_semi"))
+        nodes = _merged(nodes, confirmed(cut(_shared(rows, nodes)), sets))
+        nodes = _merged(nodes, _links_between(rows, nodes, sets))
     return nodes.select(F.col("node").alias("mark"), F.col("label").alias("root"))
 
 

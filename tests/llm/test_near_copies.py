@@ -79,3 +79,17 @@ def test_near_copies_of_a_crowd_leave_one(spark):
     rows = [(i, " ".join(edited(words, 2, rng)), "s") for i in range(120)]
     assert [r["doc_id"] for r in near_copies.drop_near_copies(docs_of(spark, rows)).collect()] == [0]
     assert near_copies.drop_near_copies(docs_of(spark, [])).count() == 0
+
+
+def test_near_components_equal_brute_force_in_crowds(spark):
+    """A crowd that shares a passage of 60 to 79% of its words and links to nothing, a loose group, and a tight one: all as by comparing all with all."""
+    from .test_corpus_pipeline import kept_of_near_copies
+
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    passage, base = [word() for _ in range(120)], [word() for _ in range(150)]
+    texts = [" ".join(passage + [word() for _ in range(rng.randint(32, 80))]) for _ in range(60)]
+    texts += [" ".join(edited(base, rng.randint(0, 4), rng)) for _ in range(60)] + [" ".join([word() for _ in range(100)]) for _ in range(20)] + ["", "one two", "One  TWO"]
+    rows = [(i, t, "s") for i, t in enumerate(texts)]
+    got = sorted(r["doc_id"] for r in near_copies.drop_near_copies(docs_of(spark, rows)).collect())
+    assert got == kept_of_near_copies(dict(enumerate(texts)))
