@@ -58,8 +58,15 @@ def rank_leaderboard(df: DataFrame, by: str, risk: str = "risk_bucket", ev: str
     return df.withColumn("place", F.row_number().over(w))
 
 
+#: Statuses that cost something, and that are no skip (fixed values).
+COSTLY, NO_SKIP = ["filled", "partial", "submitted"], ["filled", "partial", "submitted", "skipped_dry_run"]
+
+
 def trade_summary(audit: DataFrame) -> DataFrame:
-    return audit.groupBy("status").agg(F.count("*").alias("n"), F.sum(F.when(F.col("status").isin("filled", "partial"), F.col("cost"))).alias("filled_cost"), F.count_if(F.col("reason") == "reason0").alias("reason0"), F.count_if(F.col("reason") == "reason1").alias("reason1"), F.count_if(F.col("reason") == "reason2").alias("reason2"))
+    """Rows by status, and skips also by their reason, whatever it is: their number, and the cost of what was filled or submitted."""
+    reason = F.when(~F.col("status").isin(NO_SKIP), F.col("reason"))
+    cost = F.sum(F.when(F.col("status").isin(COSTLY), F.col("cost")))
+    return audit.groupBy("status", reason.alias("skip_reason")).agg(F.count("*").alias("n"), cost.alias("filled_cost"))
 
 
 def sum_exposure(positions: DataFrame, dollars: str, by: str) -> DataFrame:

@@ -107,7 +107,13 @@ query("a32_record_spread", "WITH w AS (SELECT event_id, CAST(split_part(record,
 query("a34_insider_counts", "SELECT event_id, count(*) AS total, count(*) FILTER (WHERE dollars / 20000 >= 2) AS notable, count(*) FILTER (WHERE suppkey % 3 = 0) AS smart FROM forecasts GROUP BY 1")(
     lambda t: t("forecasts").groupBy("event_id").agg(F.count("*").alias("total"), F.count_if(D.is_notable(c("dollars") / 20000)).alias("notable"), F.count_if(c("suppkey") % 3 == 0).alias("smart"))
 )
-query("a37_trade_summary", "SELECT status, count(*) AS n, sum(cost) FILTER (WHERE status IN ('filled', 'partial')) AS filled_cost, count(*) FILTER (WHERE reason = 'reason0') AS reason0, count(*) FILTER (WHERE reason = 'reason1') AS reason1, count(*) FILTER (WHERE reason = 'reason2') AS reason2 FROM trades GROUP BY status", "filled_cost")(lambda t: G.trade_summary(t("trades")))
+query(
+    "a37_trade_summary",
+    """SELECT status, CASE WHEN status NOT IN ('filled', 'partial', 'submitted', 'skipped_dry_run') THEN reason END AS skip_reason, count(*) AS n,
+              sum(cost) FILTER (WHERE status IN ('filled', 'partial', 'submitted')) AS filled_cost
+       FROM trades GROUP BY 1, 2""",
+    "filled_cost",
+)(lambda t: G.trade_summary(t("trades")))
 query("a38_sum_exposure", "SELECT sport, CAST(sum(CAST(round_even(dollars * 100, 0) AS BIGINT)) AS BIGINT) AS cents FROM forecasts GROUP BY sport")(lambda t: G.sum_exposure(t("forecasts"), "dollars", "sport"))
 _orders = lambda t: t("markets").select("event_id", "market_no", F.when(c("market_no") < 7, F.floor(c("bid_size") / 2) * (c("market_no") % 3)).alias("filled"), F.floor("bid_size").alias("count"), c("ask").alias("price"), (c("ask") * 0.07).alias("fee"))
 query(

@@ -67,13 +67,20 @@ query("j13_pair_histories", PAIR, "a_wr b_wr a_l10 b_l10")(lambda t: W.pair_hist
 query("w14_anchor_features", f"WITH q AS ({PAIR.replace('WITH f', 'WITH f', 1)}) SELECT match_id, anchor, a_wr - b_wr AS wr_diff, a_l10 - b_l10 AS l10_diff FROM q", "wr_diff l10_diff")(
     lambda t: W.anchor_features(W.pair_histories(W.form(W.rates(W.with_counts(rows(t)), ["winrate"])).withColumnsRenamed({"winrate": "wr", "last_10": "l10"}), ["wr", "l10"]), ["wr", "l10"]).select("match_id", "anchor", "wr_diff", "l10_diff")
 )
+#: All rates of the training table.
+W15_RATES = [k for k in W.RATES if k in W.FEATURES or k == "decider"]
 query(
     "w15_training_table",
     f"""WITH o AS ({OPP}), s AS (SELECT o.* EXCLUDE (v), o.v AS opp_rank, r.rank AS rank FROM o ASOF LEFT JOIN rankings r ON o.tour = r.tour AND o.player = r.player_id AND o.match_date >= r.ranking_date),
-    f AS (SELECT *, {', '.join(f'{rate_sql(*W.RATES[k])} AS r_{k}' for k in ('first_serve_win', 'bp_save', 'winrate', 'tiebreak'))}, {last(10)} AS l10, count(*) OVER ({BY} {FRAME}) AS n FROM s)
-    SELECT a.match_id, a.player AS anchor, a.won, a.r_first_serve_win - b.r_first_serve_win AS d_fsw, a.r_bp_save - b.r_bp_save AS d_bps, a.r_winrate - b.r_winrate AS d_wr, a.r_tiebreak - b.r_tiebreak AS d_tb, a.l10 - b.l10 AS d_l10, b.rank - a.rank AS d_rank, a.n - b.n AS d_n
-    FROM f a JOIN f b ON a.match_id = b.match_id AND a.side <> b.side WHERE a.n >= 5 AND b.n >= 5""", "d_fsw d_bps d_wr d_tb d_l10",
-)(lambda t: W.training_table(rows(t), t("rankings"), 5).select("match_id", "anchor", "won", *[c(f"{k}_diff").alias(v) for k, v in (("first_serve_win", "d_fsw"), ("bp_save", "d_bps"), ("winrate", "d_wr"), ("tiebreak", "d_tb"), ("last_10", "d_l10"), ("rank", "d_rank"), ("prior_count", "d_n"))]))
+    f AS (SELECT *, {', '.join(f'{rate_sql(*W.RATES[k])} AS r_{k}' for k in W15_RATES)}, {last(10)} AS l10, count(*) OVER ({BY} {FRAME}) AS n FROM s)
+    SELECT a.match_id, a.player AS anchor, a.won, {', '.join(f'a.r_{k} - b.r_{k} AS d_{k}' for k in W15_RATES)}, a.l10 - b.l10 AS d_l10, b.rank - a.rank AS d_rank, a.n - b.n AS d_n
+    FROM f a JOIN f b ON a.match_id = b.match_id AND a.side <> b.side WHERE a.n >= 5 AND b.n >= 5""", " ".join(f"d_{k}" for k in W15_RATES) + " d_l10",
+)(
+    lambda t: W.training_table(rows(t), t("rankings"), 5).select(
+        "match_id", "anchor", "won", *[c(f"{'decider_rate' if k == 'decider' else k}_diff").alias(f"d_{k}") for k in W15_RATES],
+        *[c(f"{k}_diff").alias(v) for k, v in (("last_10", "d_l10"), ("rank", "d_rank"), ("prior_count", "d_n"))],
+    )
+)
 DAY = "(PARTITION BY tour, player ORDER BY day RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
 query("w16_slate_state", f"SELECT match_id, player, count(*) OVER {DAY} AS prior_count, CAST(coalesce(sum(won) OVER {DAY}, 0) AS BIGINT) AS prior_wins, {rate_sql('won', 'one', DAY)} AS winrate FROM pr", "winrate")(lambda t: W.slate_state(rows(t)).select("match_id", "player", "prior_count", "prior_wins", "winrate"))
 query(

@@ -20,8 +20,12 @@ c = F.col
 
 
 def shared(t) -> str:
-    """A new folder in the shared one that the cluster names; a temporary one only where none is named."""
-    named = t.spark.conf.get("spark.checkpoint.dir", None) or t.spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="forecastlab-")
+    """A new folder in the shared one that the cluster names; a temporary one only on a local master, where one machine does all work."""
+    named = t.spark.conf.get("spark.checkpoint.dir", None) or t.spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named:
+        if not t.spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
+        named = tempfile.mkdtemp(prefix="forecastlab-")
     return f"{named.rstrip('/')}/forecastlab-{uuid4().hex}"
 
 
