@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Iterator
+from contextlib import contextmanager
 from math import isqrt
 
 from pyspark.ml.feature import Bucketizer
@@ -66,6 +67,18 @@ def join_few(rows: DataFrame, few: DataFrame, on, how: str, most: int = 1_000_00
     return rows.join(F.broadcast(few) if few.count() <= most else few.hint("merge"), on, how)
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, most: int) -> Iterator[None]:
+    """Jobs run inside give Python at most so many rows at a time: for rows that hold much."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
-from .common import cut, join_few, slices
+from .common import arrow_rows, cut, join_few, slices
 from .components import components
 from .simhash import _LOWER, keep_firsts, text_mark
 
@@ -127,7 +127,7 @@ def _mixed(node: np.ndarray) -> np.ndarray:
     return (node.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
 
 
-def _pairs(rows: np.ndarray, most: int | None, cells: int = 2_000_000) -> np.ndarray:
+def _pairs(rows: np.ndarray, most: int | None, cells: int = 500_000) -> np.ndarray:
     """Candidates between guests and homes of one anchor that have other labels, from both sides: node, other, bits apart, lead (see _mixed), and how many others the node has besides.
 
     Of each node's others those come that are among the `most` nearest or among the `most` leading ones; all, if most is None.
@@ -206,7 +206,7 @@ def candidates(nodes: DataFrame, most: int | None, crowd: int = 4096, load: Data
             grid_i[anchor], grid_j[anchor], first[anchor] = i, j, at
             at += i * j
         for batch in batches:
-            for part in slices(batch, 4096):
+            for part in slices(batch, 1024):
                 node, low, high, size, label, asks = _fields(part)
                 key, own, row = _covered(low, high)
                 dealt, mixed = [], _mixed(node)
@@ -304,7 +304,7 @@ def _shared(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     return apart.filter(fits).select(F.least("node", "lead.node").alias("guest"), F.greatest("node", "lead.node").alias("home")).distinct()
 
 
-def _links_between(rows: DataFrame, nodes: DataFrame, sets: DataFrame, block: int = 64) -> DataFrame:
+def _links_between(rows: DataFrame, nodes: DataFrame, sets: DataFrame, block: int = 24) -> DataFrame:
     """Links (guest, home) between nodes with other labels that share a shingle of their prefixes (rows); all of them.
 
     Of each shingle's labels the most frequent asks nothing, so a large component is not compared with itself. A node
@@ -377,4 +377,6 @@ def near_roots(docs: DataFrame) -> DataFrame:
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """docs with one row of each component of near_roots: that with the smallest doc_id. All columns stay."""
-    return keep_firsts(docs, near_roots(docs))
+    with arrow_rows(docs.sparkSession, 1_000):  # rows hold texts and sets of shingles, two at a time
+        roots = cut(near_roots(docs))
+    return keep_firsts(docs, roots)
