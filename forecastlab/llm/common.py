@@ -62,6 +62,11 @@ def join_hot(rows: DataFrame, unique: DataFrame, key: str, weight: str, total: i
     return rows.join(hot, key).unionByName(rows.join(hot_keys, key, "left_anti").join(cold, key))
 
 
+def join_few_or_hot(rows: DataFrame, unique: DataFrame, key: str, weight: str, total: int, top: int, few: int = 10_000) -> DataFrame:
+    """join_hot where top, the largest weight, is known: a plain join while no key has over `few` rows or HOT_SHARE of them."""
+    return rows.join(unique, key) if top <= max(few, total * HOT_SHARE) else join_hot(rows, unique, key, weight, total)
+
+
 def join_few(rows: DataFrame, few: DataFrame, on, how: str, most: int = 1_000_000) -> DataFrame:
     """rows semi- or anti-joined (how) to few, a table that is kept: broadcast while it has at most `most` rows, shuffled beyond."""
     return rows.join(F.broadcast(few) if few.count() <= most else few.hint("merge"), on, how)

@@ -2,40 +2,53 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, join_hot
+from .common import cut, join_few_or_hot
+
+#: Edges that one task takes at least: few edges are not dealt out to many tasks.
+PER_TASK = 10_000
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """node, root (the smallest node it reaches) for each node of edges (a long, b long); nodes without an edge are not in it.
 
     Each round points nodes at the smallest neighbour: once from every node to its larger ones, once among its smaller
-    ones, until no node is both. Edges and minima are tables in the checkpoint folder; nothing is collected. A node
-    with very many neighbours is joined by broadcast (join_hot).
+    ones, until no node that points at a smaller one has other neighbours. Edges and minima are tables in the checkpoint
+    folder; nothing is collected. A node with very many neighbours is joined by broadcast (join_few_or_hot).
     """
     now = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct())
+    n = None
     for _ in range(most_rounds):
-        if _settled(now):
+        both = _pairs_of(now, ("a", "b"), ("b", "a"))
+        least, n, top, settled = _least(both, n)
+        if settled:
             break
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = _pointed(both).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        down = cut(large)
-        small = _pointed(down)
-        now = cut(small.filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).distinct())
+        large = join_few_or_hot(both, least, "a", "n", n, top).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        down = cut(_few(large.distinct(), n))
+        least, n, top, _ = _least(down, n)
+        small = join_few_or_hot(down, least, "a", "n", n, top)
+        now = cut(_few(_pairs_of(small, ("b", "m"), ("a", "m")).filter("a != b").distinct(), n))
     else:
         raise RuntimeError("components did not settle")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def _pointed(edges: DataFrame) -> DataFrame:
-    """edges with m, the smallest of a and its neighbours b."""
-    least = cut(edges.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count("*").alias("n")))
-    return join_hot(edges, least, "a", "n", edges.count()).select("a", "b", "m")
+def _pairs_of(rows: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
+    """a, b: the given pairs of columns of each row."""
+    pair = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
+    return rows.select(F.inline(F.array(*[pair(*p) for p in pairs])))
+
+
+def _few(rows: DataFrame, n: int | None) -> DataFrame:
+    """rows, of which there are about n, in no more partitions than have PER_TASK each; as they are where n is not known."""
+    return rows if n is None else rows.coalesce(max(1, -(-n // PER_TASK)))
 
 
-def _settled(edges: DataFrame) -> bool:
-    """Whether every node either points at one smaller node or is pointed at, never both: then edges are the answer."""
-    roles = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("root")))
-    return roles.groupBy("node").agg(F.sum("up").alias("up"), F.max("root").alias("root")).filter("up + root > 1").isEmpty()
+def _least(edges: DataFrame, about: int | None) -> tuple[DataFrame, int, int, bool]:
+    """a, m (the smallest of a and its neighbours b), n (their number); the number of edges, the largest n, and whether no node has a smaller neighbour and others."""
+    least = cut(_few(edges.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count("*").alias("n")), about))
+    open_: Column = (F.col("m") < F.col("a")) & (F.col("n") > 1)
+    n, top, open_nodes = least.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0)), F.count_if(open_)).first()
+    return least, n, top, open_nodes == 0
