@@ -73,15 +73,17 @@ def join_few(rows: DataFrame, few: DataFrame, on, how: str, most: int = 1_000_00
 
 
 @contextmanager
-def arrow_rows(spark: SparkSession, most: int) -> Iterator[None]:
-    """Jobs run inside give Python at most so many rows at a time: for rows that hold much."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(most))
+def arrow_batches(spark: SparkSession, rows: int, size: str) -> Iterator[None]:
+    """Jobs run inside give Python at most so many rows and about such a size at a time: for rows that hold much."""
+    names = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    before = {k: spark.conf.get(k) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def word_count(text: Column) -> Column:

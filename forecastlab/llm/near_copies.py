@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
-from .common import arrow_rows, cut, join_few, slices
+from .common import arrow_batches, cut, join_few, slices
 from .components import components
 from .simhash import _LOWER, keep_firsts, text_mark
 
@@ -377,6 +377,6 @@ def near_roots(docs: DataFrame) -> DataFrame:
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """docs with one row of each component of near_roots: that with the smallest doc_id. All columns stay."""
-    with arrow_rows(docs.sparkSession, 1_000):  # rows hold texts and sets of shingles, two at a time
+    with arrow_batches(docs.sparkSession, 1_000, "16m"):  # rows hold texts and sets of shingles, two at a time
         roots = cut(near_roots(docs))
     return keep_firsts(docs, roots)
