@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, cws, exact_dedup, html_extract, mixing, quality, sharding, simhash, token_files, url_filter
+from . import bpe, cws, exact_dedup, html_extract, mixing, packing, quality, sharding, simhash, token_align, token_files, url_filter, whitening
 from .common import shared_dir, table
 
 #: Bytes of text that a shard holds at most.
@@ -57,7 +57,24 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken")).drop("ids", "offsets")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_html_extraction, op3_sharding, op4_simhash, op5_fingerprints, op6_exact_dedup, op7_url_filter, op8_token_files, op9_quality, op10_bpe)}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return token_align.alignment_report(table(spark, sf_dir, "documents"), *paths)
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.piece_digests(packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
+
+
+_ALL = (
+    op1_mixing, op2_html_extraction, op3_sharding, op4_simhash, op5_fingerprints, op6_exact_dedup, op7_url_filter, op8_token_files, op9_quality,
+    op10_bpe, op11_whitening, op12_alignment, op13_packing,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLE_SQL = {
