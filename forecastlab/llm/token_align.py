@@ -7,9 +7,10 @@ coarse (characters cut into several tokens, byte-fallback tokens) decoded bytes
 
 from __future__ import annotations
 
+import gc
+import json
 import os
 import re
-from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 from hashlib import sha256
@@ -20,13 +21,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT_SHARE, cut, slices
-from .token_files import LETTERS
+from .common import HOT_SHARE, cut, shared_dir, slices
+from .token_files import LETTERS, new_folder
 
 #: Segments that a worker remembers, the longest of them, and links of all of them, before it starts anew: its bound on memory.
-REMEMBERED, LONGEST, REMEMBERED_LINKS = 200_000, 64, 4_000_000
+REMEMBERED, LONGEST, REMEMBERED_LINKS = 300_000, 64, 3_000_000
+#: Characters of new segments that the libraries get as one text.
+JOINED = 1 << 16
 #: Rows of the table of id pairs up to which it is broadcast; beyond, only pairs with a large share of all links are.
 FEW_PAIRS = 1_000_000
+#: White space of either tokenizer: Python's, and one mark that older Unicode counted.
+BLANK = r"\s\u180e"
 #: An id pair is one number: A's id times this, plus B's.
 PAIR = 1 << 32
 
@@ -53,127 +58,175 @@ def overlaps(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.nda
     return a, np.repeat(low - (np.cumsum(n) - n), n) + np.arange(len(a))
 
 
-class Segment:
-    """What alignment gives for a piece of text: counts, the groups as text, and the id pair of each link. ok: the bytes agree."""
+class Growing:
+    """An array of numbers that is added to at its end."""
 
-    __slots__ = ("ok", "n_a", "n_b", "n_groups", "groups", "pairs", "a", "b")
+    def __init__(self, kind: str):
+        self.data, self.n = np.zeros(1 << 12, dtype=kind), 0
 
-    def __init__(self, ok: bool, n_a: int, n_b: int, n_groups: int, groups: str, pairs: np.ndarray, a: tuple, b: tuple):
-        self.ok, self.n_a, self.n_b, self.n_groups, self.groups, self.pairs, self.a, self.b = ok, n_a, n_b, n_groups, groups, pairs, a, b
+    def add(self, values: np.ndarray) -> None:
+        if self.n + len(values) > len(self.data):
+            self.data = np.concatenate([self.data[: self.n], np.zeros(self.n + len(values), dtype=self.data.dtype)])
+        self.data[self.n : self.n + len(values)] = values
+        self.n += len(values)
+
+
+class Rows:
+    """Lists of numbers end to end: at and n say where each is in flat."""
+
+    def __init__(self, kind: str):
+        self.at, self.n, self.flat = Growing("i8"), Growing("i8"), Growing(kind)
+
+    def add(self, sizes: np.ndarray, values: np.ndarray) -> None:
+        self.at.add(self.flat.n + np.cumsum(sizes) - sizes)
+        self.n.add(sizes)
+        self.flat.add(values)
+
+    def of(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of the entries, end to end, and how many each has."""
+        n = self.n.data[entries]
+        return self.flat.data[np.repeat(self.at.data[entries] - (np.cumsum(n) - n), n) + np.arange(n.sum())], n
+
+
+def texts_by_row(rows: np.ndarray, parts: list[str], n: int) -> list[str]:
+    """Of n rows, each one's parts joined; rows ascends."""
+    ends = np.searchsorted(rows, np.arange(n), side="right").tolist()
+    return ["".join(parts[x:y]) for x, y in zip([0, *ends[:-1]], ends)]
 
 
 class Aligner:
     """Aligns texts by a tokenizers file (A) and a sentencepiece model (B).
 
     Where neither has tokens across a space that follows a character that is no white space, texts are cut before such
-    spaces, and what a short segment gives is remembered. Otherwise texts stay whole.
+    spaces, and what a short segment gives is remembered: entries are numbers of remembered segments. New segments are
+    joined again to longer texts, which the libraries take faster. Otherwise texts stay whole.
     """
 
     def __init__(self, a_path: str, b_path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import json
-
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
 
         self.a, self.b = Tokenizer.from_file(a_path), SentencePieceProcessor(model_file=b_path)
         self.a.encode_special_tokens = True
-        bytes_of = {letter: b for b, letter in LETTERS.items()}
-        self.a_bytes = {i: bytes(bytes_of[c] for c in t) if all(c in bytes_of for c in t) else t.encode() for t, i in self.a.get_vocab().items()}
+        byte_of = {letter: b for b, letter in LETTERS.items()}
+        vocabulary = {i: t for t, i in self.a.get_vocab().items()}
+        names = [vocabulary.get(i, "") for i in range(max(vocabulary) + 1)]
+        self.a_bytes = [bytes(byte_of[c] for c in t) if all(c in byte_of for c in t) else t.encode() for t in names]
         pieces = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.sizes = [np.array([len(x) for x in table], dtype=np.int64) for table in (self.a_bytes, self.b_bytes)]
+        self.words = [[f"{i}{mark}" for i in range(max(len(names), len(pieces)))] for mark in (",", "|", ";", "")]
         before = json.loads(self.a.to_str())["pre_tokenizer"] or {}
         usual = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
         self.cut = usual and not any(re.search("[^▁]▁", p) for p in pieces)
-        self.known: dict[str, Segment] = {}
-        self.links = 0
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[str, int] = {}
+        self.ok, self.groups, self.texts = Growing("?"), Growing("i8"), []
+        self.a_ids, self.a_ends, self.b_ids, self.b_ends, self.pairs = Rows("i4"), Rows("i4"), Rows("i4"), Rows("i4"), Rows("i8")
+
+    @property
+    def full(self) -> bool:
+        return len(self.texts) > REMEMBERED or self.pairs.flat.n > REMEMBERED_LINKS
 
     def segments(self, text: str) -> list[str]:
         """The segments of text, which begins with a space; each begins with one."""
-        return re.split(r"(?<=\S)(?= [\s\S])", text) if self.cut else [text]
-
-    def learn(self, segments: list[str]) -> list[Segment]:
-        """The segments, aligned in bulk."""
-        data = [s.encode() for s in segments]
-        base = np.cumsum([0, *map(len, data)])
-        lengths = np.frombuffer("".join(segments).encode("utf-32-le"), dtype=np.uint32)
-        chars = np.concatenate([[0], np.cumsum(1 + (lengths >= 0x80) + (lengths >= 0x800) + (lengths >= 0x10000))])
-        char_base = np.cumsum([0, *map(len, segments)])
-
-        got = self.a.encode_batch(segments, add_special_tokens=False)
-        a_n = np.array([len(e.ids) for e in got])
-        a_ids = [i for e in got for i in e.ids]
+        return re.split(f"(?<=[^{BLANK}])(?= [\\s\\S])", text) if self.cut else [text]
+
+    def joined(self, segments: list[str]) -> tuple[list[str], list[str]]:
+        """The segments in an order in which they, end to end, are the texts that the libraries get; and these texts."""
+        # a text's own U+2581 would join the next segment's space
+        blank = [not self.cut or "▁" in s or re.match(f"[{BLANK}]", s[-1]) is not None for s in segments]
+        alone, inner = [s for s, x in zip(segments, blank) if x], [s for s, x in zip(segments, blank) if not x]
+        ends = np.cumsum([len(s) for s in inner]) // JOINED if inner else np.zeros(0, dtype=np.int64)
+        cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), len(inner)] if inner else [0]
+        return inner + alone, ["".join(inner[x:y]) for x, y in zip(cuts, cuts[1:])] + alone
+
+    def spans(self, texts: list[str], base: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], ...]:
+        """For each tokenizer the ids, and the coarse first byte and end of each token, in texts laid end to end."""
+        codes = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32)
+        byte_at = np.concatenate([[0], np.cumsum(1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000))])
+        char_base = np.cumsum([0, *map(len, texts)])
+        gc.disable()  # many small objects that are soon gone
+        got = self.a.encode_batch(texts, add_special_tokens=False)
+        of = np.repeat(np.arange(len(got)), [len(e.ids) for e in got])
         offsets = np.array([o for e in got for o in e.offsets], dtype=np.int64).reshape(-1, 2)
-        a_text = np.repeat(np.arange(len(got)), a_n)
-        coarse = chars[offsets + char_base[a_text][:, None]]
-        a_parts = [self.a_bytes[i] for i in a_ids]
-        a_first = (np.cumsum(a_n) - a_n)[a_text]
-        a_ends = refined_ends(coarse[:, 0], coarse[:, 1], np.array([len(p) for p in a_parts], dtype=np.int64), a_first, base[a_text])
-
-        protos = self.b.encode([s[1:] for s in segments], return_type="proto")
-        spans = [(p.id, p.begin, p.end) for proto in protos for p in proto.pieces]
-        b_n = np.array([len(proto.pieces) for proto in protos])
-        b_text = np.repeat(np.arange(len(protos)), b_n)
-        spans = np.array(spans, dtype=np.int64).reshape(-1, 3)
-        b_ids = spans[:, 0].tolist()
-        b_first = (np.cumsum(b_n) - b_n)[b_text]
+        a = byte_at[offsets + char_base[of][:, None]]
+        a_ids = np.array([i for e in got for i in e.ids], dtype=np.int64)
+        protos = self.b.encode([t[1:] for t in texts], return_type="proto")
+        of = np.repeat(np.arange(len(protos)), [len(p.pieces) for p in protos])
+        b = np.array([(p.id, p.begin, p.end) for proto in protos for p in proto.pieces], dtype=np.int64).reshape(-1, 3)
+        gc.enable()
+        first = np.concatenate([[True], of[1:] != of[:-1]]) if len(of) else np.zeros(0, dtype=bool)
         # the model's own space is before the first span
-        begin = base[b_text] + np.where(np.arange(len(spans)) == b_first, 0, 1 + spans[:, 1])
-        b_parts = [self.b_bytes[i] for i in b_ids]
-        b_ends = refined_ends(begin, base[b_text] + 1 + spans[:, 2], np.array([len(p) for p in b_parts], dtype=np.int64), b_first, base[b_text])
-
-        out, a_at, b_at = [], 0, 0
-        for k, whole in enumerate(data):
-            a, b = slice(a_at, a_at + int(a_n[k])), slice(b_at, b_at + int(b_n[k]))
-            a_at, b_at = a.stop, b.stop
-            out.append(self.aligned(whole, a_ids[a], a_ends[a] - base[k], a_parts[a], b_ids[b], b_ends[b] - base[k], b_parts[b]))
-        return out
-
-    def aligned(self, whole: bytes, a_ids: list[int], a_ends: np.ndarray, a_parts: list[bytes], b_ids: list[int], b_ends: np.ndarray, b_parts: list[bytes]) -> Segment:
-        if b"".join(a_parts) != whole or b"".join(b_parts) != whole:
-            return Segment(False, 0, 0, 0, "", np.zeros(0, dtype=np.int64), (), ())
-        i, j = overlaps(a_ends, b_ends)
-        pairs = np.array(a_ids, dtype=np.int64)[i] * PAIR + np.array(b_ids, dtype=np.int64)[j]
-        a_end_list, b_end_list = a_ends.tolist(), b_ends.tolist()
-        common, groups, x, y = sorted(set(a_end_list) & set(b_end_list)), [], 0, 0
-        for at in common:
-            u, v = x, y
-            while u < len(a_ids) and a_end_list[u] <= at:
-                u += 1
-            while v < len(b_ids) and b_end_list[v] <= at:
-                v += 1
-            groups.append(",".join(map(str, a_ids[x:u])) + "|" + ",".join(map(str, b_ids[y:v])))
-            x, y = u, v
-        return Segment(True, len(a_ids), len(b_ids), len(common), ";".join(groups), pairs, (a_ids, a_end_list), (b_ids, b_end_list))
-
-    def align(self, texts: list[str | None]) -> list[list[Segment]]:
-        """The segments of each text; none where it is null or empty, or where tokens do not give its bytes back."""
+        return (a_ids, a[:, 0], a[:, 1]), (b[:, 0], base[of] + np.where(first, 0, 1 + b[:, 1]), base[of] + 1 + b[:, 2])
+
+    def learn(self, new: list[str]) -> dict[str, int]:
+        """Entries of new segments, aligned in bulk."""
+        segments, texts = self.joined(new)
+        data = [s.encode() for s in segments]
+        ends = np.cumsum([len(d) for d in data])
+        begins = ends - [len(d) for d in data]
+        base = np.cumsum([0, *[len(t.encode()) for t in texts]])
+        sides, ok, whole = [], np.ones(len(segments), dtype=bool), b"".join(data)
+        for (ids, start, end), table, sizes in zip(self.spans(texts, base), (self.a_bytes, self.b_bytes), self.sizes):
+            parts = [table[i] for i in ids.tolist()]
+            segment = np.searchsorted(ends, start, side="right")
+            if b"".join(parts) != whole:
+                at = np.searchsorted(segment, np.arange(len(segments) + 1)).tolist()
+                ok &= [b"".join(parts[x:y]) == d for x, y, d in zip(at, at[1:], data)]
+            first = np.searchsorted(segment, segment)
+            sides.append((ids, refined_ends(start, end, sizes[ids], first, begins[segment]), segment))
+        (a, a_end, a_of), (b, b_end, b_of) = [tuple(x[ok[side[2]]] for x in side) for side in sides]
+        i, j = overlaps(a_end, b_end)
+        common = np.intersect1d(a_end, b_end, assume_unique=True)
+        count = lambda of: np.bincount(of, minlength=len(segments))
+        known = len(self.texts)
+        self.a_ids.add(count(a_of), a)
+        self.a_ends.add(count(a_of), a_end - begins[a_of])
+        self.b_ids.add(count(b_of), b)
+        self.b_ends.add(count(b_of), b_end - begins[b_of])
+        self.pairs.add(count(a_of[i]), a[i] * PAIR + b[j])
+        group_of = np.searchsorted(ends, common)
+        self.groups.add(count(group_of))
+        self.ok.add(ok)
+        self.texts += self.group_texts((a, a_end, a_of), (b, b_end, b_of), common, group_of, len(segments))
+        return {s: known + k for k, s in enumerate(segments)}
+
+    def group_texts(self, a: tuple, b: tuple, common: np.ndarray, group_of: np.ndarray, n: int) -> list[str]:
+        """Of each segment its groups: A's ids, a bar, B's ids; groups apart by semicolons."""
+        last_group = np.concatenate([group_of[1:] != group_of[:-1], [True]]) if len(common) else np.zeros(0, dtype=bool)
+        keys, ids, marks, segments = [], [], [], []
+        for side, (these, end, of) in enumerate((a, b)):
+            group = np.searchsorted(common, end)
+            closes = np.concatenate([group[1:] != group[:-1], [True]]) if len(group) else np.zeros(0, dtype=bool)
+            keys.append(2 * group + side)
+            ids.append(these)
+            marks.append(np.where(closes, np.where(last_group[group], 3, 2) if side else 1, 0))
+            segments.append(of)
+        keys, ids, marks, segments = map(np.concatenate, (keys, ids, marks, segments))
+        order = np.argsort(keys, kind="stable")
+        words = self.words
+        return texts_by_row(segments[order], [words[m][i] for m, i in zip(marks[order].tolist(), ids[order].tolist())], n)
+
+    def align(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The entries of the texts' segments, end to end, and the number of the text of each.
+
+        Texts that are null or empty, or whose bytes the tokens do not give back, have none. Entries hold until clear().
+        """
         cut_up = [self.segments(" " + t) if t else [] for t in texts]
-        found, new = {}, {}
-        for s in (s for parts in cut_up for s in parts):
-            if s not in found and s not in new:
-                if (old := self.known.get(s)) is None:
-                    new[s] = None
-                else:
-                    found[s] = old
-        if new:
-            todo, at = list(new), 0
-            while at < len(todo):
-                to, size = at, 0
-                while to < len(todo) and (size == 0 or size + len(todo[to]) <= 1 << 18):
-                    size += len(todo[to])
-                    to += 1
-                for s, segment in zip(todo[at:to], self.learn(todo[at:to])):
-                    found[s] = segment
-                    if len(s) <= LONGEST:
-                        if len(self.known) >= REMEMBERED or self.links >= REMEMBERED_LINKS:
-                            self.known.clear()
-                            self.links = 0
-                        self.known[s] = segment
-                        self.links += len(segment.pairs)
-                at = to
-        whole = [[found[s] for s in parts] for parts in cut_up]
-        return [parts if all(p.ok for p in parts) else [] for parts in whole]
+        flat = [s for parts in cut_up for s in parts]
+        known = self.known
+        entries = [known.get(s, -1) for s in flat]
+        if new := list(dict.fromkeys([s for s, e in zip(flat, entries) if e < 0])):
+            found = self.learn(new)
+            known.update((s, e) for s, e in found.items() if len(s) <= LONGEST)
+            entries = [found[s] if e < 0 else e for s, e in zip(flat, entries)]
+        entries, of = np.array(entries, dtype=np.int64), np.repeat(np.arange(len(texts)), [len(p) for p in cut_up])
+        good = np.bincount(of, ~self.ok.data[entries], minlength=len(texts))[of] == 0
+        return entries[good], of[good]
 
 
 @cache
@@ -194,53 +247,35 @@ def alignments(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     """
     names = ["doc_id", "a_ids", "a_ends", "b_ids", "b_ends", "groups"]
 
+    def lists(values: np.ndarray, of: np.ndarray, n: int) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(n + 1)), pa.int32()), pa.array(values, pa.int32()))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = aligner(a_path, b_path)
         for batch in batches:
             for part in slices(batch, 64):
-                columns: list[list] = [[], [], [], [], []]
-                for segments in known.align(part.column(1).to_pylist()):
-                    ids: list[list] = [[], [], [], []]
-                    at = 0
-                    for s in segments:
-                        for k, (these, ends) in enumerate((s.a, s.b)):
-                            ids[2 * k] += these
-                            ids[2 * k + 1] += [at + e for e in ends]
-                        at += s.a[1][-1]
-                    for column, value in zip(columns, [*ids, ";".join(s.groups for s in segments)]):
-                        column.append(value)
-                arrays = [pa.array(c, pa.list_(pa.int32())) for c in columns[:4]]
-                yield pa.RecordBatch.from_arrays([part.column(0), *arrays, pa.array(columns[4], pa.string())], names)
+                if known.full:
+                    known.clear()
+                entries, of = known.align(part.column(1).to_pylist())
+                columns, n = [], part.num_rows
+                for ids, ends in ((known.a_ids, known.a_ends), (known.b_ids, known.b_ends)):
+                    (these, size), (at, _) = ids.of(entries), ends.of(entries)
+                    # a segment ends where its last token does
+                    length = at[np.cumsum(size) - 1] if len(size) else size
+                    before = np.cumsum(length) - length
+                    before -= before[np.searchsorted(of, of)] if len(of) else 0
+                    columns += [lists(these, np.repeat(of, size), n), lists(at + np.repeat(before, size), np.repeat(of, size), n)]
+                groups = group_lists(known, entries, of, n)
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns, pa.array(groups, pa.string())], names)
 
     return texts_of(docs).mapInArrow(run, "doc_id long, a_ids array<int>, a_ends array<int>, b_ids array<int>, b_ends array<int>, groups string")
 
 
-def pair_counts(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """pair (A's id * 2 ** 32 + B's), n: how many links of all texts hold each id pair. Tasks add up before anything is shuffled."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = aligner(a_path, b_path)
-        total: Counter[int] = Counter()
-
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["pair", "n"])
-
-        for batch in batches:
-            for part in slices(batch, 64):
-                times = Counter(s for segments in known.align(part.column(0).to_pylist()) for s in segments)
-                if times:
-                    pairs = np.concatenate([s.pairs for s in times])
-                    weights = np.repeat(np.array(list(times.values())), [len(s.pairs) for s in times])
-                    pairs, place = np.unique(pairs, return_inverse=True)
-                    for p, n in zip(pairs.tolist(), np.bincount(place, weights).astype(np.int64).tolist()):
-                        total[p] += n
-                if len(total) > 500_000:
-                    yield out()
-                    total.clear()
-        if total:
-            yield out()
-
-    return texts_of(docs).select("text").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+def group_lists(known: Aligner, entries: np.ndarray, of: np.ndarray, n: int) -> list[str]:
+    """The groups of n texts whose segments are entries."""
+    parts = [known.texts[e] for e in entries.tolist()]
+    at = np.searchsorted(of, np.arange(n + 1)).tolist()
+    return [";".join(parts[x:y]) for x, y in zip(at, at[1:])]
 
 
 def linked_texts(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
@@ -252,26 +287,20 @@ def linked_texts(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
         known, row = aligner(a_path, b_path), TaskContext.get().partitionId() << 33
         for batch in batches:
             for part in slices(batch, 64):
-                columns: list[list] = [[], [], [], [], [], []]
-                pairs, times, ends = [], [], [0]
-                for segments in known.align(part.column(1).to_pylist()):
-                    counted = Counter(segments)
-                    groups = ";".join([s.groups for s in segments])
-                    values = (
-                        row, sum([s.n_a for s in segments]), sum([s.n_b for s in segments]), sum([s.n_groups for s in segments]),
-                        sum([len(s.pairs) for s in segments]), sha256(groups.encode()).hexdigest() if segments else "",
-                    )
-                    for column, value in zip(columns, values):
-                        column.append(value)
-                    pairs += [s.pairs for s in counted]
-                    sizes = [len(s.pairs) for s in counted]
-                    times.append(np.repeat(np.fromiter(counted.values(), dtype=np.int64, count=len(counted)), sizes))
-                    ends.append(ends[-1] + sum(sizes))
-                    row += 1
-                flat = [np.concatenate([np.zeros(0, dtype=np.int64), *x]) for x in (pairs, times)]
-                links = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(x) for x in flat], fields=list(link)))
-                numbers = [pa.array(c, pa.int64()) for c in columns[:5]]
-                yield pa.RecordBatch.from_arrays([numbers[0], part.column(0), *numbers[1:], pa.array(columns[5], pa.string()), links], names)
+                if known.full:
+                    known.clear()
+                entries, of = known.align(part.column(1).to_pylist())
+                n = part.num_rows
+                sums = [np.bincount(of, x.data[entries], minlength=n).astype(np.int64) for x in (known.a_ids.n, known.b_ids.n, known.groups, known.pairs.n)]
+                groups = [sha256(g.encode()).hexdigest() if g else "" for g in group_lists(known, entries, of, n)]
+                each, times = np.unique(of * len(known.texts) + entries, return_counts=True)
+                pairs, size = known.pairs.of(each % max(1, len(known.texts)))
+                ends = np.concatenate([[0], np.cumsum(np.bincount(each // max(1, len(known.texts)), size, minlength=n).astype(np.int64))])
+                cells = pa.StructArray.from_arrays([pa.array(pairs), pa.array(np.repeat(times, size))], fields=list(link))
+                links = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), cells)
+                rows = pa.array(np.arange(row, row + n))
+                yield pa.RecordBatch.from_arrays([rows, part.column(0), *map(pa.array, sums), pa.array(groups, pa.string()), links], names)
+                row += n
 
     schema = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, links array<struct<pair: long, times: long>>"
     return texts_of(docs).mapInArrow(run, schema)
@@ -281,22 +310,29 @@ def alignment_report(docs: DataFrame, a_path: str, b_path: str, few: int = FEW_P
     """Per row of docs: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256.
 
     A link's count is that of its id pair over all texts; n_best counts links whose count is the highest of their B id. Texts
-    without tokens (see alignments) have zeros and ''. The table of id pairs is broadcast while it has at most `few` rows.
-    Beyond, pairs with over 0.1% of all links, so at most 1000, are, and the other links are shuffled to theirs.
+    without tokens (see alignments) have zeros and ''. Texts are encoded once and their links written to the shared folder.
+    The table of id pairs is broadcast while it has at most `few` rows. Beyond, pairs with over 0.1% of all links, so at most
+    1000, are, and the other links are shuffled to theirs.
     """
-    counted = pair_counts(docs, a_path, b_path)
+    spark, folder = docs.sparkSession, new_folder(shared_dir(docs.sparkSession), "alignment")
+    linked_texts(docs, a_path, b_path).write.parquet(folder)
+    linked = spark.read.parquet(folder)
+    counted = cut(linked.select(F.explode("links").alias("link")).groupBy("link.pair").agg(F.sum("link.times").alias("n")))
     highest = counted.groupBy((F.col("pair") % PAIR).alias("b")).agg(F.max("n").alias("highest"))
-    known = cut(counted.withColumn("b", F.col("pair") % PAIR).join(highest, "b").select("pair", "n", (F.col("n") == F.col("highest")).alias("best")))
-    rows, total = known.agg(F.count("*"), F.sum("n")).first()
-    keys = ["row", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"]
-    links = linked_texts(docs, a_path, b_path).select(*keys, F.explode_outer("links").alias("link")).select(*keys, "link.pair", "link.times")
+    known = counted.withColumn("b", F.col("pair") % PAIR).join(highest, "b").select("pair", "n", (F.col("n") == F.col("highest")).alias("best"))
+    rows, total = counted.agg(F.count("*"), F.sum("n")).first()
+    links = linked.select("row", F.explode("links").alias("link")).select("row", "link.pair", "link.times")
     if rows <= few:
-        found = links.join(F.broadcast(known), "pair", "left")
+        found = links.join(F.broadcast(known), "pair")
     else:
         often = F.col("n") > total * HOT_SHARE
         hot = known.filter(often).select("pair", F.col("n").alias("hot_n"), F.col("best").alias("hot_best"))
-        some = links.join(F.broadcast(hot), "pair", "left").withColumn("ask", F.when(F.col("hot_n").isNull() & F.col("pair").isNotNull(), F.col("pair")).otherwise(-1 - F.col("row")))
-        rest = some.join(known.filter(~often).withColumnRenamed("pair", "ask").hint("merge"), "ask", "left")
+        some = links.join(F.broadcast(hot), "pair", "left")
+        # links of hot pairs ask for nothing more, each at a place of its own
+        asking = some.withColumn("ask", F.when(F.col("hot_n").isNull(), F.col("pair")).otherwise(-1 - F.col("row")))
+        rest = asking.join(known.filter(~often).withColumnRenamed("pair", "ask").hint("merge"), "ask", "left")
         found = rest.withColumns({"n": F.coalesce("n", "hot_n"), "best": F.coalesce("best", "hot_best")})
-    sums = found.groupBy(*keys).agg(F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("n_best"), F.sum(F.coalesce(F.col("n") * F.col("times"), F.lit(0))).alias("count_sum"))
-    return sums.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+    sums = found.groupBy("row").agg(F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("n_best"), F.sum(F.col("n") * F.col("times")).alias("count_sum"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    whole = linked.drop("links").join(sums, "row", "left")
+    return whole.select("doc_id", "n_a", "n_b", "n_groups", "n_links", zero("n_best"), zero("count_sum"), "groups_sha256")
