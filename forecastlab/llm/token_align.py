@@ -14,6 +14,7 @@ import re
 from collections.abc import Iterator
 from functools import cache
 from hashlib import sha256
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from .common import HOT_SHARE, cut, shared_dir, slices
 from .token_files import LETTERS, new_folder
 
 #: Segments that a worker remembers, the longest of them, and links of all of them, before it starts anew: its bound on memory.
-REMEMBERED, LONGEST, REMEMBERED_LINKS = 300_000, 64, 3_000_000
+REMEMBERED, LONGEST, REMEMBERED_LINKS = 120_000, 64, 1_000_000
 #: Characters of new segments that the libraries get as one text.
 JOINED = 1 << 16
 #: Rows of the table of id pairs up to which it is broadcast; beyond, only pairs with a large share of all links are.
@@ -152,12 +153,12 @@ class Aligner:
         gc.disable()  # many small objects that are soon gone
         got = self.a.encode_batch(texts, add_special_tokens=False)
         of = np.repeat(np.arange(len(got)), [len(e.ids) for e in got])
-        offsets = np.array([o for e in got for o in e.offsets], dtype=np.int64).reshape(-1, 2)
-        a = byte_at[offsets + char_base[of][:, None]]
-        a_ids = np.array([i for e in got for i in e.ids], dtype=np.int64)
+        numbers = lambda rows: np.fromiter(chain.from_iterable(rows), dtype=np.int64)
+        a = byte_at[numbers(chain.from_iterable(e.offsets for e in got)).reshape(-1, 2) + char_base[of][:, None]]
+        a_ids = numbers(e.ids for e in got)
         protos = self.b.encode([t[1:] for t in texts], return_type="proto")
         of = np.repeat(np.arange(len(protos)), [len(p.pieces) for p in protos])
-        b = np.array([(p.id, p.begin, p.end) for proto in protos for p in proto.pieces], dtype=np.int64).reshape(-1, 3)
+        b = numbers((p.id, p.begin, p.end) for proto in protos for p in proto.pieces).reshape(-1, 3)
         gc.enable()
         first = np.concatenate([[True], of[1:] != of[:-1]]) if len(of) else np.zeros(0, dtype=bool)
         # the model's own space is before the first span
