@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import cache
-from math import sqrt
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_buckets, in_buckets, shared_dir
+from .common import id_buckets, in_buckets, shared_dir, slices
 from .token_files import library, new_folder
 
 #: Tokens of a sequence.
@@ -59,19 +58,26 @@ def _projection() -> np.ndarray:
 def _hash(ids: np.ndarray) -> np.ndarray:
     """64 well-mixed bits for each id (multiplication by an odd number, and a fold)."""
     h = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    h ^= h >> np.uint64(29)
-    return h * np.uint64(0xBF58476D1CE4E5B9)
+    return (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
 
 
-def curve_key(ids: np.ndarray) -> int:
-    """The key of a document's token ids: damped counts in hashed buckets, scaled to length one, projected, laid on the grid."""
-    counts = np.bincount((_hash(ids) >> np.uint64(54)).astype(np.int64), minlength=BUCKETS)
-    vector = np.log1p(counts)
-    length = sqrt(float(vector @ vector))
-    at = vector @ _projection() / length if length else np.zeros(DIMS)
+@cache
+def _hashes(size: int) -> np.ndarray:
+    """The hash of each id below size."""
+    return _hash(np.arange(size))
+
+
+def curve_keys(hashes: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+    """The keys of n documents from the hashes of all their ids, of which `of` tells the documents.
+
+    Damped counts in hashed buckets, scaled to length one, are projected and laid on the grid.
+    """
+    counts = np.bincount(of * BUCKETS + (hashes >> np.uint64(54)).astype(np.int64), minlength=n * BUCKETS).reshape(n, BUCKETS)
+    vectors = np.log1p(counts)
+    at = vectors @ _projection() / np.maximum(np.sqrt((vectors * vectors).sum(axis=1)), 1e-12)[:, None]
     # the logistic curve spreads what is about normal evenly over the grid
     cells = np.minimum((2**BITS / (1 + np.exp(-1.702 * at))).astype(np.int64), 2**BITS - 1)
-    return int(hilbert_keys(cells[None, :], BITS)[0])
+    return hilbert_keys(cells, BITS)
 
 
 def encode_places(docs: DataFrame, tokenizer_path: str, end_id: int | None = 1) -> DataFrame:
@@ -85,21 +91,23 @@ def encode_places(docs: DataFrame, tokenizer_path: str, end_id: int | None = 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, row = library(tokenizer_path), 0
+        table = _hashes(max(known.tokenizer.get_vocab_size(with_added_tokens=True), (end_id or 0) + 1))
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                out = [[], [], []]
-                names = part.column(0).to_pylist()
-                for doc, e in zip(names, known.encode(part.column(1).to_pylist())):
-                    ids = np.concatenate([e, end])
-                    order = np.arange(1, len(ids) + 1, dtype=np.uint64)
-                    digest = int((_hash(ids) * order).sum() + _hash(np.array([(doc or 0) & (2**63 - 1)]))[0]) >> (64 - DIGEST_BITS)
-                    out[0].append((((curve_key(ids) << DIGEST_BITS) | digest) << SALT_BITS) | (row & (2**SALT_BITS - 1)))
-                    out[1].append(len(ids))
-                    out[2].append(ids.astype(width).tobytes())
-                    row += 1
-                columns = [part.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "place", "n_tokens", "ids"])
+            for part in slices(batch, 64):
+                found = [np.concatenate([e, end]) for e in known.encode(part.column(1).to_pylist())]
+                n, lengths = len(found), np.array([len(e) for e in found])
+                ids, of, ends = np.concatenate(found), np.repeat(np.arange(n), lengths), np.cumsum(lengths)
+                hashes = table[ids]
+                # a digest of the ids in their order, and of doc_id
+                order = (np.arange(len(ids)) - np.repeat(ends - lengths, lengths) + 1).astype(np.uint64)
+                sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(hashes * order)])
+                doc = _hash(part.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+                digest = (((sums[ends] - sums[ends - lengths]) ^ doc) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - DIGEST_BITS)
+                place = (curve_keys(hashes, of, n) << DIGEST_BITS) | digest.astype(np.int64)
+                place = (place << SALT_BITS) | ((row + np.arange(n)) & (2**SALT_BITS - 1))
+                data = pa.array([e.astype(width).tobytes() for e in found], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(place), pa.array(lengths.astype(np.int64)), data], ["doc_id", "place", "n_tokens", "ids"])
+                row += n
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     return rows.mapInArrow(run, "doc_id long, place long, n_tokens long, ids binary")
