@@ -6,7 +6,9 @@ A view is one SELECT that Spark and DuckDB both run, so a query and its oracle r
 from __future__ import annotations
 
 import re
+import tempfile
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,7 +39,7 @@ VIEWS = {
                    WHEN 6 THEN '6-4 3-6 6-2 7-5' WHEN 7 THEN '2-6 3-6' WHEN 8 THEN '6-3 x 6-4' ELSE '' END AS score,
                30 + CAST(FLOOR(o_totalprice) AS BIGINT) % 40 AS p1_fs_att, 15 + CAST(FLOOR(o_totalprice) AS BIGINT) % 15 AS p1_fs_in, 8 + CAST(FLOOR(o_totalprice) AS BIGINT) % 7 AS p1_fs_won, 4 + o_orderkey % 9 AS p1_ss_won,
                30 + (CAST(FLOOR(o_totalprice) AS BIGINT) + o_custkey) % 40 AS p2_fs_att, 15 + (CAST(FLOOR(o_totalprice) AS BIGINT) + o_custkey) % 15 AS p2_fs_in, 8 + (CAST(FLOOR(o_totalprice) AS BIGINT) + o_custkey) % 7 AS p2_fs_won, 4 + o_orderkey % 7 AS p2_ss_won,
-               o_orderkey % 12 AS p1_bp_of, CAST(FLOOR((o_orderkey % 12) * (o_custkey % 4) / 4e0) AS BIGINT) AS p1_bp_conv, CAST(FLOOR((o_orderkey % 10) * (o_custkey % 3) / 3e0) AS BIGINT) AS p2_bp_conv, o_orderkey % 10 AS p2_bp_of, o_orderkey % 6 AS p1_aces, o_custkey % 6 AS p2_aces,
+               o_orderkey % 12 AS p1_bp_of, CAST(FLOOR((o_orderkey % 12) * (o_custkey % 4) / 4e0) AS BIGINT) AS p1_bp_conv, CAST(FLOOR((o_orderkey % 10) * (o_custkey % 3) / 3e0) AS BIGINT) AS p2_bp_conv, o_orderkey % 10 AS p2_bp_of, o_orderkey % 6 AS p1_aces, o_custkey % 6 AS p2_aces, o_orderkey % 5 AS p1_dfs, o_custkey % 4 AS p2_dfs,
                CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE 100 + CAST(FLOOR(o_totalprice) AS BIGINT) % 5000 END AS p1_points, CASE WHEN o_orderkey % 19 = 0 THEN NULL ELSE 100 + (CAST(FLOOR(o_totalprice) AS BIGINT) * 7 + o_custkey) % 5000 END AS p2_points
         FROM {orders}""",
     "profiles": """
@@ -112,8 +114,8 @@ ORACLE_VIEWS = {
     "pr": " UNION ALL ".join(
         f"""
         SELECT match_id, tour, match_date, surface, round_id, {n} AS side, p{n} AS player, p{o} AS opponent, CASE WHEN winner_side = {n} THEN 1 ELSE 0 END AS won, date_diff('day', DATE '1995-01-01', match_date) AS day,
-            p{n}_fs_att AS s_fs_att, p{n}_fs_in AS s_fs_in, p{n}_fs_won AS s_fs_won, p{n}_ss_won AS s_ss_won, p{n}_bp_of AS s_bp_of, p{n}_bp_conv AS s_bp_conv, p{n}_aces AS s_aces, p{n}_points AS s_points,
-            p{o}_fs_att AS o_fs_att, p{o}_fs_in AS o_fs_in, p{o}_fs_won AS o_fs_won, p{o}_ss_won AS o_ss_won, p{o}_bp_of AS o_bp_of, p{o}_bp_conv AS o_bp_conv, p{o}_aces AS o_aces, p{o}_points AS o_points,
+            p{n}_fs_att AS s_fs_att, p{n}_fs_in AS s_fs_in, p{n}_fs_won AS s_fs_won, p{n}_ss_won AS s_ss_won, p{n}_bp_of AS s_bp_of, p{n}_bp_conv AS s_bp_conv, p{n}_aces AS s_aces, p{n}_dfs AS s_dfs, p{n}_points AS s_points,
+            p{o}_fs_att AS o_fs_att, p{o}_fs_in AS o_fs_in, p{o}_fs_won AS o_fs_won, p{o}_ss_won AS o_ss_won, p{o}_bp_of AS o_bp_of, p{o}_bp_conv AS o_bp_conv, p{o}_aces AS o_aces, p{o}_dfs AS o_dfs, p{o}_points AS o_points, rank_id, bo,
             CASE WHEN decider THEN 1 WHEN NOT decider THEN 0 END AS decider, CASE WHEN is_close THEN 1 WHEN NOT is_close THEN 0 END AS close, breaks AS tb_played, CASE WHEN winner_side = {n} THEN winner_breaks ELSE breaks - winner_breaks END AS tb_won,
             CASE WHEN winner_set1 IS NOT NULL THEN CASE WHEN winner_set1 <> (winner_side = {n}) THEN 1 ELSE 0 END END AS lost_set1,
             (CASE WHEN winner_side = {n} THEN 1 ELSE -1 END) * (bo // 2 + 1 - greatest(n_sets - (bo // 2 + 1), 0)) AS set_diff
@@ -134,6 +136,16 @@ class Tables:
         return self.spark.sql(VIEWS[name].format(**paths))
 
 
+def shared(t: Tables) -> str:
+    """A new folder in the shared one that the cluster names; a temporary one only on a local master, where one machine does all work."""
+    named = t.spark.conf.get("spark.checkpoint.dir", None) or t.spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named:
+        if not t.spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
+        named = tempfile.mkdtemp(prefix="forecastlab-")
+    return f"{named.rstrip('/')}/forecastlab-{uuid4().hex}"
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 

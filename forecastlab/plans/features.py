@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
+from forecastlab.functions.score import SURFACES, TIERS, keyed
 from forecastlab.operators import contests as C
+from forecastlab.operators import elo as E
 from forecastlab.operators import features as W
 from forecastlab.operators.player_rows import player_rows
 
-from .base import query
+from .base import query, shared
 
 c = F.col
 FRAME = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
@@ -16,7 +19,7 @@ BY = "PARTITION BY tour, player ORDER BY match_date, match_id"
 #: The counters that rates divide, in SQL.
 COUNT = {
     "one": "1", "s_ss_att": "s_fs_att - s_fs_in", "o_ss_att": "o_fs_att - o_fs_in", "o_fs_lost": "o_fs_in - o_fs_won", "o_ss_lost": "o_fs_att - o_fs_in - o_ss_won",
-    "o_bp_missed": "o_bp_of - o_bp_conv", "decider_won": "decider * won", "comeback": "lost_set1 * won", "close_won": "close * won",
+    "o_bp_missed": "o_bp_of - o_bp_conv", "points_played": "s_points + o_points", "points_won": "CASE WHEN s_points + o_points IS NOT NULL THEN s_points END", "decider_won": "decider * won", "comeback": "lost_set1 * won", "close_won": "close * won",
 }
 
 
@@ -46,7 +49,7 @@ H2H = {"h2h_wins": "won", "h2h_decider_n": "decider", "h2h_decider_w": "decider
 query("w7_h2h_state", f"SELECT match_id, player, count(*) OVER {H} AS h2h_total, {', '.join(f'CAST(coalesce(sum({v}) OVER {H}, 0) AS BIGINT) AS {k}' for k, v in H2H.items())}, CASE WHEN count(*) OVER {H} > 0 THEN sum(won) OVER {H} / count(*) OVER {H} - 0.5 END AS h2h_advantage FROM pr", "h2h_advantage")(
     lambda t: W.h2h_state(W.with_counts(rows(t))).select("match_id", "player", "h2h_total", *H2H, "h2h_advantage")
 )
-query("w8_days_since_last", f"SELECT match_id, player, CAST(least(greatest(day - max(day) OVER ({BY} {FRAME}), 0), CASE WHEN max(day) OVER ({BY} {FRAME}) IS NOT NULL THEN 30 END) AS INT) AS d FROM (SELECT * FROM pr) WHERE true")(
+query("w8_days_since_last", f"SELECT match_id, player, CASE WHEN max(day) OVER ({BY} {FRAME}) IS NOT NULL THEN CAST(least(greatest(day - max(day) OVER ({BY} {FRAME}), 0), 30) AS INT) END AS d FROM pr")(
     lambda t: W.workload(rows(t)).select("match_id", "player", c("days_since_last").cast("int").alias("d"))
 )
 query("w9_contests_in_last_days", "SELECT a.match_id, a.player, CAST(least(count(b.match_id), 32) AS BIGINT) AS n FROM pr a LEFT JOIN pr b ON a.tour = b.tour AND a.player = b.player AND b.day > a.day - 14 AND (b.day < a.day OR b.day = a.day AND b.match_id < a.match_id) GROUP BY a.match_id, a.player")(
@@ -58,7 +61,42 @@ RECENT = """WITH k AS ({src}), j AS (SELECT a.match_id, a.player, b.v, row_numbe
 OPP = "SELECT p.*, r.rank AS v FROM pr p ASOF LEFT JOIN rankings r ON p.tour = r.tour AND p.opponent = r.player_id AND p.match_date >= r.ranking_date"
 query("w10_avg_recent_opp_rank", RECENT.format(src=OPP), "r")(lambda t: W.recent_known(W.with_ranks(rows(t), t("rankings")), "opp_rank", "r").select("match_id", "player", "r"))
 query("w11_avg_recent_set_diff", RECENT.format(src="SELECT *, set_diff AS v FROM pr"), "r")(lambda t: W.recent_known(rows(t), "set_diff", "r").select("match_id", "player", "r"))
-query("w12_elo")(lambda t: W.elo(t("matches").withColumn("surface", F.when(c("court_id").isNotNull(), c("court_id").cast("string")))))
+PERIODS = [f"{y}-0{m}-01" for y in range(1995, 2002) for m in (1, 7)]
+ON = "CASE surface " + " ".join(f"WHEN '{x}' THEN {{0}}.on_{x}" for x in E.ON) + " END"
+
+
+def elo_sql(where: str) -> str:
+    """CTEs that end in er (match_id, player, elo, surface_elo): ratings before each contest, period after period."""
+    out = [
+        f"cm AS MATERIALIZED (SELECT match_id, tour, p1, p2, surface, winner_side, make_date(year(match_date), CASE WHEN month(match_date) < 7 THEN 1 ELSE 7 END, 1) AS period FROM facts WHERE {where})",
+        f"st0 AS (SELECT CAST(NULL AS VARCHAR) AS tour, CAST(NULL AS BIGINT) AS player, {', '.join(f'CAST(NULL AS DOUBLE) AS {r}' for r in E.RATINGS)} WHERE false)",
+    ]
+    for k, period in enumerate(PERIODS, 1):
+        side = lambda n, who: f"coalesce({who}.elo, 1500.0) AS e{n}, coalesce({ON.format(who)}, {who}.elo, 1500.0) AS s{n}"
+        out.append(
+            f"m{k} AS MATERIALIZED (SELECT c.*, {side(1, 'a')}, {side(2, 'b')} FROM cm c LEFT JOIN st{k - 1} a ON a.tour = c.tour AND a.player = c.p1 "
+            f"LEFT JOIN st{k - 1} b ON b.tour = c.tour AND b.player = c.p2 WHERE c.period = DATE '{period}')"
+        )
+        gain = lambda r: f"24 * ((winner_side = 1)::INT - 1 / (1 + pow(10, ({r}2 - {r}1) / 400)))"
+        moves = f"SELECT tour, p1 AS player, surface, {gain('e')} AS g, {gain('s')} AS h FROM m{k} UNION ALL SELECT tour, p2, surface, -{gain('e')}, -{gain('s')} FROM m{k}"
+        sums = ", ".join(f"sum(CASE WHEN surface = '{x}' THEN h END) AS g_{x}" for x in E.ON)
+        on = ", ".join(f"CASE WHEN g_{x} IS NOT NULL THEN coalesce(on_{x}, elo, 1500.0) + g_{x} ELSE on_{x} END AS on_{x}" for x in E.ON)
+        out.append(
+            f"st{k} AS MATERIALIZED (SELECT coalesce(s.tour, v.tour) AS tour, coalesce(s.player, v.player) AS player, coalesce(elo, 1500.0) + coalesce(g, 0) AS elo, {on} "
+            f"FROM st{k - 1} s FULL JOIN (SELECT tour, player, sum(g) AS g, {sums} FROM ({moves}) GROUP BY 1, 2) v ON s.tour = v.tour AND s.player = v.player)"
+        )
+    both = " UNION ALL ".join(f"SELECT match_id, p{n} AS player, e{n} AS elo, s{n} AS surface_elo FROM m{k}" for k in range(1, len(PERIODS) + 1) for n in (1, 2))
+    return ", ".join([*out, f"er AS ({both})"])
+
+
+def history(t, matches):
+    """Ratings of all players by half-years, kept in the shared folder."""
+    return E.elo_history(matches.select("tour", "p1", "p2", "winner_side", keyed(c("court_id"), SURFACES).alias("surface"), E.half_year(c("match_date")).alias("period")), shared(t))
+
+
+query("w12_elo", f"WITH {elo_sql('true')} SELECT * FROM er", "elo surface_elo")(
+    lambda t: E.with_elo(rows(t).withColumn("period", E.half_year(c("match_date"))), history(t, t("matches"))).select("match_id", "player", "elo", "surface_elo")
+)
 query("w13_history_snapshot", "SELECT tour, player, count(*) AS n, CAST(sum(won) AS BIGINT) AS wins, max(match_date) AS last_date, sum(won * exp(day / 365.0)) / sum(exp(day / 365.0)) AS winrate, sum(s_fs_won * exp(day / 365.0)) / sum(s_fs_in * exp(day / 365.0)) AS first_serve_win, sum((o_bp_of - o_bp_conv) * exp(day / 365.0)) / nullif(sum(o_bp_of * exp(day / 365.0)), 0) AS bp_save FROM pr WHERE match_date < DATE '1999-06-01' GROUP BY tour, player", "winrate first_serve_win bp_save")(
     lambda t: W.history_snapshot(rows(t), "1999-06-01")
 )
@@ -67,20 +105,60 @@ query("j13_pair_histories", PAIR, "a_wr b_wr a_l10 b_l10")(lambda t: W.pair_hist
 query("w14_anchor_features", f"WITH q AS ({PAIR.replace('WITH f', 'WITH f', 1)}) SELECT match_id, anchor, a_wr - b_wr AS wr_diff, a_l10 - b_l10 AS l10_diff FROM q", "wr_diff l10_diff")(
     lambda t: W.anchor_features(W.pair_histories(W.form(W.rates(W.with_counts(rows(t)), ["winrate"])).withColumnsRenamed({"winrate": "wr", "last_10": "l10"}), ["wr", "l10"]), ["wr", "l10"]).select("match_id", "anchor", "wr_diff", "l10_diff")
 )
-#: All rates of the training table.
-W15_RATES = [k for k in W.RATES if k in W.FEATURES or k == "decider"]
+def valid_matches(t):
+    """Contests, some of them without a winner."""
+    return t("matches").withColumn("winner_side", F.when(c("match_id") % 97 != 0, c("winner_side")))
+
+
+def training(t, matches, min_priors: int, **observed):
+    valid = matches.filter(W.valid_contest())
+    return W.training_table(matches, t("rankings"), t("profiles"), history(t, valid), min_priors=min_priors, **observed)
+
+
+W_ = f"({BY} {FRAME})"
+LAST = f"(PARTITION BY tour, player, surface ORDER BY match_date, match_id ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)"
+ten = lambda v: f"list_avg(list_slice(list({v}) FILTER ({v} IS NOT NULL) OVER {W_}, -10, -1))"
+#: The states that the training table compares, in SQL; those in terms of others come after.
+STATE_SQL = {k: rate_sql(*W.RATES[k]) for k in W.RATES if k in W.STATES} | {
+    "surface_first_serve_win": rate_sql("s_fs_won", "s_fs_in", SURF), "surface_winrate": rate_sql("won", "one", SURF), "last_10_on_surface": f"avg(won) OVER {LAST}",
+    "last_5": last(5), "last_10": last(10), "last_25": last(25), "days_since_last": f"least(greatest(day - max(day) OVER {W_}, 0), 30)",
+    "contests_14d": "least(count(*) OVER (PARTITION BY tour, player ORDER BY day RANGE BETWEEN 13 PRECEDING AND 1 PRECEDING) + row_number() OVER (PARTITION BY tour, player, day ORDER BY match_id) - 1, 32)",
+    "recent_opp_rank": ten("opp_rank"), "recent_set_diff": ten("set_diff"), "prior_count": f"count(*) OVER {W_}", "h2h_total": f"count(*) OVER {H}",
+    "h2h_advantage": f"CASE WHEN count(*) OVER {H} > 0 THEN sum(won) OVER {H} / count(*) OVER {H} - 0.5 END",
+    "age": "date_diff('day', coalesce(birthdate, CAST(min(match_date) OVER (PARTITION BY tour, player) - INTERVAL 228 MONTHS AS DATE)), match_date) / 365.25",
+}
+TIER = "CASE rank_id " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in TIERS.items()) + " ELSE 'unknown' END"
+TRAINING = f"""{elo_sql('match_id % 97 <> 0')}, v AS (SELECT * FROM pr WHERE match_id % 97 <> 0),
+    o AS (SELECT v.*, r.rank AS opp_rank FROM v ASOF LEFT JOIN rankings r ON v.tour = r.tour AND v.opponent = r.player_id AND v.match_date >= r.ranking_date),
+    s AS (SELECT o.*, r.rank, r.rank_points FROM o ASOF LEFT JOIN rankings r ON o.tour = r.tour AND o.player = r.player_id AND o.match_date >= r.ranking_date),
+    q AS (SELECT s.*, er.elo, er.surface_elo, b.birthdate FROM s JOIN er USING (match_id, player) LEFT JOIN profiles b ON b.tour = s.tour AND b.player_id = s.player),
+    g AS (SELECT match_id, tour, match_date, side, player, opponent, won, surface, rank_id, bo, rank, rank_points, elo, surface_elo, {', '.join(f'{v} AS {k}' for k, v in STATE_SQL.items())} FROM q),
+    h AS (SELECT *, abs(age - 30) AS age_to_30, age * elo AS age_x_elo, first_serve_in * first_serve_win + (1 - first_serve_in) * second_serve_win AS serve_point_win FROM g),
+    f AS (SELECT *, CASE WHEN serve_point_win <= 0 THEN 0 WHEN serve_point_win >= 1 THEN 1 ELSE pow(serve_point_win, 4) * (1 + 4 * (1 - serve_point_win) + 10 * pow(1 - serve_point_win, 2))
+        + 20 * pow(serve_point_win, 5) * pow(1 - serve_point_win, 3) / (pow(serve_point_win, 2) + pow(1 - serve_point_win, 2)) END AS hold FROM h)"""
+differences = ", ".join(f"{'b.{0} - a.{0}' if k in W.REVERSED else 'a.{0} - b.{0}'} AS {{0}}_diff".format(k) for k in W.STATES)
+turn = "2 * pi() * dayofyear(a.match_date) / 366"
 query(
     "w15_training_table",
-    f"""WITH o AS ({OPP}), s AS (SELECT o.* EXCLUDE (v), o.v AS opp_rank, r.rank AS rank FROM o ASOF LEFT JOIN rankings r ON o.tour = r.tour AND o.player = r.player_id AND o.match_date >= r.ranking_date),
-    f AS (SELECT *, {', '.join(f'{rate_sql(*W.RATES[k])} AS r_{k}' for k in W15_RATES)}, {last(10)} AS l10, count(*) OVER ({BY} {FRAME}) AS n FROM s)
-    SELECT a.match_id, a.player AS anchor, a.won, {', '.join(f'a.r_{k} - b.r_{k} AS d_{k}' for k in W15_RATES)}, a.l10 - b.l10 AS d_l10, b.rank - a.rank AS d_rank, a.n - b.n AS d_n
-    FROM f a JOIN f b ON a.match_id = b.match_id AND a.side <> b.side WHERE a.n >= 5 AND b.n >= 5""", " ".join(f"d_{k}" for k in W15_RATES) + " d_l10",
-)(
-    lambda t: W.training_table(rows(t), t("rankings"), 5).select(
-        "match_id", "anchor", "won", *[c(f"{'decider_rate' if k == 'decider' else k}_diff").alias(f"d_{k}") for k in W15_RATES],
-        *[c(f"{k}_diff").alias(v) for k, v in (("last_10", "d_l10"), ("rank", "d_rank"), ("prior_count", "d_n"))],
-    )
+    f"""WITH {TRAINING} SELECT a.match_id, a.player AS anchor, a.won, a.prior_count AS anchor_priors, b.prior_count AS other_priors, {differences}, a.h2h_advantage, a.h2h_total AS h2h_meetings,
+    sin({turn}) AS season_sin, cos({turn}) AS season_cos, coalesce(a.surface, 'unknown') AS surface, {TIER.replace('rank_id', 'a.rank_id')} AS tier, CAST(coalesce(a.bo, 3) AS VARCHAR) AS best_of
+    FROM f a JOIN f b ON a.match_id = b.match_id AND a.side <> b.side WHERE a.prior_count >= 5 AND b.prior_count >= 5""", " ".join(n for n in W.NUMERIC if n != "h2h_meetings"),
+)(lambda t: training(t, valid_matches(t), 5).select("match_id", "anchor", "won", "anchor_priors", "other_priors", *W.NUMERIC, *W.CATEGORICAL))
+
+
+@query(
+    "w15_drop_counters",
+    """WITH k AS (SELECT match_id, count(*) OVER (PARTITION BY tour, player ORDER BY match_date, match_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS n FROM pr WHERE match_id % 97 <> 0), m AS (SELECT match_id, min(n) AS n FROM k GROUP BY 1)
+    SELECT 2 * count(*) FILTER (WHERE n >= 5) AS n_rows, count(*) FILTER (WHERE n < 5) AS cold_start, (SELECT count(*) FROM matches WHERE match_id % 97 = 0) AS other FROM m""",
 )
+def _counters(t):
+    """What the one pass that writes the table counts on its way."""
+    read, paired = Observation("read"), Observation("paired")
+    training(t, valid_matches(t), 5, read=read, paired=paired).write.parquet(shared(t))
+    found = W.drop_counters(read, paired)
+    return t.spark.createDataFrame([(found["rows"], found["cold_start"], found["other"])], "n_rows long, cold_start long, other long")
+
+
 DAY = "(PARTITION BY tour, player ORDER BY day RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
 query("w16_slate_state", f"SELECT match_id, player, count(*) OVER {DAY} AS prior_count, CAST(coalesce(sum(won) OVER {DAY}, 0) AS BIGINT) AS prior_wins, {rate_sql('won', 'one', DAY)} AS winrate FROM pr", "winrate")(lambda t: W.slate_state(rows(t)).select("match_id", "player", "prior_count", "prior_wins", "winrate"))
 query(

@@ -2,40 +2,27 @@
 
 from __future__ import annotations
 
-import tempfile
-from uuid import uuid4
-
 from pyspark.sql import functions as F
 
 from forecastlab.operators import features as W
 from forecastlab.operators import models as M
-from forecastlab.operators.player_rows import player_rows
 from forecastlab.sources import readers, writers
 from forecastlab.streaming import streams as ST
 
-from .base import query
+from .base import query, shared
+from .features import training
 from .scoring import scored
 
 c = F.col
 
 
-def shared(t) -> str:
-    """A new folder in the shared one that the cluster names; a temporary one only on a local master, where one machine does all work."""
-    named = t.spark.conf.get("spark.checkpoint.dir", None) or t.spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        if not t.spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir names no shared folder")
-        named = tempfile.mkdtemp(prefix="forecastlab-")
-    return f"{named.rstrip('/')}/forecastlab-{uuid4().hex}"
-
-
-FEATURES = ["winrate_diff", "last_10_diff", "first_serve_win_diff", "rank_diff", "bp_save_diff"]
+FEATURES, CATEGORIES = W.NUMERIC, W.CATEGORICAL
 
 
 def table(t):
-    """The training table, written once for the fits that read it many times."""
+    """The training table, written once for the fits that read it many times: contests until June 1999, of the next half-year, and later."""
     path = shared(t)
-    W.training_table(player_rows(t("matches")), t("rankings"), 3).withColumn("day", c("match_date")).write.parquet(path)
+    training(t, t("matches"), 3).withColumn("day", c("match_date")).write.parquet(path)
     rows = t.spark.read.parquet(path)
     return rows.filter("day <= DATE '1999-06-30'"), rows.filter("day > DATE '1999-06-30' AND day <= DATE '1999-12-31'"), rows.filter("day > DATE '1999-12-31'")
 
@@ -48,7 +35,8 @@ query("m3_isotonic")(lambda t: M.apply_isotonic(M.fit_isotonic(scored(t)), score
 @query("m4_outcome_model")
 def _outcome(t):
     train, valid, holdout = table(t)
-    return M.predict(M.train_outcome_model(train, valid, FEATURES, trees=8, depth=3), holdout, FEATURES).select("match_id", "anchor", "q")
+    model = M.train_outcome_model(train, valid, FEATURES, CATEGORIES, trees=10, depth=4)
+    return M.predict(model, holdout, FEATURES).select("match_id", "anchor", "q")
 
 
 @query("m5_predict_symmetric")
@@ -60,13 +48,13 @@ def _symmetric(t):
 @query("m6_bag")
 def _bag(t):
     train, _, holdout = table(t)
-    return M.bag(train, holdout, FEATURES, [1, 2], trees=3, depth=3).select("match_id", "anchor", "q")
+    return M.bag(train, holdout, FEATURES, [1, 2, 3, 4, 5], trees=3, depth=3).select("match_id", "anchor", "q")
 
 
 @query("m7_ablate")
 def _ablate(t):
     train, _, holdout = table(t)
-    return M.ablate(train, holdout, {"all": FEATURES, "no rank": [f for f in FEATURES if f != "rank_diff"], "form": ["last_10_diff"]})
+    return M.ablate(train, holdout, {"all": FEATURES, "no rank": [f for f in FEATURES if not f.startswith("rank")], "form": ["last_5_diff", "last_10_diff", "last_25_diff"]}, trees=5, depth=3)
 
 
 @query("m7_grid_search")
@@ -78,13 +66,13 @@ def _grid(t):
 @query("m8_learning_curve")
 def _curve(t):
     train, _, holdout = table(t)
-    return M.learning_curve(train, holdout, FEATURES, [0.25, 0.5, 1.0])
+    return M.learning_curve(train, holdout, FEATURES, [0.25, 0.5, 1.0], trees=5, depth=3)
 
 
 @query("m10_feature_importance")
 def _importance(t):
     train, valid, _ = table(t)
-    return M.feature_importance(M.train_outcome_model(train, valid, FEATURES, trees=5, depth=3), FEATURES, t.spark)
+    return M.feature_importance(M.train_outcome_model(train, valid, FEATURES, CATEGORIES, trees=5, depth=3), [*FEATURES], t.spark, CATEGORIES)
 
 
 # Streams over the prices, landed as files.

@@ -8,9 +8,10 @@ from datetime import date, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from forecastlab.operators import asof, decisions, features, markets, models, prices, retro, scoring, selection, usage
+from forecastlab.operators import asof, decisions, elo, features, markets, models, prices, retro, scoring, selection, usage
 from forecastlab.operators.player_rows import player_rows
 from forecastlab.plans.base import Tables
+from forecastlab.plans.features import training
 from forecastlab.sources import readers, writers
 from forecastlab.streaming import streams
 
@@ -54,37 +55,45 @@ def test_decay_and_form_match_a_fold(contests):
             state.setdefault(player, []).append((m["match_date"], int(m["winner_side"] == side)))
 
 
-def test_elo_matches_a_fold(contests):
-    got = {r["match_id"]: r for r in features.elo(contests).collect()}
-    rating, on = {}, {}
-    for m in sorted(contests.collect(), key=lambda r: (r["match_date"], r["match_id"])):
-        a, b = rating.get(m["p1"], 1500.0), rating.get(m["p2"], 1500.0)
-        assert got[m["match_id"]]["elo_1"] == pytest.approx(a) and got[m["match_id"]]["elo_2"] == pytest.approx(b)
-        gain = 24 * ((m["winner_side"] == 1) - 1 / (1 + 10 ** ((b - a) / 400)))
-        if m["surface"]:
+@pytest.mark.parametrize("days", [1, 40])
+def test_elo_matches_a_fold_by_periods(spark, contests, tmp_path, days):
+    """Ratings before each contest's period, against a fold that closes a period's contests together."""
+    period = lambda d: date(2020, 1, 1) + timedelta(days=(d - date(2020, 1, 1)).days // days * days)
+    as_period = F.date_add(F.lit("2020-01-01").cast("date"), (F.floor(F.datediff("match_date", F.lit("2020-01-01")) / days) * days).cast("int"))
+    matches = contests.withColumn("period", as_period)
+    history = elo.elo_history(matches, str(tmp_path / "elo"))
+    got = {(r["match_id"], r["side"]): r for r in elo.with_elo(long_rows(contests).withColumn("period", as_period), history).collect()}
+    rating, on, rows = {}, {}, sorted(contests.collect(), key=lambda r: period(r["match_date"]))
+    assert len(got) == 2 * len(rows)
+    for p in sorted({period(r["match_date"]) for r in rows}):
+        now, new, new_on = [r for r in rows if period(r["match_date"]) == p], dict(rating), dict(on)
+        for m in now:
+            a, b = rating.get(m["p1"], 1500.0), rating.get(m["p2"], 1500.0)
             sa, sb = on.get((m["p1"], m["surface"]), a), on.get((m["p2"], m["surface"]), b)
-            assert got[m["match_id"]]["surface_elo_1"] == pytest.approx(sa)
-            g = 24 * ((m["winner_side"] == 1) - 1 / (1 + 10 ** ((sb - sa) / 400)))
-            on[m["p1"], m["surface"]], on[m["p2"], m["surface"]] = sa + g, sb - g
-        rating[m["p1"]], rating[m["p2"]] = a + gain, b - gain
-
-
-def test_batched_elo_is_exact_with_one_contest_a_period(spark):
-    rows = [(i, "atp", date(2020, 1, 1 + i), 2 * (i % 2), 2 * (i % 2) + 1 + (i > 1), 1 + i % 2, None) for i in range(6)]
-    matches = spark.createDataFrame(rows, "match_id long, tour string, match_date date, p1 long, p2 long, winner_side int, surface string")
-    days = [(str(date(2020, 1, 1 + i)),) * 2 for i in range(6)]
-    got = {r["player"]: r["rating"] for r in features.elo_batched(matches, days).collect()}
-    rating = {}
-    for m in rows:
-        a, b = rating.get(m[3], 1500.0), rating.get(m[4], 1500.0)
-        gain = 24 * ((m[5] == 1) - 1 / (1 + 10 ** ((b - a) / 400)))
-        rating[m[3]], rating[m[4]] = a + gain, b - gain
-    assert got == pytest.approx(rating)
+            one, two = got[m["match_id"], 1], got[m["match_id"], 2]
+            assert (one["elo"], two["elo"]) == (pytest.approx(a), pytest.approx(b))
+            assert (one["surface_elo"], two["surface_elo"]) == ((pytest.approx(sa), pytest.approx(sb)) if m["surface"] else (pytest.approx(a), pytest.approx(b)))
+            won = float(m["winner_side"] == 1)
+            g, h = 24 * (won - 1 / (1 + 10 ** ((b - a) / 400))), 24 * (won - 1 / (1 + 10 ** ((sb - sa) / 400)))
+            for player, base, sign in ((m["p1"], a, 1), (m["p2"], b, -1)):
+                new[player] = new.get(player, 1500.0) + sign * g
+                if m["surface"]:
+                    new_on[player, m["surface"]] = new_on.get((player, m["surface"]), base) + sign * h
+        rating, on = new, new_on
+
+
+def test_elo_of_no_contests(spark, contests, tmp_path):
+    none = contests.limit(0).withColumn("period", F.col("match_date"))
+    history = elo.elo_history(none, str(tmp_path / "none"))
+    assert history.count() == 0
+    rows = elo.with_elo(long_rows(contests).withColumn("period", F.col("match_date")), history)
+    assert {(r["elo"], r["surface_elo"]) for r in rows.collect()} == {(1500.0, 1500.0)}
 
 
 def test_features_do_not_leak_and_ignore_row_order(tables):
-    matches, rankings = tables("matches"), tables("rankings")
-    table = lambda m: {(r["match_id"], r["anchor"]): tuple(r) for r in features.training_table(player_rows(m), rankings, 2).collect()}
+    matches = tables("matches")
+    exact = lambda r: tuple(round(x, 9) if isinstance(x, float) else x for x in r)
+    table = lambda m: {(r["match_id"], r["anchor"]): exact(r) for r in training(tables, m, 2).collect()}
     whole = table(matches)
     assert table(matches.orderBy(F.rand(3)).repartition(5)) == whole
     early = table(matches.filter("match_date < DATE '1998-06-01'"))
