@@ -125,13 +125,32 @@ class Aligner:
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.ok, self.groups, self.texts = Growing("?"), Growing("i8"), []
+        self.ok, self.groups, self.texts, self.uses = Growing("?"), Growing("i8"), [], np.zeros(0, dtype=np.int64)
         self.a_ids, self.a_ends, self.b_ids, self.b_ends, self.pairs = Rows("i4"), Rows("i4"), Rows("i4"), Rows("i4"), Rows("i8")
 
     @property
     def full(self) -> bool:
         return len(self.texts) > REMEMBERED or self.pairs.flat.n > REMEMBERED_LINKS
 
+    def forget(self) -> None:
+        """Keeps only the segments that were used again, of at most half of the room the most used; their entries change."""
+        often = np.sort(self.uses)[::-1][REMEMBERED // 2] if len(self.uses) > REMEMBERED // 2 else 0
+        old, known, uses, texts = (self.ok, self.groups, self.a_ids, self.a_ends, self.b_ids, self.b_ends, self.pairs), self.known, self.uses, self.texts
+        kept = np.fromiter((e for e in known.values() if uses[e] > max(1, often)), dtype=np.int64)
+        self.clear()
+        if old[-1].of(kept)[1].sum() > REMEMBERED_LINKS // 2:
+            return
+        place = np.full(len(uses), -1, dtype=np.int64)
+        place[kept] = np.arange(len(kept))
+        self.known = {s: int(k) for s, e in known.items() if (k := place[e]) >= 0}
+        self.texts, self.uses = [texts[e] for e in kept.tolist()], uses[kept] // 2
+        for had, new in zip(old, (self.ok, self.groups, self.a_ids, self.a_ends, self.b_ids, self.b_ends, self.pairs)):
+            if isinstance(had, Rows):
+                values, sizes = had.of(kept)
+                new.add(sizes, values)
+            else:
+                new.add(had.data[kept])
+
     def segments(self, text: str) -> list[str]:
         """The segments of text, which begins with a space; each begins with one."""
         return re.split(f"(?<=[^{BLANK}])(?= [\\s\\S])", text) if self.cut else [text]
@@ -215,7 +234,7 @@ class Aligner:
     def align(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The entries of the texts' segments, end to end, and the number of the text of each.
 
-        Texts that are null or empty, or whose bytes the tokens do not give back, have none. Entries hold until clear().
+        Texts that are null or empty, or whose bytes the tokens do not give back, have none. Entries hold until forget().
         """
         cut_up = [self.segments(" " + t) if t else [] for t in texts]
         flat = [s for parts in cut_up for s in parts]
@@ -226,6 +245,9 @@ class Aligner:
             known.update((s, e) for s, e in found.items() if len(s) <= LONGEST)
             entries = [found[s] if e < 0 else e for s, e in zip(flat, entries)]
         entries, of = np.array(entries, dtype=np.int64), np.repeat(np.arange(len(texts)), [len(p) for p in cut_up])
+        uses = np.bincount(entries, minlength=len(self.texts))
+        uses[: len(self.uses)] += self.uses
+        self.uses = uses
         good = np.bincount(of, ~self.ok.data[entries], minlength=len(texts))[of] == 0
         return entries[good], of[good]
 
@@ -256,7 +278,7 @@ def alignments(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
         for batch in batches:
             for part in slices(batch, 64):
                 if known.full:
-                    known.clear()
+                    known.forget()
                 entries, of = known.align(part.column(1).to_pylist())
                 columns, n = [], part.num_rows
                 for ids, ends in ((known.a_ids, known.a_ends), (known.b_ids, known.b_ends)):
@@ -289,7 +311,7 @@ def linked_texts(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
         for batch in batches:
             for part in slices(batch, 64):
                 if known.full:
-                    known.clear()
+                    known.forget()
                 entries, of = known.align(part.column(1).to_pylist())
                 n = part.num_rows
                 sums = [np.bincount(of, x.data[entries], minlength=n).astype(np.int64) for x in (known.a_ids.n, known.b_ids.n, known.groups, known.pairs.n)]
