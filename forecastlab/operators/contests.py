@@ -18,21 +18,38 @@ def clutch_records(rows: DataFrame, today: str) -> DataFrame:
     )
 
 
+RECORD = "map<string, struct<w: bigint, l: bigint>>"
+
+
 def h2h_summary(rows: DataFrame) -> DataFrame:
-    """Per ordered pair: meetings, wins, wins on clay, and the last three meetings, newest first."""
-    newest = Window.partitionBy("tour", "player", "opponent").orderBy(F.desc("match_date"), F.desc("match_id"))
+    """Per ordered pair: meetings, wins, a map from each known surface to the record (w, l) there, and the last three meetings, newest first.
+
+    Records are added up by surface before they meet, so a pair's map has as many entries as there are surfaces.
+    """
+    pair = ["tour", "player", "opponent"]
+    newest = Window.partitionBy(*pair).orderBy(F.desc("match_date"), F.desc("match_id"))
     numbered = rows.withColumn("_i", F.row_number().over(newest))
-    three = F.array_sort(F.collect_list(F.when(F.col("_i") <= 3, F.struct("_i", "match_id"))))
-    return numbered.groupBy("tour", "player", "opponent").agg(
-        F.count("*").alias("meetings"), F.sum("won").alias("wins"), F.sum(F.when(F.col("surface") == "clay", F.col("won"))).alias("clay_wins"), F.array_join(F.transform(three, lambda x: x["match_id"].cast("string")), ",").alias("last_three")
+    by_surface = numbered.groupBy(*pair, "surface").agg(
+        F.count("*").alias("n"), F.sum("won").alias("w"), F.collect_list(F.when(F.col("_i") <= 3, F.struct("_i", "match_id"))).alias("last")
+    )
+    entry = F.when(F.col("surface").isNotNull(), F.struct(F.col("surface").alias("key"), F.struct("w", (F.col("n") - F.col("w")).alias("l")).alias("value")))
+    three = F.array_sort(F.flatten(F.collect_list("last")))
+    return by_surface.groupBy(*pair).agg(
+        F.sum("n").alias("meetings"), F.sum("w").alias("wins"), F.map_from_entries(F.array_sort(F.collect_list(entry))).cast(RECORD).alias("surfaces"),
+        F.array_join(F.transform(three, lambda x: x["match_id"].cast("string")), ",").alias("last_three"),
     )
 
 
 def matchup_stats(rows: DataFrame) -> DataFrame:
-    """Per ordered pair: deciders and tiebreaks won and played, and the share of contests won after winning set one."""
-    n = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    """Per ordered pair: records (w, n; null without any) in deciders, tiebreaks, and contests of best of three and of five; the shares
+    of contests won after winning and after losing set one; first serves won and break points converted, in these contests."""
+    record = lambda w, n: F.when(F.sum(n) > 0, F.struct(F.sum(w).cast("long").alias("w"), F.sum(n).cast("long").alias("n")))
+    of = lambda k: (F.when(F.col("best_of") == k, F.col("won")), F.when(F.col("best_of") == k, 1))
+    share = lambda x, y: F.try_divide(F.sum(x), F.sum(y))
     return rows.groupBy("tour", "player", "opponent").agg(
-        n("decider_won").alias("decider_w"), n("decider").alias("decider_n"), n("tb_won").alias("tb_w"), n("tb_played").alias("tb_n"), F.try_divide(F.sum(F.when(F.col("lost_set1") == 0, F.col("won"))), F.sum(1 - F.col("lost_set1"))).alias("set1_conversion")
+        record("decider_won", "decider").alias("decider"), record("tb_won", "tb_played").alias("tiebreak"), record(*of(3)).alias("best_of_3"), record(*of(5)).alias("best_of_5"),
+        share(F.when(F.col("lost_set1") == 0, F.col("won")), 1 - F.col("lost_set1")).alias("set1_conversion"), share(F.col("comeback"), F.col("lost_set1")).alias("comeback"),
+        share(F.col("s_fs_won"), F.col("s_fs_in")).alias("first_serve_win"), share(F.col("s_bp_conv"), F.col("s_bp_of")).alias("bp_convert"),
     )
 
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from forecastlab.functions.decision import EV_BUCKETS, RISK_BUCKETS, bucket_rank, ev_per_dollar
 
+from .quantiles import global_places
+
 
 def filter_forecasts(df: DataFrame, confidence: list[str] | None = None, min_defens: float | None = None, no_negative_edge: bool = False, sports: list[str] | None = None, risk_buckets: list[str] | None = None, ev_buckets: list[str] | None = None, min_market_p: float | None = None) -> DataFrame:
     """Rows that pass every active filter; an unknown value passes none."""
@@ -54,8 +56,7 @@ def uniform_allocation(rows: DataFrame, size: float, cap: float, open_: float, b
 
 def rank_leaderboard(df: DataFrame, by: str, risk: str = "risk_bucket", ev: str = "ev_bucket", score: str = "score") -> DataFrame:
     """Places within each group: by risk bucket, then value bucket, then score, best first."""
-    w = Window.partitionBy(by).orderBy(bucket_rank(F.col(risk), RISK_BUCKETS), bucket_rank(F.col(ev), EV_BUCKETS), F.desc_nulls_last(score), "event_id", "partkey", "suppkey")
-    return df.withColumn("place", F.row_number().over(w))
+    return global_places(df, [by], [bucket_rank(F.col(risk), RISK_BUCKETS), bucket_rank(F.col(ev), EV_BUCKETS)], score, ["event_id", "partkey", "suppkey"])
 
 
 #: Statuses that cost something, and that are no skip (fixed values).

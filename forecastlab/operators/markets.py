@@ -2,18 +2,61 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from forecastlab.functions.decision import mid
-from forecastlab.functions.text import win_pct_from_record
+from forecastlab.functions.text import is_variant, normalize_name, parse_h2h_title, win_pct_from_record
+
+
+#: Columns of a market that change places on its NO side, those that describe the YES session, and nested quotes.
+SWAPPED = [("bid_size", "ask_size"), ("bid_depth", "ask_depth"), ("bid_dollars", "ask_dollars")]
+SESSION = ["open", "high", "low", "close", "last_price"]
+
+
+def no_side(markets: DataFrame, session: str = "drop") -> DataFrame:
+    """The NO side of markets: who buys it buys what YES sells.
+
+    Prices mirror (bid is one less the ask); sizes, depths and dollars change places; ladders bids and asks, arrays of
+    (price, size) with the best first, mirror and change places; change_ columns change their sign, and prices in
+    history, an array of (t, p), mirror. open, high, low, close and last_price tell of YES alone and become null, or, with
+    session="mirror", mirror too, where high and low change places. Only columns that are there change.
+    """
+    there, out = set(markets.columns), {}
+    mirror = lambda c: 1 - F.col(c)
+    if {"bid", "ask"} <= there:
+        out |= {"bid": mirror("ask"), "ask": mirror("bid")}
+    for x, y in SWAPPED:
+        if {x, y} <= there:
+            out |= {x: F.col(y), y: F.col(x)}
+    if {"bids", "asks"} <= there:
+        turned = lambda c: F.array_sort(F.transform(c, lambda q: F.struct((1 - q["price"]).alias("price"), q["size"].alias("size"))))
+        out |= {"bids": F.reverse(turned("asks")), "asks": turned("bids")}
+    out |= {c: -F.col(c) for c in there if c.startswith("change_")}
+    if "history" in there:
+        out["history"] = F.transform("history", lambda q: F.struct(q["t"].alias("t"), (1 - q["p"]).alias("p")))
+    for c in [c for c in SESSION if c in there]:
+        from_ = {"high": "low", "low": "high"}.get(c, c)
+        out[c] = mirror(from_) if session == "mirror" and from_ in there else F.lit(None).cast("double")
+    return markets.withColumns(out)
 
 
 def both_sides(markets: DataFrame) -> DataFrame:
-    """Each market as its yes side and its no side: the no side buys what yes sells, so quotes mirror and sizes swap."""
-    yes = markets.withColumn("side", F.lit("yes"))
-    no = markets.withColumns({"bid": 1 - F.col("ask"), "ask": 1 - F.col("bid"), "bid_size": F.col("ask_size"), "ask_size": F.col("bid_size"), "side": F.lit("no")})
-    return yes.unionByName(no)
+    """Each market as its YES side and its NO side."""
+    return markets.withColumn("side", F.lit("yes")).unionByName(no_side(markets).withColumn("side", F.lit("no")))
+
+
+def attach_enrichment(sides: DataFrame, facts: DataFrame) -> DataFrame:
+    """sides (slug, side, ...) with facts, one row a slug of its YES side, looked up once a slug and turned round for NO rows."""
+    found = attach_by_slug(sides, facts)
+    names = [c for c in facts.columns if c != "slug"]
+    return found.withColumns({c: F.when(F.col("side") == "no", no_side_value(c)).otherwise(F.col(c)) for c in names})
+
+
+def no_side_value(column: str) -> Column:
+    """What no_side makes of a size, depth, dollar or change column."""
+    partner = dict(SWAPPED) | {y: x for x, y in SWAPPED}
+    return -F.col(column) if column.startswith("change_") else F.col(partner.get(column, column))
 
 
 def invert_history(points: DataFrame) -> DataFrame:
@@ -52,7 +95,7 @@ def coverage_filter(events: DataFrame, fixtures: DataFrame, tour_leagues: list[s
 
 def listing_filter(markets: DataFrame) -> DataFrame:
     """Open, funded and labelled markets of events that are no variants."""
-    return markets.filter(~F.col("closed") & F.col("label").isNotNull() & (F.coalesce("open_interest", F.lit(0.0)) > 0) & ~F.col("slug").rlike("-(more-markets|exact-score)$"))
+    return markets.filter(~F.col("closed") & F.col("label").isNotNull() & (F.coalesce("open_interest", F.lit(0.0)) > 0) & ~is_variant(F.col("slug")))
 
 
 def record_spread(markets: DataFrame) -> DataFrame:
@@ -73,18 +116,56 @@ def favorites(markets: DataFrame) -> DataFrame:
     return markets.groupBy("event_id").agg(best.alias("f"), F.sum(F.coalesce("volume", F.lit(0.0))).alias("volume")).select("event_id", F.col("f.market_no").alias("favorite_no"), F.col("f.mid").alias("favorite_mid"), "volume")
 
 
-def match_markets(forecasts: DataFrame, titles: DataFrame) -> DataFrame:
-    """How many titles hold both of a forecast's surnames as tokens: matched for one, ambiguous for more, else unmatched.
+def words(text: Column) -> Column:
+    return F.array_distinct(F.filter(F.split(normalize_name(text), " "), lambda w: w != ""))
+
+
+def last_word(name: Column) -> Column:
+    return F.try_element_at(F.split(normalize_name(name), " "), F.lit(-1))
 
-    forecasts (event_id, a, b), titles (title_id, title). Titles with a colon are no candidates. Two equi-joins on the
-    token replace a comparison of all with all.
+
+def picked_surnames(forecasts: DataFrame) -> DataFrame:
+    """event_id, winner, loser: surnames of the picked player and the other; null where they cannot be told.
+
+    forecasts has event_id, predicted, a_name, b_name, title. Both typed names count, else both sides of the title. The pick is
+    the player of the same normalised name, else of the same surname.
+    """
+    typed = (F.coalesce("a_name", F.lit("")) != "") & (F.coalesce("b_name", F.lit("")) != "")
+    parsed = forecasts.withColumn("_sides", parse_h2h_title(F.col("title")))
+    named = parsed.select("event_id", "predicted", F.when(typed, F.col("a_name")).otherwise(F.col("_sides.yes")).alias("a"), F.when(typed, F.col("b_name")).otherwise(F.col("_sides.no")).alias("b"))
+    same = lambda f, x: f(F.col("predicted")) == f(F.col(x))
+    is_a = F.when(same(normalize_name, "a"), True).when(same(normalize_name, "b"), False).when(same(last_word, "a"), True).when(same(last_word, "b"), False)
+    known = is_a.isNotNull() & (last_word(F.col("a")) != "") & (last_word(F.col("b")) != "") & (last_word(F.col("predicted")) != "")
+    pick = lambda x, y: F.when(known, F.when(is_a, last_word(F.col(x))).otherwise(last_word(F.col(y))))
+    return named.select("event_id", pick("a", "b").alias("winner"), pick("b", "a").alias("loser"))
+
+
+def match_markets(forecasts: DataFrame, listings: DataFrame, markets: DataFrame) -> DataFrame:
+    """event_id, status, listing_id, market_no: the market on each forecast's pick, or why there is none.
+
+    In stages: both surnames (picked_surnames, else "unparseable_players") among the words of one listing's title
+    ("no_match", "ambiguous_match"; titles with a colon are no candidates), then one market of it whose label has the
+    winner's surname ("no_yes_market", "ambiguous_match"), active and with an ask ("market_closed"), then "matched". listings
+    (listing_id, title), markets (listing_id, market_no, label, status, ask). Titles meet forecasts by pairs of words, counted
+    before the join, so a common surname joins nothing but its own pairs; rows without a key join on one of their own.
     """
-    tokens = titles.filter(~F.contains("title", F.lit(":"))).select("title_id", F.explode(F.array_distinct(F.split(F.lower("title"), r"\s+"))).alias("token"))
-    first = forecasts.select("event_id", F.lower("a").alias("token"), F.lower("b").alias("other")).join(tokens, "token")
-    both = first.join(tokens.withColumnsRenamed({"token": "other"}), ["title_id", "other"])
-    found = both.groupBy("event_id").agg(F.count("*").alias("n"), F.min("title_id").alias("title_id"))
-    status = F.when(F.col("n") == 1, "matched").when(F.col("n") > 1, "ambiguous").otherwise("unmatched")
-    return forecasts.select("event_id").join(found, "event_id", "left").select("event_id", status.alias("status"), F.when(F.col("n") == 1, F.col("title_id")).alias("title_id"))
+    asked = picked_surnames(forecasts).withColumn("pair", F.coalesce(F.array_join(F.array_sort(F.array("winner", "loser")), " "), F.concat(F.lit("? "), F.col("event_id").cast("string"))))
+    asked = asked.withColumn("pair", F.when(F.col("winner").isNotNull(), F.col("pair")).otherwise(F.concat(F.lit("? "), F.col("event_id").cast("string"))))
+    titled = listings.filter(F.col("title").isNotNull() & ~F.contains("title", F.lit(":"))).select("listing_id", F.array_sort(words(F.col("title"))).alias("w"))
+    pairs = F.flatten(F.transform("w", lambda x, i: F.transform(F.slice("w", i + 1, F.size("w")), lambda y: F.concat_ws(" ", x, y))))
+    unique = titled.select("listing_id", F.explode(pairs).alias("pair")).groupBy("pair").agg(F.count("*").alias("n_listings"), F.min("listing_id").alias("listing_id"))
+    found = asked.join(unique, "pair", "left").withColumn("n_listings", F.coalesce("n_listings", F.lit(0)))
+    one = found.withColumn("at", F.when(F.col("n_listings") == 1, F.col("listing_id")))
+    labelled = markets.filter(F.col("label").isNotNull()).select("listing_id", "market_no", ((F.lower("status") == "active") & F.col("ask").isNotNull()).alias("open"), F.explode(words(F.col("label"))).alias("winner"))
+    sides = labelled.groupBy("listing_id", "winner").agg(F.count("*").alias("n_markets"), F.min_by(F.struct("market_no", F.coalesce("open", F.lit(False)).alias("open")), "market_no").alias("m"))
+    key = F.coalesce(F.col("at").cast("string"), F.concat(F.lit("? "), F.col("event_id").cast("string")))
+    joined = one.drop("listing_id").withColumn("key", key).join(sides.withColumn("key", F.col("listing_id").cast("string")).drop("listing_id"), ["key", "winner"], "left")
+    n = F.coalesce("n_markets", F.lit(0))
+    status = (
+        F.when(F.col("winner").isNull(), "unparseable_players").when(F.col("n_listings") == 0, "no_match").when(F.col("n_listings") > 1, "ambiguous_match")
+        .when(n == 0, "no_yes_market").when(n > 1, "ambiguous_match").when(~F.col("m.open"), "market_closed").otherwise("matched")
+    )
+    return joined.select("event_id", status.alias("status"), F.col("at").alias("listing_id"), F.when(n == 1, F.col("m.market_no")).alias("market_no"))
 
 
 def match_fixtures(events: DataFrame, fixtures: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .asof import asof_price, nearest_within
+from .quantiles import exact_quantiles
 
 
 def returns(points: DataFrame) -> DataFrame:
@@ -92,13 +93,15 @@ def drift_signal(df: DataFrame, edges: list[float]) -> DataFrame:
 def overround(df: DataFrame, outcomes: int = 3) -> DataFrame:
     """Per league, of events with that many outcomes: mean and median of the sums of closing and of opening prices; unknown ones add 0."""
     event = df.groupBy("league", "event_id").agg(F.count("*").alias("k"), F.coalesce(F.sum("close_p"), F.lit(0.0)).alias("c"), F.coalesce(F.sum("open_p"), F.lit(0.0)).alias("o")).filter(F.col("k") == outcomes)
-    return event.groupBy("league").agg(F.count("*").alias("events"), F.avg("c").alias("mean_close"), F.median("c").alias("median_close"), F.avg("o").alias("mean_open"), F.median("o").alias("median_open"))
+    means = event.groupBy("league").agg(F.count("*").alias("events"), F.avg("c").alias("mean_close"), F.avg("o").alias("mean_open"))
+    middle = lambda x, name: exact_quantiles(event, x, [0.5], ["league"]).select("league", F.col("q")[0].alias(name))
+    return means.join(middle("c", "median_close"), "league").join(middle("o", "median_open"), "league")
 
 
 def quantile_bucket_brier(df: DataFrame, column: str, q: int = 4) -> DataFrame:
     """Per quantile bucket of a column (linear interpolation, right-closed, lowest included): number, mean, win rate, Brier score of the close."""
     known = df.filter(F.col(column).isNotNull())
-    edges = known.agg(F.percentile(column, F.array(*[F.lit(i / q) for i in range(q + 1)])).alias("e"))
+    edges = exact_quantiles(known, column, [i / q for i in range(q + 1)]).select(F.col("q").alias("e"))
     placed = known.join(F.broadcast(edges))  # one row
     bucket = F.greatest(F.lit(1), F.size(F.filter("e", lambda e: e < F.col(column)))) - 1
     return placed.withColumn("bucket", bucket).groupBy("bucket").agg(F.count("*").alias("n"), F.avg(column).alias("mean_x"), F.avg("won").alias("win_rate"), F.avg((F.col("close_p") - F.col("won")) ** 2).alias("brier"))

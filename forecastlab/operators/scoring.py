@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from forecastlab.functions.decision import apply_temperature, ev_per_dollar, ev_retro_bucket, realized_return
 
+from .quantiles import exact_quantiles
+
 
 def brier(p: str = "p", y: str = "y") -> Column:
     return F.avg((F.col(p) - F.col(y)) ** 2)
@@ -132,9 +134,14 @@ def realized_ev_check(df: DataFrame, bucket: Column, least: int = 30) -> DataFra
 def range_calibration_check(df: DataFrame, low: float, high: float, bins: int = 5, least: int = 30) -> DataFrame:
     """Of prices in [low, high): quantile bins of the forecast (equal edges merged), each with mean and outcome, and the overall verdict."""
     rows = df.filter((F.col("m") >= low) & (F.col("m") < high) & F.col("p").isNotNull() & F.col("won").isNotNull())
-    edges = rows.agg(F.array_distinct(F.percentile("p", F.array(*[F.lit(i / bins) for i in range(bins + 1)]))).alias("e"), F.count("*").alias("all_n"), (F.avg("p") - F.avg("won")).alias("d"))
+    cuts = exact_quantiles(rows, "p", [i / bins for i in range(bins + 1)]).select(F.array_distinct("q").alias("e"))
+    whole = rows.agg(F.count("*").alias("all_n"), (F.avg("p") - F.avg("won")).alias("d"))
     at = F.greatest(F.lit(1), F.size(F.filter("e", lambda e: e < F.col("p")))) - 1
-    return rows.join(F.broadcast(edges)).withColumn("bin", at).groupBy("bin").agg(F.count("*").alias("n"), F.avg("p").alias("mean_p"), F.avg("won").alias("actual"), verdict(F.first("d"), F.first("all_n"), least).alias("verdict"))  # one row of edges
+    # all forecasts equal: of bins of equal width around the value, it is in the middle one
+    place = F.when(F.size("e") < 2, (bins - 1) // 2).otherwise(at)
+    return rows.join(F.broadcast(cuts)).join(F.broadcast(whole)).withColumn("bin", place).groupBy("bin").agg(  # one row each
+        F.count("*").alias("n"), F.avg("p").alias("mean_p"), F.avg("won").alias("actual"), verdict(F.first("d"), F.first("all_n"), least).alias("verdict")
+    )
 
 
 def flow_tier_retro(df: DataFrame, tier: Column) -> DataFrame:

@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from forecastlab.functions.decision import classify_ev, clip, ev_per_dollar, realized_return
-from forecastlab.functions.probability import log5, prime_distance
+from forecastlab.functions.probability import log5, peak_decay, prime_distance
+from forecastlab.functions.score import TIERS, keyed
 
 c = F.col
 Scorer = Callable[[], Column]
@@ -164,10 +165,35 @@ def score_ev_v1(tail: bool = False) -> Column:
     return composite(F.lit(0.4), tiers if tail else [*tiers, (1.0, tier_competitive_floor())])
 
 
+def tier_consistency() -> Column:
+    """The steadier favourite; pairs have a_consistency and b_consistency (see contests.consistency)."""
+    return zero(0.10 * signed(c("a_consistency") - c("b_consistency")))
+
+
+def tier_age_and_trajectory() -> Column:
+    """Age and the fall from the best rank so far, both against a favourite whose points are stale; together capped at .075."""
+    fall = signed(peak_decay(c("a_rank"), c("a_best_rank")) - peak_decay(c("b_rank"), c("b_best_rank")))
+    return clip(tier_age() + zero(-0.05 * F.tanh(fall / 0.5)), -0.075, 0.075)
+
+
+def tier_meetings_on_surface() -> Column:
+    """The bonus for past meetings, and for at least two of them on the surface."""
+    n = F.coalesce(c("meetings"), F.lit(0))
+    bonus = F.when(n >= 6, 0.15).when(n >= 3, 0.10).when(n >= 1, 0.05).otherwise(0.0)
+    return bonus + F.when(c("surface").isNotNull() & (c("surface_meetings") >= 2), 0.025).otherwise(0.0)
+
+
+def tier_multiplier() -> Column:
+    tier = keyed(c("rank_id"), TIERS)
+    return F.when(tier == "grand_slam", 1.15).when(tier == "masters", 1.05).otherwise(1.0)
+
+
 def score_legacy() -> Column:
-    """The ten-tier score: favourites' form, specialism, age, information, record, layoff and meetings on the points base."""
-    record = zero(F.when((c("a_all_n") >= 10) & (c("b_all_n") >= 10), clip(0.10 * signed(share("a", "all", 10) - share("b", "all", 10)), -0.05, 0.05)))
-    return composite(base_rank_points(), [(1.0, t) for t in (tier_form(), tier_surface_relative(), tier_age(), tier_info(), record, tier_layoff(), tier_h2h())], [best_of_multiplier()])
+    """The ten-tier score on the points base: the favourite's form, consistency, specialism, age and trajectory, information,
+    record, layoff and meetings, times the event's tier."""
+    record = zero(F.when((c("a_all_n") >= 10) & (c("b_all_n") >= 10), 0.05 * signed(share("a", "all", 10) - share("b", "all", 10))))
+    tiers = (tier_form(), tier_consistency(), tier_surface_relative(), tier_age_and_trajectory(), tier_info(), record, tier_layoff(), tier_meetings_on_surface())
+    return composite(base_rank_points(), [(1.0, t) for t in tiers], [tier_multiplier()])
 
 
 def imbalance_score(sport_score: Column, spread: Column) -> Column:
@@ -179,11 +205,20 @@ def form_surface_score() -> Column:
     """The win shares' log5, moved by recent form and surface record, in [.001, .999]."""
     form = clip(0.10 * (share("a", "form", 5) - share("b", "form", 5)), -0.04, 0.04)
     n = F.least(F.lit(1.0), F.sqrt(F.least("a_surf_n", "b_surf_n") / 30))
-    surf = clip(0.15 * (share("a", "surf", 1) - share("b", "surf", 1)) * n, -0.06, 0.06)
+    surf = clip(0.15 * (share("a", "surf", 8) - share("b", "surf", 8)) * n, -0.06, 0.06)
     base = log5(F.try_divide(c("a_all_w"), c("a_all_n")), F.try_divide(c("b_all_w"), c("b_all_n")))
     return clip(base + zero(form) + zero(surf), 0.001, 0.999)
 
 
+def form_surface_confidence() -> Column:
+    """high where both have serve and return rates, eight contests on the surface and five recent ones; low where neither has
+    the rates or one has under five contests on the surface; else medium."""
+    n = lambda k: F.least(F.coalesce(c(f"a_{k}_n"), F.lit(0)), F.coalesce(c(f"b_{k}_n"), F.lit(0)))
+    has = [c(f"{x}_serve").isNotNull() & c(f"{x}_ret").isNotNull() for x in "ab"]
+    rich = has[0] & has[1] & (n("surf") >= 8) & (n("form") >= 5)
+    return F.when(rich, "high").when(~(has[0] | has[1]) | (n("surf") < 5), "low").otherwise("medium")
+
+
 def random_score(key: Column, seed: int) -> Column:
     """Noise in [0, 1) that depends on key and seed alone, not on partitions."""
     return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1_000_000)) / 1_000_000

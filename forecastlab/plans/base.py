@@ -86,8 +86,24 @@ VIEWS = {
                (o_custkey % 50) / 5e1 AS a_decider, CASE WHEN o_orderkey % 12 = 0 THEN NULL ELSE (o_orderkey % 50) / 5e1 END AS b_decider, (o_custkey % 40) / 4e1 AS a_tiebreak, (o_orderkey % 40) / 4e1 AS b_tiebreak,
                CAST(18 + o_custkey % 20 AS DOUBLE) AS a_age, CASE WHEN o_orderkey % 14 = 0 THEN NULL ELSE CAST(18 + o_orderkey % 20 AS DOUBLE) END AS b_age, o_custkey % 60 AS a_last_days, CASE WHEN o_orderkey % 18 = 0 THEN NULL ELSE o_orderkey % 60 END AS b_last_days,
                CAST(1400 + o_custkey % 300 AS DOUBLE) AS a_elo, CAST(1400 + o_orderkey % 300 AS DOUBLE) AS b_elo, o_orderkey % 8 AS meetings, CAST(FLOOR((o_orderkey % 8) * (o_custkey % 4) / 3e0) AS BIGINT) AS a_h2h_wins,
-               CASE WHEN o_orderkey % 15 = 0 THEN NULL ELSE 5e-2 + (o_orderkey % 91) / 1e2 END AS p, 5e-2 + (o_custkey % 90) / 1e2 AS m, CASE WHEN (o_orderkey % 7) * 3 % 5 < 3 THEN 1 ELSE 0 END AS won
+               CASE WHEN o_orderkey % 15 = 0 THEN NULL ELSE 5e-2 + (o_orderkey % 91) / 1e2 END AS p, 5e-2 + (o_custkey % 90) / 1e2 AS m, CASE WHEN (o_orderkey % 7) * 3 % 5 < 3 THEN 1 ELSE 0 END AS won,
+               CASE WHEN o_custkey % 23 = 0 THEN NULL ELSE CAST(1 + o_custkey % 200 AS INT) END AS a_rank, CAST(1 + o_custkey % 40 AS INT) AS a_best_rank, CAST(1 + o_orderkey % 300 AS INT) AS b_rank,
+               CASE WHEN o_orderkey % 29 = 0 THEN NULL ELSE CAST(1 + o_orderkey % 60 AS INT) END AS b_best_rank, CASE WHEN o_orderkey % 16 = 0 THEN NULL ELSE (o_custkey % 33) / 33e0 END AS a_consistency,
+               (o_orderkey % 27) / 27e0 AS b_consistency, CAST(o_orderkey % 8 AS INT) AS rank_id, o_orderkey % 4 AS surface_meetings
         FROM {orders}""",
+    # Forecasts of a player to win, with the names and titles they come with; listings of contests, and the markets of these.
+    "picks": """
+        SELECT o_orderkey AS event_id, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE 'Ann-Lee Sur' || CAST(o_custkey AS STRING) END AS a_name, CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE 'Bo Riv' || CAST(o_orderkey % 1000 AS STRING) END AS b_name,
+               CASE WHEN o_orderkey % 15 = 0 THEN NULL ELSE 'Cup: Ann-Lee Sur' || CAST(o_custkey AS STRING) || ' vs. Bo Riv' || CAST(o_orderkey % 1000 AS STRING) END AS title,
+               CASE WHEN o_orderkey % 12 = 3 THEN 'Somebody Else' WHEN o_orderkey % 4 = 0 THEN 'ann lee Sur' || CAST(o_custkey AS STRING) WHEN o_orderkey % 4 = 2 THEN 'A. Sur' || CAST(o_custkey AS STRING) ELSE 'BO RIV' || CAST(o_orderkey % 1000 AS STRING) END AS predicted
+        FROM {orders}""",
+    "listings": """
+        SELECT o_orderkey AS listing_id, 'Sur' || CAST(o_custkey AS STRING) || ' vs Riv' || CAST(o_orderkey % 1000 AS STRING) || CASE WHEN o_orderkey % 11 = 0 THEN ': Exact Score' ELSE '' END AS title FROM {orders} WHERE o_orderkey % 3 > 0
+        UNION ALL SELECT -o_orderkey, 'Sur' || CAST(o_custkey AS STRING) || ' vs Riv' || CAST(o_orderkey % 1000 AS STRING) FROM {orders} WHERE o_orderkey % 13 = 0""",
+    "listing_markets": """
+        SELECT o_orderkey AS listing_id, 1 AS market_no, CASE WHEN o_orderkey % 10 = 2 THEN NULL ELSE 'Ann-Lee Sur' || CAST(o_custkey AS STRING) END AS label, CASE WHEN o_orderkey % 6 = 4 THEN 'closed' ELSE 'Active' END AS status, CASE WHEN o_orderkey % 8 = 6 THEN NULL ELSE 5e-1 END AS ask FROM {orders}
+        UNION ALL SELECT o_orderkey, 2, CASE WHEN o_orderkey % 14 = 1 THEN 'Cy' ELSE 'Bo Riv' || CAST(o_orderkey % 1000 AS STRING) END, 'active', CASE WHEN o_orderkey % 9 = 1 THEN NULL ELSE 4e-1 END FROM {orders}
+        UNION ALL SELECT o_orderkey, 3, 'Di Riv' || CAST(o_orderkey % 1000 AS STRING), 'active', 3e-1 FROM {orders} WHERE o_orderkey % 22 = 5""",
     "names": """
         SELECT s_suppkey AS id, s_name || ' O''Né-' || CASE s_suppkey % 4 WHEN 0 THEN 'Ångström' WHEN 1 THEN 'de  la Cruz' WHEN 2 THEN 'Müller' ELSE 'Li' END AS name, 'Cup ' || CAST(s_nationkey AS STRING) || ': ' || s_name || CASE WHEN s_suppkey % 3 = 0 THEN ' vs. ' ELSE ' vs ' END || CASE WHEN s_suppkey % 7 = 0 THEN '' ELSE 'Other ' || CAST(s_suppkey % 11 AS STRING) END AS title FROM {supplier}""",
     "calls": """

@@ -11,6 +11,7 @@ from forecastlab.operators import markets as M
 from forecastlab.operators import retro as R
 from forecastlab.operators.features import form
 from forecastlab.operators.player_rows import player_rows
+from forecastlab.operators.prices import book_summary
 
 from .base import query
 from .scalars import CAND, EV, EV_GRADE, RISK, RISK_GRADE
@@ -46,7 +47,9 @@ query("p6_cold_start_filter", "WITH k AS (SELECT match_id, player, count(*) OVER
 )
 query("p7_implied_ceiling", "SELECT event_id, market_no FROM markets WHERE NOT coalesce(ask >= .6, false)")(lambda t: G.implied_ceiling(t("markets"), "ask", 0.6).select("event_id", "market_no"))
 query("p8_live_ev_gate", f"SELECT {ROW} FROM forecasts WHERE {EV} >= .1")(lambda t: G.live_ev_gate(t("forecasts"), "p", "m", 0.1).select("event_id", "partkey", "suppkey"))
-query("p11_listing_filter", "SELECT event_id, market_no FROM markets WHERE NOT closed AND label IS NOT NULL AND coalesce(open_interest, 0) > 0")(lambda t: M.listing_filter(t("markets")).select("event_id", "market_no"))
+query("p11_listing_filter", "SELECT event_id, market_no FROM markets WHERE NOT closed AND label IS NOT NULL AND coalesce(open_interest, 0) > 0 AND event_id % 9 >= 5")(
+    lambda t: M.listing_filter(t("markets").withColumn("slug", F.concat_ws("-", "slug", F.get(F.array(*map(F.lit, X.VARIANT_SUFFIXES)), (c("event_id") % 9).cast("int"))))).select("event_id", "market_no")
+)
 query("p12_validity_range", f"SELECT {ROW} FROM forecasts WHERE p BETWEEN 0 AND 1 AND m BETWEEN 0 AND 1")(lambda t: t("forecasts").filter(c("p").between(0, 1) & c("m").between(0, 1)).select("event_id", "partkey", "suppkey"))
 
 # Resolutions: one line per slug and run of the forecasts, settled for most.
@@ -84,17 +87,39 @@ query(
 )(lambda t: M.match_fixtures(_events(t), _fixtures(t)))
 query(
     "j9_match_markets",
-    """WITH f AS (SELECT s_suppkey AS event_id, 'supplier#' || lpad(CAST(s_suppkey AS VARCHAR), 9, '0') AS a, CAST(s_suppkey % 11 AS VARCHAR) AS b FROM supplier), ti AS (SELECT id, string_split_regex(lower(substr(title, instr(title, ':') + 2)), '\\s+') AS tok FROM names),
-    k AS (SELECT event_id, count(id) AS n, min(id) AS title_id FROM f LEFT JOIN ti ON list_contains(tok, a) AND list_contains(tok, b) GROUP BY 1) SELECT event_id, CASE WHEN n = 1 THEN 'matched' WHEN n > 1 THEN 'ambiguous' ELSE 'unmatched' END AS status, CASE WHEN n = 1 THEN title_id END AS title_id FROM k""",
-)(lambda t: M.match_markets(t("supplier").select(c("s_suppkey").alias("event_id"), F.concat(F.lit("Supplier#"), F.lpad(c("s_suppkey").cast("string"), 9, "0")).alias("a"), (c("s_suppkey") % 11).cast("string").alias("b")), t("names").select(c("id").alias("title_id"), F.expr("substr(title, instr(title, ':') + 2)").alias("title"))))
+    """WITH n AS (SELECT event_id, lower(replace(predicted, '-', ' ')) AS p, lower(replace(CASE WHEN a_name IS NOT NULL AND b_name IS NOT NULL THEN a_name ELSE split_part(split_part(title, ': ', 2), ' vs. ', 1) END, '-', ' ')) AS a,
+        lower(replace(CASE WHEN a_name IS NOT NULL AND b_name IS NOT NULL THEN b_name ELSE split_part(split_part(title, ': ', 2), ' vs. ', 2) END, '-', ' ')) AS b FROM picks),
+    l AS (SELECT *, string_split(p, ' ')[-1] AS lp, string_split(a, ' ')[-1] AS la, string_split(b, ' ')[-1] AS lb FROM n),
+    w AS (SELECT event_id, CASE WHEN p = a THEN la WHEN p = b THEN lb WHEN lp = la THEN la WHEN lp = lb THEN lb END AS winner, CASE WHEN p = a THEN lb WHEN p = b THEN la WHEN lp = la THEN lb WHEN lp = lb THEN la END AS loser FROM l),
+    t AS (SELECT listing_id, unnest(list_distinct(string_split(lower(title), ' '))) AS tok FROM listings WHERE NOT contains(title, ':')),
+    tt AS (SELECT w.event_id, t1.listing_id FROM w JOIN t t1 ON t1.tok = w.winner JOIN t t2 ON t2.tok = w.loser AND t2.listing_id = t1.listing_id),
+    k AS (SELECT w.event_id, w.winner, count(tt.listing_id) AS n, min(tt.listing_id) AS lid FROM w LEFT JOIN tt USING (event_id) GROUP BY 1, 2),
+    m AS (SELECT k.event_id, k.winner, k.n, CASE WHEN n = 1 THEN lid END AS listing_id, count(x.market_no) AS nm, min(x.market_no) AS market_no, bool_and(lower(x.status) = 'active' AND x.ask IS NOT NULL) AS open
+        FROM k LEFT JOIN listing_markets x ON k.n = 1 AND x.listing_id = k.lid AND list_contains(string_split(lower(replace(x.label, '-', ' ')), ' '), k.winner) GROUP BY 1, 2, 3, 4)
+    SELECT event_id, CASE WHEN winner IS NULL THEN 'unparseable_players' WHEN n = 0 THEN 'no_match' WHEN n > 1 THEN 'ambiguous_match' WHEN nm = 0 THEN 'no_yes_market' WHEN nm > 1 THEN 'ambiguous_match' WHEN NOT open THEN 'market_closed' ELSE 'matched' END AS status,
+    listing_id, CASE WHEN nm = 1 THEN market_no END AS market_no FROM m""",
+)(lambda t: M.match_markets(t("picks"), t("listings"), t("listing_markets")))
 query("j10_anti_already_executed", "SELECT DISTINCT run_id, event_no FROM trades a WHERE NOT EXISTS (SELECT 1 FROM trades b WHERE b.run_id = a.run_id AND b.event_no = a.event_no AND b.status IN ('filled', 'partial', 'submitted') AND b.seq % 40 = 0)")(
     lambda t: R.anti_already_executed(t("trades").select("run_id", "event_no").distinct(), t("trades").filter("seq % 40 = 0"))
 )
 query("j11_align_predictions", "SELECT match_id, anchor, p, q FROM (SELECT match_id, p1 AS anchor, p2 AS other, p1_fs_won AS p FROM matches UNION ALL SELECT match_id, p2, p1, p2_fs_won FROM matches) JOIN (SELECT match_id, p1 AS anchor, p1_aces AS q FROM matches WHERE match_id % 3 > 0 UNION ALL SELECT match_id, p2, p2_aces FROM matches WHERE match_id % 3 > 0) USING (match_id, anchor) WHERE anchor < other")(
     lambda t: R.align_predictions(*[(t("matches").select("match_id", c("p1").alias("anchor"), c("p2").alias("other"), c("p1_fs_won").alias("p")).unionByName(t("matches").select("match_id", c("p2").alias("anchor"), c("p1").alias("other"), c("p2_fs_won").alias("p")))), (t("matches").filter("match_id % 3 > 0").select("match_id", c("p1").alias("anchor"), c("p1_aces").alias("q")).unionByName(t("matches").filter("match_id % 3 > 0").select("match_id", c("p2").alias("anchor"), c("p2_aces").alias("q"))))]).select("match_id", "anchor", "p", "q")
 )
-query("j12_market_enrichment", "SELECT m.event_id, market_no, bid_top FROM markets m LEFT JOIN (SELECT market_id, max(price) AS bid_top FROM levels WHERE side = 'bid' GROUP BY 1) ON market_id = m.event_id", "bid_top")(
-    lambda t: M.attach_by_slug(t("markets"), t("levels").filter("side = 'bid'").groupBy(c("market_id").alias("event_id")).agg(F.max("price").alias("bid_top")), "event_id").select("event_id", "market_no", "bid_top")
+def _facts(t):
+    """Of each slug its book and its price's change, told of the YES side."""
+    slug = lambda k: F.concat(F.lit("lg"), (c(k) % 5).cast("string"), F.lit("-"), c(k).cast("string")).alias("slug")
+    book = book_summary(t("levels")).select(slug("market_id"), "bid_size", "ask_size", "bid_depth", "ask_depth", c("bid_value").alias("bid_dollars"), c("ask_value").alias("ask_dollars"))
+    order = F.struct("t", "event_id")
+    change = t("prices").groupBy("token_id").agg((F.max_by("p", order) - F.min_by("p", order)).alias("change_24h")).select(slug("token_id"), "change_24h")
+    return book.join(change, "slug", "left")
+
+
+BOOK = """b AS (SELECT market_id, arg_max(s, price) FILTER (WHERE side = 'bid') AS bs, arg_min(s, price) FILTER (WHERE side = 'ask') AS asz, coalesce(sum(k) FILTER (WHERE side = 'bid'), 0) AS bd, coalesce(sum(k) FILTER (WHERE side = 'ask'), 0) AS ad,
+    sum(v) FILTER (WHERE side = 'bid') AS bv, sum(v) FILTER (WHERE side = 'ask') AS av FROM (SELECT market_id, side, price, sum(size) AS s, count(*) AS k, sum(price * size) AS v FROM levels GROUP BY 1, 2, 3) GROUP BY 1),
+    h AS (SELECT token_id, arg_max(p, (t, event_id)) - arg_min(p, (t, event_id)) AS d FROM prices GROUP BY 1)"""
+SIDE = "SELECT m.event_id, market_no, '{0}' AS side, {1} AS bid_size, {2} AS ask_size, CAST({3} AS BIGINT) AS bid_depth, CAST({4} AS BIGINT) AS ask_depth, {5} AS bid_dollars, {6} AS ask_dollars, {7} AS change_24h FROM markets m LEFT JOIN b ON market_id = m.event_id LEFT JOIN h ON token_id = m.event_id"
+query("j12_market_enrichment", f"WITH {BOOK} {SIDE.format('yes', 'bs', 'asz', 'bd', 'ad', 'bv', 'av', 'd')} UNION ALL {SIDE.format('no', 'asz', 'bs', 'ad', 'bd', 'av', 'bv', '-d')}", "bid_size ask_size bid_dollars ask_dollars change_24h")(
+    lambda t: M.attach_enrichment(M.both_sides(t("markets")).select("event_id", "market_no", "slug", "side"), _facts(t)).drop("slug")
 )
 query("j14_trader_profile", "SELECT o_orderkey AS position_id, c_acctbal AS edge FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_mktsegment <> 'MACHINERY'", "edge")(
     lambda t: t("orders").select(c("o_orderkey").alias("position_id"), c("o_custkey").alias("address")).join(t("customer").filter("c_mktsegment <> 'MACHINERY'").select(c("c_custkey").alias("address"), c("c_acctbal").alias("edge")), "address", "left").select("position_id", "edge")

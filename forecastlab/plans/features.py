@@ -173,14 +173,29 @@ query(
     """SELECT tour, player, CAST(sum(tb_won) AS BIGINT) AS tb_won, CAST(nullif(sum(tb_played), 0) AS BIGINT) AS tb_played, CAST(sum(decider * won) AS BIGINT) AS decider_won, CAST(nullif(sum(decider), 0) AS BIGINT) AS deciders, CAST(sum(lost_set1 * won) AS BIGINT) AS comebacks, CAST(nullif(sum(lost_set1), 0) AS BIGINT) AS lost_first,
     CAST(sum(close * won) AS BIGINT) AS close_won, CAST(nullif(sum(close), 0) AS BIGINT) AS close_played, sum(CASE WHEN match_date > DATE '2000-06-01' - 180 THEN o_bp_of - o_bp_conv END) / nullif(sum(CASE WHEN match_date > DATE '2000-06-01' - 180 THEN o_bp_of END), 0) AS bp_save FROM pr WHERE match_date <= DATE '2000-06-01' GROUP BY tour, player""", "bp_save",
 )(lambda t: C.clutch_records(W.with_counts(rows(t)), "2000-06-01"))
-query(
+@query(
     "a28_h2h_summary",
-    """WITH k AS (SELECT *, row_number() OVER (PARTITION BY tour, player, opponent ORDER BY match_date DESC, match_id DESC) AS i FROM pr) SELECT tour, player, opponent, count(*) AS meetings, CAST(sum(won) AS BIGINT) AS wins, CAST(sum(CASE WHEN surface = 'clay' THEN won END) AS BIGINT) AS clay_wins,
-    string_agg(CAST(match_id AS VARCHAR), ',' ORDER BY i) FILTER (WHERE i <= 3) AS last_three FROM k GROUP BY 1, 2, 3""",
-)(lambda t: C.h2h_summary(rows(t)))
+    """WITH k AS (SELECT *, row_number() OVER (PARTITION BY tour, player, opponent ORDER BY match_date DESC, match_id DESC) AS i FROM pr),
+    s AS (SELECT tour, player, opponent, string_agg(surface || '=' || CAST(w AS VARCHAR) || '-' || CAST(n - w AS VARCHAR), ',' ORDER BY surface) AS surfaces FROM (SELECT tour, player, opponent, surface, count(*) AS n, CAST(sum(won) AS BIGINT) AS w FROM pr WHERE surface IS NOT NULL GROUP BY ALL) GROUP BY 1, 2, 3),
+    g AS (SELECT tour, player, opponent, count(*) AS meetings, CAST(sum(won) AS BIGINT) AS wins, string_agg(CAST(match_id AS VARCHAR), ',' ORDER BY i) FILTER (WHERE i <= 3) AS last_three FROM k GROUP BY 1, 2, 3)
+    SELECT g.*, coalesce(s.surfaces, '') AS surfaces FROM g LEFT JOIN s USING (tour, player, opponent)""",
+)
+def _h2h(t):
+    text = F.transform(F.map_entries("surfaces"), lambda e: F.concat(e["key"], F.lit("="), e["value"]["w"].cast("string"), F.lit("-"), e["value"]["l"].cast("string")))
+    return C.h2h_summary(rows(t)).withColumn("surfaces", F.array_join(F.array_sort(text), ","))
+
+
+def record_sql(w: str, n: str, name: str) -> str:
+    return f"CAST(CASE WHEN sum({n}) > 0 THEN sum({w}) END AS BIGINT) AS {name}_w, CAST(nullif(sum({n}), 0) AS BIGINT) AS {name}_n"
+
+
+OF = lambda k: (f"CASE WHEN coalesce(bo, 3) = {k} THEN won END", f"CASE WHEN coalesce(bo, 3) = {k} THEN 1 END")
 query(
-    "a29_matchup_stats", "SELECT tour, player, opponent, CAST(coalesce(sum(decider * won), 0) AS BIGINT) AS decider_w, CAST(coalesce(sum(decider), 0) AS BIGINT) AS decider_n, CAST(coalesce(sum(tb_won), 0) AS BIGINT) AS tb_w, CAST(coalesce(sum(tb_played), 0) AS BIGINT) AS tb_n, sum(CASE WHEN lost_set1 = 0 THEN won END) / nullif(sum(1 - lost_set1), 0) AS set1_conversion FROM pr GROUP BY 1, 2, 3", "set1_conversion",
-)(lambda t: C.matchup_stats(W.with_counts(rows(t))))
+    "a29_matchup_stats",
+    f"""SELECT tour, player, opponent, {record_sql('decider * won', 'decider', 'decider')}, {record_sql('tb_won', 'tb_played', 'tiebreak')}, {record_sql(*OF(3), 'best_of_3')}, {record_sql(*OF(5), 'best_of_5')},
+    sum(CASE WHEN lost_set1 = 0 THEN won END) / nullif(sum(1 - lost_set1), 0) AS set1_conversion, sum(lost_set1 * won) / nullif(sum(lost_set1), 0) AS comeback, sum(s_fs_won) / nullif(sum(s_fs_in), 0) AS first_serve_win, sum(s_bp_conv) / nullif(sum(s_bp_of), 0) AS bp_convert
+    FROM pr GROUP BY 1, 2, 3""", "set1_conversion comeback first_serve_win bp_convert",
+)(lambda t: C.matchup_stats(W.with_counts(rows(t))).select("tour", "player", "opponent", *[c(r)[k].alias(f"{r}_{k}") for r in ("decider", "tiebreak", "best_of_3", "best_of_5") for k in ("w", "n")], "set1_conversion", "comeback", "first_serve_win", "bp_convert"))
 query(
     "a30_consistency",
     """WITH k AS (SELECT tour, player, stddev_pop(x) AS s1, count(x) AS n1, stddev_pop(y) AS s2, count(y) AS n2 FROM (SELECT tour, player, s_fs_in / nullif(s_fs_att, 0) AS x, s_fs_won / nullif(s_fs_in, 0) AS y FROM pr) GROUP BY 1, 2),

@@ -24,6 +24,11 @@ query(
     """WITH s AS (SELECT match_id, tour, match_date, p1 AS player_id FROM matches UNION ALL SELECT match_id, tour, match_date, p2 FROM matches)
     SELECT s.match_id, s.player_id, r.rank, r.rank_points FROM s ASOF LEFT JOIN rankings r ON s.tour = r.tour AND s.player_id = r.player_id AND s.match_date >= r.ranking_date""",
 )(lambda t: asof.last_before(t("rankings"), t("matches").select("match_id", "tour", "match_date", F.explode(F.array("p1", "p2")).alias("player_id")), ["tour", "player_id"], "ranking_date", "match_date", ["rank", "rank_points"]).select("match_id", "player_id", "rank", "rank_points"))
+query(
+    "j2_best_rank",
+    """WITH s AS (SELECT match_id, tour, match_date, p1 AS player_id FROM matches UNION ALL SELECT match_id, tour, match_date, p2 FROM matches)
+    SELECT s.match_id, s.player_id, arg_max(r.rank, r.ranking_date) AS rank, min(r.rank) AS best_rank FROM s LEFT JOIN rankings r ON s.tour = r.tour AND s.player_id = r.player_id AND s.match_date >= r.ranking_date GROUP BY 1, 2""",
+)(lambda t: asof.best_before(t("rankings"), t("matches").select("match_id", "tour", "match_date", F.explode(F.array("p1", "p2")).alias("player_id")), ["tour", "player_id"], "ranking_date", "match_date", "rank", "best_rank").select("match_id", "player_id", "rank", "best_rank"))
 NEAR = {"w1h": 3_600, "w4h": 14_400, "w24h": 86_400}
 
 

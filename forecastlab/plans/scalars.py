@@ -166,9 +166,22 @@ scalar("f35_parse_json_list", "forecasts", lambda: {"n": F.size(X.parse_json_lis
 scalar("f36_settled_yes", "forecasts", lambda: {"y": X.settled_yes(X.parse_json_list(_RAW()))}, f"[1, 0, NULL, 0, NULL, NULL][{_KIND} + 1] AS y")
 scalar("f37_winning_index", "forecasts", lambda: {"i": X.winning_index(X.parse_json_list(_RAW()))}, f"[0, NULL, NULL, 1, NULL, NULL][{_KIND} + 1] AS i")
 scalar("f38_market_state", "markets", lambda: {"state": D.market_state(c("accepting"), c("closed"))}, "CASE WHEN closed THEN 'CLOSED' WHEN accepting THEN 'OPEN' ELSE 'HALTED' END AS state", keys="event_id market_no")
+def _quoted(t):
+    """Markets with ladders of two levels a side, a change, dollars, and the session's prices."""
+    level = lambda p, z: F.struct(p.alias("price"), z.cast("double").alias("size"))
+    return t("markets").select(
+        "event_id", "market_no", "bid", "ask", "bid_size", "ask_size", (c("bid") * c("bid_size")).alias("bid_dollars"), (c("ask") * c("ask_size")).alias("ask_dollars"),
+        F.array(level(c("bid"), c("bid_size")), level(c("bid") - 0.01, c("ask_size"))).alias("bids"), F.array(level(c("ask"), c("ask_size")), level(c("ask") + 0.02, c("bid_size"))).alias("asks"),
+        (c("bid") - 0.4).alias("change_1h"), (c("ask") + 0.05).alias("high"), (c("ask") - 0.05).alias("low"),
+    )
+
+
+NO = "SELECT event_id, market_no, 'no' AS side, 1 - ask AS bid, 1 - bid AS ask, ask_size AS bid_size, bid_size AS ask_size, ask * ask_size AS bid_dollars, bid * bid_size AS ask_dollars, 1 - ask AS best_bid, 1 - (ask + 0.02) AS next_bid, bid_size AS next_bid_size, 1 - bid AS best_ask, 1 - (bid - 0.01) AS next_ask, -(bid - 0.4) AS change_1h, NULL AS high, NULL AS low FROM markets"
 query(
-    "f39_invert_no_side", "SELECT event_id, market_no, 'yes' AS side, bid, ask, bid_size, ask_size FROM markets UNION ALL SELECT event_id, market_no, 'no', 1 - ask, 1 - bid, ask_size, bid_size FROM markets", "bid ask",
-)(lambda t: both_sides(t("markets")).select("event_id", "market_no", "side", "bid", "ask", "bid_size", "ask_size"))
+    "f39_invert_no_side",
+    f"SELECT event_id, market_no, 'yes' AS side, bid, ask, bid_size, ask_size, bid * bid_size AS bid_dollars, ask * ask_size AS ask_dollars, bid AS best_bid, bid - 0.01 AS next_bid, ask_size AS next_bid_size, ask AS best_ask, ask + 0.02 AS next_ask, bid - 0.4 AS change_1h, ask + 0.05 AS high, ask - 0.05 AS low FROM markets UNION ALL {NO}",
+    "bid ask bid_size ask_size bid_dollars ask_dollars best_bid next_bid next_bid_size best_ask next_ask change_1h high low",
+)(lambda t: both_sides(_quoted(t)).select("*", c("bids")[0]["price"].alias("best_bid"), c("bids")[1]["price"].alias("next_bid"), c("bids")[1]["size"].alias("next_bid_size"), c("asks")[0]["price"].alias("best_ask"), c("asks")[1]["price"].alias("next_ask")).drop("bids", "asks"))
 scalar("f40_mid_and_notional", "markets", lambda: {"mid": D.mid(c("bid"), c("ask")), "notional": c("bid") * c("bid_size")}, "(bid + ask) / 2 AS mid, bid * bid_size AS notional", "mid notional", keys="event_id market_no")
 _arr = lambda n: F.array_repeat(F.lit("x"), n.cast("int"))
 scalar(

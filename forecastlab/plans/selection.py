@@ -73,16 +73,25 @@ RECORD = f"coalesce(CASE WHEN a_all_n >= 10 AND b_all_n >= 10 THEN {clip(f'0.1 *
 CONF = total(f"0.3 * {SQL['t1_rank_points_ratio']}", SQL["t2_form"], f"2.5 * {SQL['t7_serve']}", SQL["t5_h2h_density"], SQL["t3_surface"], SQL["t11_info_density"])
 TAIL = total("0.4", *[SQL[k] for k in ("t13_elo_gap", "t14_underdog_form", "t14_underdog_serve", "t14_underdog_surface", "t16_underdog_h2h")])
 EVS = total("0.4", *[SQL[k] for k in ("t13_elo_gap", "t14_underdog_form", "t14_underdog_serve", "t14_underdog_surface", "t16_underdog_h2h", "t17_competitive_floor")])
-LEGACY = f"greatest(0, least(1, ({' + '.join([*[SQL[k] for k in ('t1_rank_points_ratio', 't2_form', 't4_surface_relative', 't9_age', 't11_info_density', 't10_layoff', 't5_h2h_density')], RECORD])}) * {SQL['t6_best_of']}))"
+YTD = f"coalesce(0.05 * {SGN} * {gap('all', 10)}, 0)"
+DECAY = "log10(greatest({0}_rank, 1) / greatest({0}_best_rank, 1))"
+FALL = f"(CASE WHEN a_rank IS NOT NULL AND a_best_rank IS NOT NULL AND b_rank IS NOT NULL AND b_best_rank IS NOT NULL THEN {SGN} * ({DECAY.format('a')} - {DECAY.format('b')}) END)"
+AGED = clip(f"{SQL['t9_age']} + coalesce(-0.05 * tanh({FALL} / 0.5), 0)", 0.075)
+STEADY = f"coalesce(0.1 * {SGN} * (a_consistency - b_consistency), 0)"
+MET = "(CASE WHEN meetings >= 6 THEN 0.15 WHEN meetings >= 3 THEN 0.1 WHEN meetings >= 1 THEN 0.05 ELSE 0 END + CASE WHEN surface IS NOT NULL AND surface_meetings >= 2 THEN 0.025 ELSE 0 END)"
+EVENT = "(CASE rank_id WHEN 4 THEN 1.15 WHEN 3 THEN 1.05 ELSE 1 END)"
+LEGACY = f"greatest(0, least(1, ({' + '.join([*[SQL[k] for k in ('t1_rank_points_ratio', 't2_form', 't4_surface_relative', 't11_info_density', 't10_layoff')], STEADY, AGED, YTD, MET])}) * {EVENT}))"
 W1 = "greatest(.001, least(.999, coalesce(a_all_w / nullif(a_all_n, 0), .5)))"
 W2 = "greatest(.001, least(.999, coalesce(b_all_w / nullif(b_all_n, 0), .5)))"
-FORM_SURFACE = f"""greatest(.001, least(.999, {W1} * (1 - {W2}) / ({W1} * (1 - {W2}) + {W2} * (1 - {W1})) + coalesce({clip(f"0.1 * {gap('form', 5)}", 0.04)}, 0) + coalesce({clip(f"0.15 * {gap('surf', 1)} * least(1, sqrt(least(a_surf_n, b_surf_n) / 30))", 0.06)}, 0)))"""
+FORM_SURFACE = f"""greatest(.001, least(.999, {W1} * (1 - {W2}) / ({W1} * (1 - {W2}) + {W2} * (1 - {W1})) + coalesce({clip(f"0.1 * {gap('form', 5)}", 0.04)}, 0) + coalesce({clip(f"0.15 * {gap('surf', 8)} * least(1, sqrt(least(a_surf_n, b_surf_n) / 30))", 0.06)}, 0)))"""
 SCORES = {
     "t18_composite": (lambda: S.composite(S.base_rank_points(), [(1.0, S.tier_form()), (0.5, S.tier_round())], [S.best_of_multiplier()]), f"greatest(0, least(1, ({SQL['t1_rank_points_ratio']} + {SQL['t2_form']} + 0.5 * {SQL['t12_round']}) * {SQL['t6_best_of']}))"),
     "t19_confidence_v1": (S.score_confidence_v1, CONF), "t20_ev_v1": (S.score_ev_v1, EVS), "t20_tail_v1": (lambda: S.score_ev_v1(tail=True), TAIL), "t21_legacy": (S.score_legacy, LEGACY),
     "t22_imbalance": (lambda: S.imbalance_score(F.when(c("tour") == "atp", S.score_confidence_v1()), F.when(c("tour") == "wta", c("m"))), f"CASE tour WHEN 'atp' THEN {CONF} WHEN 'wta' THEN m ELSE 0 END"),
     "t23_form_surface": (S.form_surface_score, FORM_SURFACE),
 }
+LABEL_SQL = "CASE WHEN a_serve IS NOT NULL AND a_ret IS NOT NULL AND b_serve IS NOT NULL AND b_ret IS NOT NULL AND a_surf_n >= 8 AND b_surf_n >= 8 AND a_form_n >= 5 AND b_form_n >= 5 THEN 'high' WHEN (a_serve IS NULL OR a_ret IS NULL) AND (b_serve IS NULL OR b_ret IS NULL) OR least(a_surf_n, b_surf_n) < 5 THEN 'low' ELSE 'medium' END"
+query("t23_form_surface_confidence", f"SELECT id, {LABEL_SQL} AS confidence FROM pairs")(lambda t: t("pairs").select("id", S.form_surface_confidence().alias("confidence")))
 for name, (score, sql) in SCORES.items():
     query(name, f"SELECT id, {sql} AS score FROM pairs", "score")(lambda t, score=score: t("pairs").select("id", score().cast("double").alias("score")))
 query("t24_random_score")(lambda t: t("pairs").select("id", S.random_score(c("id"), 42).alias("score")))
