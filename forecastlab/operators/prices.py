@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .asof import asof_price, nearest_within
+from .long_streams import numbered, with_previous
 from .quantiles import exact_quantiles
 
 
 def returns(points: DataFrame) -> DataFrame:
     """points with the difference to the token's previous price."""
-    return points.withColumn("r", F.col("p") - F.lag("p").over(Window.partitionBy("token_id").orderBy("t", "event_id")))
+    return with_previous(points, ["token_id"], "t", ["event_id"], "p", "_p").withColumn("r", F.col("p") - F.col("_p")).drop("_p")
 
 
 def return_volatility(points: DataFrame) -> DataFrame:
@@ -29,13 +30,12 @@ def price_changes(points: DataFrame, windows: dict[str, int]) -> DataFrame:
 
 def sparkline(points: DataFrame, n: int = 5, invert: bool = False) -> DataFrame:
     """n prices evenly spaced by index, to three decimals, joined by arrows; all of them where there are no more than n."""
-    w = Window.partitionBy("token_id")
-    numbered = points.withColumns({"_i": F.row_number().over(w.orderBy("t", "event_id")) - 1, "_n": F.count("*").over(w)})
+    placed = numbered(points, ["token_id"], "t", ["event_id"])
     p = 1 - F.col("p") if invert else F.col("p")
     step = (F.col("_n") - 1) / (n - 1)
-    chosen = F.array_contains(F.array(*[F.bround(step * i).cast("int") for i in range(n)]), F.col("_i")) | (F.col("_n") <= n)
+    chosen = F.array_contains(F.array(*[F.bround(step * i).cast("long") for i in range(n)]), F.col("_i")) | (F.col("_n") <= n)
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_i", F.format_number(p, 3).alias("s")))), lambda x: x["s"]), "→")
-    return numbered.filter(chosen).groupBy("token_id").agg(text.alias("line"))
+    return placed.filter(chosen).groupBy("token_id").agg(text.alias("line"))
 
 
 def book_summary(levels: DataFrame) -> DataFrame:

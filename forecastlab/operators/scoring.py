@@ -166,8 +166,12 @@ def learning_curve_verdict(curve: DataFrame) -> DataFrame:
     return last.select("gain", F.when(F.col("gain") >= 0.005, "data-bound").when(F.col("gain") <= 0.002, "feature-bound").otherwise("between").alias("verdict"), (F.col("holdout") - F.col("train") >= 0.05).alias("overfits"))
 
 
-def compare_models(df: DataFrame, models: list[str], y: str = "y") -> DataFrame:
-    """Paired scores on rows where all models have a value, with the even blend of the first two."""
+def compare_models(df: DataFrame, models: list[str], y: str = "y", weight: float | None = None) -> DataFrame:
+    """Paired scores on rows where all models have a value, with the even blend of the first two, and with the one that gives the
+    first the weight that models.fit_blend_weight found on other rows."""
     rows = df.filter(reduce(Column.__and__, [F.col(m).isNotNull() for m in models])).withColumn("even_blend", (F.col(models[0]) + F.col(models[1])) / 2)
-    stacked = F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).alias("q")) for m in [*models, "even_blend"]])
+    blends = ["even_blend"] if weight is None else ["even_blend", "fitted_blend"]
+    if weight is not None:
+        rows = rows.withColumn("fitted_blend", weight * F.col(models[0]) + (1 - weight) * F.col(models[1]))
+    stacked = F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).alias("q")) for m in [*models, *blends]])
     return rows.select(F.col(y).alias("y"), F.inline(stacked)).groupBy("model").agg(F.count("*").alias("n"), F.avg((F.col("q") - F.col("y")) ** 2).alias("brier"), log_loss("q", "y", 1e-6).alias("log_loss"), F.corr("q", "y").alias("corr"))

@@ -277,6 +277,16 @@ def top_contributions(df: DataFrame, columns: list[str], k: int) -> DataFrame:
     return df.select("event_id", F.posexplode(F.slice(F.array_sort(cells), 1, k)).alias("place", "s")).select("event_id", "place", "s.feature", "s.value")
 
 
+def rich_coverage(pairs: DataFrame) -> DataFrame:
+    """Pairs whose both sides have a rank, a record, recent form, serve, return and break-point rates, a hand, contests on the
+    event's surface and a record in deciders or tiebreaks, and whose meetings are known."""
+    tests = [c("surface").isNotNull(), c("meetings").isNotNull()]
+    for s in ("a", "b"):
+        tests += [c(f"{s}_{k}").isNotNull() for k in ("rank", "serve", "ret", "bp", "plays")] + [c(f"{s}_{k}_n") > 0 for k in ("all", "form", "surf")]
+        tests.append(c(f"{s}_decider").isNotNull() | c(f"{s}_tiebreak").isNotNull())
+    return pairs.filter(reduce(Column.__and__, tests))
+
+
 def walk_forward_split(df: DataFrame, cutoff: str, validation_days: int = 90) -> DataFrame:
     """fold: train, validation (the last days up to the cutoff) or holdout (after it)."""
     end = F.lit(cutoff).cast("date")

@@ -31,6 +31,17 @@ def timing_rollup(timings: DataFrame, phases: dict[str, str]) -> DataFrame:
     return long.groupBy(F.coalesce(name, F.lit("other")).alias("phase")).agg(F.sum("seconds").alias("seconds"), F.count("*").alias("n"))
 
 
+def lens_totals(timings: DataFrame) -> DataFrame:
+    """Seconds by stage over all events, the longest first."""
+    return timings.select(F.explode("stages").alias("stage", "seconds")).groupBy("stage").agg(F.sum("seconds").alias("seconds"), F.count("*").alias("n")).orderBy(F.desc("seconds"), "stage")
+
+
+def insider_counts(trades: DataFrame, contexts: DataFrame, notable: Column, smart: Column) -> DataFrame:
+    """Per event with a context: all of its trades, notable ones and those of smart traders; other events are left out."""
+    some = trades.join(contexts.select("event_id").distinct(), "event_id", "left_semi")
+    return some.groupBy("event_id").agg(F.count("*").alias("total"), F.count_if(notable).alias("notable"), F.count_if(smart).alias("smart"))
+
+
 def populated(c: str, kind: str) -> Column:
     """Whether a value is there: empty texts, arrays and maps are missing, zeros are not."""
     if kind == "string":

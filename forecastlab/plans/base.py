@@ -89,7 +89,8 @@ VIEWS = {
                CASE WHEN o_orderkey % 15 = 0 THEN NULL ELSE 5e-2 + (o_orderkey % 91) / 1e2 END AS p, 5e-2 + (o_custkey % 90) / 1e2 AS m, CASE WHEN (o_orderkey % 7) * 3 % 5 < 3 THEN 1 ELSE 0 END AS won,
                CASE WHEN o_custkey % 23 = 0 THEN NULL ELSE CAST(1 + o_custkey % 200 AS INT) END AS a_rank, CAST(1 + o_custkey % 40 AS INT) AS a_best_rank, CAST(1 + o_orderkey % 300 AS INT) AS b_rank,
                CASE WHEN o_orderkey % 29 = 0 THEN NULL ELSE CAST(1 + o_orderkey % 60 AS INT) END AS b_best_rank, CASE WHEN o_orderkey % 16 = 0 THEN NULL ELSE (o_custkey % 33) / 33e0 END AS a_consistency,
-               (o_orderkey % 27) / 27e0 AS b_consistency, CAST(o_orderkey % 8 AS INT) AS rank_id, o_orderkey % 4 AS surface_meetings
+               (o_orderkey % 27) / 27e0 AS b_consistency, CAST(o_orderkey % 8 AS INT) AS rank_id, o_orderkey % 4 AS surface_meetings,
+               CASE WHEN o_custkey % 19 = 0 THEN NULL ELSE 'right' END AS a_plays, CASE WHEN o_orderkey % 31 = 0 THEN NULL ELSE 'left' END AS b_plays, CASE WHEN o_custkey % 26 = 0 THEN NULL ELSE 6e-1 END AS a_bp, CASE WHEN o_orderkey % 22 = 0 THEN NULL ELSE 5e-1 END AS b_bp
         FROM {orders}""",
     # Forecasts of a player to win, with the names and titles they come with; listings of contests, and the markets of these.
     "picks": """

@@ -12,6 +12,8 @@ from forecastlab.operators import retro as R
 from forecastlab.operators.features import form
 from forecastlab.operators.player_rows import player_rows
 from forecastlab.operators.prices import book_summary
+from forecastlab.operators.selection import rich_coverage
+from forecastlab.operators.usage import insider_counts
 
 from .base import query
 from .scalars import CAND, EV, EV_GRADE, RISK, RISK_GRADE
@@ -40,8 +42,8 @@ events = lambda t: t("markets").select("event_id", "league").distinct()  # noqa:
 query("p4_coverage_filter", "SELECT event_id, league FROM (SELECT DISTINCT event_id, league FROM markets) WHERE league NOT IN ('lg0', 'lg1') OR event_id IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O')")(
     lambda t: M.coverage_filter(events(t), t("orders").filter("o_orderstatus = 'O'").select(c("o_orderkey").alias("event_id")), ["lg0", "lg1"]).select("event_id", "league")
 )
-NEED = ["a_points", "b_points", "a_serve", "b_decider", "b_age", "b_last_days", "surface"]
-query("p5_rich_coverage_filter", f"SELECT id FROM pairs WHERE {' AND '.join(f'{x} IS NOT NULL' for x in NEED)} AND (a_form_n > 0 AND b_form_n > 0) AND meetings IS NOT NULL")(lambda t: t("pairs").dropna(subset=[*NEED, "meetings"]).filter("a_form_n > 0 AND b_form_n > 0").select("id"))
+SIDES = " AND ".join(f"{x}_rank IS NOT NULL AND {x}_serve IS NOT NULL AND {x}_ret IS NOT NULL AND {x}_bp IS NOT NULL AND {x}_plays IS NOT NULL AND {x}_all_n > 0 AND {x}_form_n > 0 AND {x}_surf_n > 0 AND (coalesce({x}_decider, {x}_tiebreak) IS NOT NULL)" for x in "ab")
+query("p5_rich_coverage_filter", f"SELECT id FROM pairs WHERE surface IS NOT NULL AND meetings IS NOT NULL AND {SIDES}")(lambda t: rich_coverage(t("pairs")).select("id"))
 query("p6_cold_start_filter", "WITH k AS (SELECT match_id, player, count(*) OVER (PARTITION BY tour, player ORDER BY match_date, match_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS n FROM pr), m AS (SELECT match_id, min(n) AS n FROM k GROUP BY 1) SELECT count(*) FILTER (WHERE n >= 5) AS kept, count(*) FILTER (WHERE n < 5) AS cold, (SELECT count(*) FROM matches WHERE score IS NULL) AS invalid FROM m")(
     lambda t: form(player_rows(t("matches"))).groupBy("match_id").agg(F.min("prior_count").alias("n")).agg(F.count_if(c("n") >= 5).alias("kept"), F.count_if(c("n") < 5).alias("cold")).join(t("matches").agg(F.count_if(c("score").isNull()).alias("invalid")))  # one row each
 )
@@ -129,8 +131,8 @@ query(
     "WITH h AS (SELECT lower(trim(p_name)) AS k, arg_min(p_type, p_partkey) AS ht FROM part GROUP BY 1) SELECT p_partkey AS event_id, coalesce(CASE WHEN p_partkey % 4 = 0 THEN 'mapped' END, ht) AS event_tier FROM part LEFT JOIN h ON k = lower(trim(p_name)) AND p_partkey >= 0",
 )(lambda t: R.event_tier_by_name(t("part").select(c("p_partkey").alias("event_id"), c("p_partkey").alias("slug"), F.concat(F.lit(" "), F.upper("p_name")).alias("event_name")).withColumnRenamed("event_name", "name"), t("part").filter("p_partkey % 4 = 0").select(c("p_partkey").alias("slug"), F.lit("mapped").alias("tier")), t("part").select(c("p_name").alias("name"), c("p_type").alias("tier"), c("p_partkey").alias("at"))).select("event_id", "event_tier"))
 query("a32_record_spread", "WITH w AS (SELECT event_id, CAST(split_part(record, '-', 1) AS INT) / nullif(CAST(split_part(record, '-', 1) AS INT) + CAST(split_part(record, '-', 2) AS INT), 0) AS x FROM markets) SELECT event_id, CASE WHEN count(x) >= 2 THEN max(x) - min(x) END AS spread FROM w GROUP BY 1", "spread")(lambda t: M.record_spread(t("markets")))
-query("a34_insider_counts", "SELECT event_id, count(*) AS total, count(*) FILTER (WHERE dollars / 20000 >= 2) AS notable, count(*) FILTER (WHERE suppkey % 3 = 0) AS smart FROM forecasts GROUP BY 1")(
-    lambda t: t("forecasts").groupBy("event_id").agg(F.count("*").alias("total"), F.count_if(D.is_notable(c("dollars") / 20000)).alias("notable"), F.count_if(c("suppkey") % 3 == 0).alias("smart"))
+query("a34_insider_counts", "SELECT event_id, count(*) AS total, count(*) FILTER (WHERE dollars / 20000 >= 2) AS notable, count(*) FILTER (WHERE suppkey % 3 = 0) AS smart FROM forecasts WHERE event_id IN (SELECT event_id FROM forecasts WHERE defens > 0.3) GROUP BY 1")(
+    lambda t: insider_counts(t("forecasts"), t("forecasts").filter("defens > 0.3"), D.is_notable(c("dollars") / 20000), c("suppkey") % 3 == 0)
 )
 query(
     "a37_trade_summary",

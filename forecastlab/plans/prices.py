@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from forecastlab.operators import asof, prices
+from forecastlab.operators import long_streams
 
 from .base import query
 
@@ -23,7 +24,7 @@ query(
     "j2_asof_rank",
     """WITH s AS (SELECT match_id, tour, match_date, p1 AS player_id FROM matches UNION ALL SELECT match_id, tour, match_date, p2 FROM matches)
     SELECT s.match_id, s.player_id, r.rank, r.rank_points FROM s ASOF LEFT JOIN rankings r ON s.tour = r.tour AND s.player_id = r.player_id AND s.match_date >= r.ranking_date""",
-)(lambda t: asof.last_before(t("rankings"), t("matches").select("match_id", "tour", "match_date", F.explode(F.array("p1", "p2")).alias("player_id")), ["tour", "player_id"], "ranking_date", "match_date", ["rank", "rank_points"]).select("match_id", "player_id", "rank", "rank_points"))
+)(lambda t: long_streams.last_before(t("rankings"), t("matches").select("match_id", "tour", "match_date", F.explode(F.array("p1", "p2")).alias("player_id")), ["tour", "player_id"], "ranking_date", "match_date", ["rank", "rank_points"]).select("match_id", "player_id", "rank", "rank_points"))
 query(
     "j2_best_rank",
     """WITH s AS (SELECT match_id, tour, match_date, p1 AS player_id FROM matches UNION ALL SELECT match_id, tour, match_date, p2 FROM matches)

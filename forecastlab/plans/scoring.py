@@ -81,9 +81,9 @@ query(
 )(lambda t: S.learning_curve_verdict(t("forecasts").filter("won IS NOT NULL").groupBy(c("run_id").alias("fraction")).agg((F.avg("p") / 5).alias("train"), F.avg((c("p") - c("won")) ** 2).alias("holdout"))))
 query(
     "m9_compare_models",
-    f"""WITH r AS (SELECT y, p, model_p, sim_p, (p + model_p) / 2 AS even_blend FROM {P} WHERE model_p IS NOT NULL), k AS (SELECT y, 'p' AS model, p AS q FROM r UNION ALL SELECT y, 'model_p', model_p FROM r UNION ALL SELECT y, 'sim_p', sim_p FROM r UNION ALL SELECT y, 'even_blend', even_blend FROM r)
+    f"""WITH r AS (SELECT y, p, model_p, sim_p, (p + model_p) / 2 AS even_blend, 0.25 * p + 0.75 * model_p AS fitted_blend FROM {P} WHERE model_p IS NOT NULL), k AS (SELECT y, 'p' AS model, p AS q FROM r UNION ALL SELECT y, 'model_p', model_p FROM r UNION ALL SELECT y, 'sim_p', sim_p FROM r UNION ALL SELECT y, 'even_blend', even_blend FROM r UNION ALL SELECT y, 'fitted_blend', fitted_blend FROM r)
     SELECT model, count(*) AS n, avg((q - y) ** 2) AS brier, avg(-(y * ln(greatest(least(q, 1 - 1e-6), 1e-6)) + (1 - y) * ln(1 - greatest(least(q, 1 - 1e-6), 1e-6)))) AS log_loss, corr(q, y) AS corr FROM k GROUP BY model""", "brier log_loss corr",
-)(lambda t: S.compare_models(scored(t), ["p", "model_p", "sim_p"]))
+)(lambda t: S.compare_models(scored(t), ["p", "model_p", "sim_p"], weight=0.25))
 RATES_SQL = "(VALUES ('view', 3.0, 15.0, 0.3, 3.75), ('click', 1.0, 5.0, 0.1, 1.25), ('error', 0.25, 1.25, 0.03, 0.3)) AS r(model, i, o, k, w)"
 rates = lambda t: t.spark.createDataFrame([("view", 3.0, 15.0, 0.3, 3.75), ("click", 1.0, 5.0, 0.1, 1.25), ("error", 0.25, 1.25, 0.03, 0.3)], "model string, r_in double, r_out double, r_cached double, r_written double")
 query(
@@ -96,6 +96,7 @@ query(
     "a36_timing_rollup",
     "WITH k AS (SELECT CASE event_type WHEN 'view' THEN 'fetch' WHEN 'click' THEN 'fetch' WHEN 'purchase' THEN 'judge' ELSE 'other' END AS phase, value FROM events) SELECT phase, sum(value) AS seconds, count(*) AS n FROM k GROUP BY phase", "seconds",
 )(lambda t: U.timing_rollup(t("events").select(F.create_map(c("event_type"), c("value")).alias("stages")), {"view": "fetch", "click": "fetch", "purchase": "judge"}))
+query("a36_lens_totals", "SELECT event_type AS stage, sum(value) AS seconds, count(*) AS n FROM events GROUP BY 1", "seconds")(lambda t: U.lens_totals(t("events").select(F.create_map(c("event_type"), c("value")).alias("stages"))))
 FIELDS = ["label", "bid", "ask", "open_interest", "record"]
 query(
     "a40_populate_rate",
