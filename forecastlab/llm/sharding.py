@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from math import ceil, log2
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, join_hot
@@ -79,7 +79,26 @@ def _pages(out: DataFrame, limit: int) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str, limit_bytes: int) -> None:
-    """Writes docs, a folder for each shard; a shard's rows meet in one task, which the byte limit bounds."""
-    shards = shard_rows(docs, limit_bytes).select(F.col("doc_id").alias("_id"), "shard").distinct()
-    found = docs.join(shards, F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
+    """Writes each row of docs once, with all its columns, in a folder for each shard; a shard's rows meet in one task, which the byte limit bounds.
+
+    Rows find their shard by a digest of doc_id and text, so rows of one id with different texts go to the shards of both. Rows that
+    repeat both, whose shard has pages, are numbered by salts, so that none is numbered in one task, and each number has its page.
+    Null ids and texts count as in shard_rows, an empty table writes nothing, and a column of docs named shard is replaced.
+    """
+    key = F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("\\N")), F.lit(":"), F.coalesce("text", F.lit(""))), 256)
+    rows = cut(docs.drop("shard").withColumns({"_key": key, "_salt": F.pmod(F.monotonically_increasing_id(), F.lit(64))}))
+    shards = shard_rows(rows.select(F.col("_key").alias("doc_id"), "text"), limit_bytes).groupBy("doc_id", "shard").agg(F.count("*").alias("here"))
+    pages = Window.partitionBy("_key").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.coalesce(F.sum("here").over(pages), F.lit(0))
+    placed = cut(shards.withColumnRenamed("doc_id", "_key").select("_key", "shard", first.alias("_first"), (first + F.col("here")).alias("_end"), F.count("*").over(Window.partitionBy("_key")).alias("_pages")))
+    single = placed.filter("_pages = 1").select("_key", "shard")
+    paged = placed.filter("_pages > 1").select("_key", "shard", "_first", "_end")
+    often = rows.join(paged.select("_key").distinct(), "_key", "left_semi")
+    sizes = often.groupBy("_key", "_salt").agg(F.count("*").alias("_s"))
+    starts = sizes.select("_key", "_salt", F.coalesce(F.sum("_s").over(Window.partitionBy("_key").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    inside = often.withColumn("_i", F.row_number().over(Window.partitionBy("_key", "_salt").orderBy(F.lit(0))) - 1).join(starts, ["_key", "_salt"])
+    number = F.col("_start") + F.col("_i")
+    dealt = inside.withColumn("_number", number).join(paged, "_key").filter((F.col("_number") >= F.col("_first")) & (F.col("_number") < F.col("_end")))
+    names = [*[c for c in docs.columns if c != "shard"], "shard"]
+    found = rows.join(single, "_key").select(*names).unionByName(dealt.select(*names))
     found.repartition("shard").write.mode("overwrite").partitionBy("shard").parquet(path)
