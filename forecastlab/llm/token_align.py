@@ -26,7 +26,7 @@ from .common import HOT_SHARE, cut, shared_dir, slices
 from .token_files import LETTERS, new_folder
 
 #: Segments that a worker remembers, the longest of them, and links of all of them, before it starts anew: its bound on memory.
-REMEMBERED, LONGEST, REMEMBERED_LINKS = 120_000, 64, 1_000_000
+REMEMBERED, LONGEST, REMEMBERED_LINKS = 160_000, 64, 1_500_000
 #: Characters of new segments that the libraries get as one text.
 JOINED = 1 << 16
 #: Rows of the table of id pairs up to which it is broadcast; beyond, only pairs with a large share of all links are.
@@ -302,28 +302,50 @@ def group_lists(known: Aligner, entries: np.ndarray, of: np.ndarray, n: int) ->
 
 
 def linked_texts(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """row (a number of its own), doc_id, n_a, n_b, n_groups, n_links, groups_sha256 and links (pair, times) of each row of docs."""
+    """row (a number of its own), doc_id, n_a, n_b, n_groups, n_links, groups_sha256 and links (pair, times) of each row of docs.
+
+    A pair is A's id * 2 ** 32 + B's. Rows whose row is null are no texts: their links add up those of all texts of a task.
+    """
     names = ["row", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "links"]
     link = pa.struct([("pair", pa.int64()), ("times", pa.int64())])
 
+    def batch_of(columns: list, pairs: np.ndarray, times: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
+        cells = pa.StructArray.from_arrays([pa.array(pairs), pa.array(times)], fields=list(link))
+        return pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), cells)], names)
+
+    def added_up(known: Aligner, times: np.ndarray) -> Iterator[pa.RecordBatch]:
+        used = np.flatnonzero(times)
+        pairs, size = known.pairs.of(used)
+        if len(pairs):
+            pairs, place = np.unique(pairs, return_inverse=True)
+            total = np.zeros(len(pairs), dtype=np.int64)
+            np.add.at(total, place, np.repeat(times[used], size))
+            ends = np.append(np.arange(0, len(pairs), 10_000), len(pairs))
+            none = [pa.nulls(len(ends) - 1, pa.int64())] * 6
+            yield batch_of([*none, pa.nulls(len(ends) - 1, pa.string())], pairs, total, ends)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, row = aligner(a_path, b_path), TaskContext.get().partitionId() << 33
+        known, row, all_times = aligner(a_path, b_path), TaskContext.get().partitionId() << 33, np.zeros(0, dtype=np.int64)
         for batch in batches:
             for part in slices(batch, 64):
                 if known.full:
+                    yield from added_up(known, all_times)
                     known.forget()
+                    all_times = np.zeros(0, dtype=np.int64)
                 entries, of = known.align(part.column(1).to_pylist())
-                n = part.num_rows
+                n, m = part.num_rows, len(known.texts)
+                now = np.bincount(entries, minlength=m)
+                now[: len(all_times)] += all_times
+                all_times = now
                 sums = [np.bincount(of, x.data[entries], minlength=n).astype(np.int64) for x in (known.a_ids.n, known.b_ids.n, known.groups, known.pairs.n)]
                 groups = [sha256(g.encode()).hexdigest() if g else "" for g in group_lists(known, entries, of, n)]
-                each, times = np.unique(of * len(known.texts) + entries, return_counts=True)
-                pairs, size = known.pairs.of(each % max(1, len(known.texts)))
-                ends = np.concatenate([[0], np.cumsum(np.bincount(each // max(1, len(known.texts)), size, minlength=n).astype(np.int64))])
-                cells = pa.StructArray.from_arrays([pa.array(pairs), pa.array(np.repeat(times, size))], fields=list(link))
-                links = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), cells)
-                rows = pa.array(np.arange(row, row + n))
-                yield pa.RecordBatch.from_arrays([rows, part.column(0), *map(pa.array, sums), pa.array(groups, pa.string()), links], names)
+                each, times = np.unique(of * m + entries, return_counts=True)
+                pairs, size = known.pairs.of(each % max(1, m))
+                ends = np.concatenate([[0], np.cumsum(np.bincount(each // max(1, m), size, minlength=n).astype(np.int64))])
+                columns = [pa.array(np.arange(row, row + n)), part.column(0), *map(pa.array, sums), pa.array(groups, pa.string())]
+                yield batch_of(columns, pairs, np.repeat(times, size), ends)
                 row += n
+        yield from added_up(known, all_times)
 
     schema = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, links array<struct<pair: long, times: long>>"
     return texts_of(docs).mapInArrow(run, schema)
@@ -339,8 +361,9 @@ def alignment_report(docs: DataFrame, a_path: str, b_path: str, few: int = FEW_P
     """
     spark, folder = docs.sparkSession, new_folder(shared_dir(docs.sparkSession), "alignment")
     linked_texts(docs, a_path, b_path).write.parquet(folder)
-    linked = spark.read.parquet(folder)
-    counted = cut(linked.select(F.explode("links").alias("link")).groupBy("link.pair").agg(F.sum("link.times").alias("n")))
+    written = spark.read.parquet(folder)
+    linked = written.filter("row IS NOT NULL")
+    counted = cut(written.filter("row IS NULL").select(F.explode("links").alias("link")).groupBy("link.pair").agg(F.sum("link.times").alias("n")))
     highest = counted.groupBy((F.col("pair") % PAIR).alias("b")).agg(F.max("n").alias("highest"))
     known = counted.withColumn("b", F.col("pair") % PAIR).join(highest, "b").select("pair", "n", (F.col("n") == F.col("highest")).alias("best"))
     rows, total = counted.agg(F.count("*"), F.sum("n")).first()
