@@ -22,11 +22,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT_SHARE, cut, shared_dir, slices
+from .common import HOT_SHARE, arrow_batches, cut, shared_dir, slices
 from .token_files import LETTERS, new_folder
 
 #: Segments that a worker remembers, the longest of them, and links of all of them, before it starts anew: its bound on memory.
-REMEMBERED, LONGEST, REMEMBERED_LINKS = 160_000, 64, 1_500_000
+REMEMBERED, LONGEST, REMEMBERED_LINKS = 140_000, 64, 1_200_000
 #: Characters of new segments that the libraries get as one text.
 JOINED = 1 << 16
 #: Rows of the table of id pairs up to which it is broadcast; beyond, only pairs with a large share of all links are.
@@ -360,7 +360,8 @@ def alignment_report(docs: DataFrame, a_path: str, b_path: str, few: int = FEW_P
     1000, are, and the other links are shuffled to theirs.
     """
     spark, folder = docs.sparkSession, new_folder(shared_dir(docs.sparkSession), "alignment")
-    linked_texts(docs, a_path, b_path).write.parquet(folder)
+    with arrow_batches(spark, 1_000, "16m"):
+        linked_texts(docs, a_path, b_path).write.parquet(folder)
     written = spark.read.parquet(folder)
     linked = written.filter("row IS NOT NULL")
     counted = cut(written.filter("row IS NULL").select(F.explode("links").alias("link")).groupBy("link.pair").agg(F.sum("link.times").alias("n")))
