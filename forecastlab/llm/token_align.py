@@ -14,7 +14,8 @@ import re
 from collections.abc import Iterator
 from functools import cache
 from hashlib import sha256
-from itertools import chain
+from itertools import chain, repeat
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +29,14 @@ from .token_files import LETTERS, new_folder
 #: Segments that a worker remembers, the longest of them, and links of all of them, before it starts anew: its bound on memory.
 REMEMBERED, LONGEST, REMEMBERED_LINKS = 140_000, 64, 1_200_000
 #: Characters of new segments that the libraries get as one text.
-JOINED = 1 << 16
+JOINED = 1 << 11
 #: Rows of the table of id pairs up to which it is broadcast; beyond, only pairs with a large share of all links are.
 FEW_PAIRS = 1_000_000
 #: White space of either tokenizer: Python's, and one mark that older Unicode counted.
-BLANK = r"\s\u180e"
+OLD_BLANK = "\u180e"
+BLANK = r"\s" + OLD_BLANK
+#: What is read of a piece of sentencepiece's proto result.
+SPAN = attrgetter("id", "begin", "end")
 #: An id pair is one number: A's id times this, plus B's.
 PAIR = 1 << 32
 
@@ -153,13 +157,19 @@ class Aligner:
 
     def segments(self, text: str) -> list[str]:
         """The segments of text, which begins with a space; each begins with one."""
-        return re.split(f"(?<=[^{BLANK}])(?= [\\s\\S])", text) if self.cut else [text]
+        if not self.cut:
+            return [text]
+        words = text.split(" ")[1:]
+        if "" not in words and not re.search(f"[{BLANK}]", "".join([w[-1] for w in words])):
+            return [f" {w}" for w in words]
+        return re.split(f"(?<=[^{BLANK}])(?= [\\s\\S])", text)
 
     def joined(self, segments: list[str]) -> tuple[list[str], list[str]]:
         """The segments in an order in which they, end to end, are the texts that the libraries get; and these texts."""
         # a text's own U+2581 would join the next segment's space
-        blank = [not self.cut or "▁" in s or re.match(f"[{BLANK}]", s[-1]) is not None for s in segments]
-        alone, inner = [s for s, x in zip(segments, blank) if x], [s for s, x in zip(segments, blank) if not x]
+        alone = [s for s in segments if "▁" in s or s[-1].isspace() or s[-1] == OLD_BLANK] if self.cut else segments
+        others = set(alone)
+        inner = [s for s in segments if s not in others] if others else segments
         ends = np.cumsum([len(s) for s in inner]) // JOINED if inner else np.zeros(0, dtype=np.int64)
         cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), len(inner)] if inner else [0]
         return inner + alone, ["".join(inner[x:y]) for x, y in zip(cuts, cuts[1:])] + alone
@@ -171,13 +181,13 @@ class Aligner:
         char_base = np.cumsum([0, *map(len, texts)])
         gc.disable()  # many small objects that are soon gone
         got = self.a.encode_batch(texts, add_special_tokens=False)
-        of = np.repeat(np.arange(len(got)), [len(e.ids) for e in got])
+        of = np.repeat(np.arange(len(got)), [len(e) for e in got])
         numbers = lambda rows: np.fromiter(chain.from_iterable(rows), dtype=np.int64)
         a = byte_at[numbers(chain.from_iterable(e.offsets for e in got)).reshape(-1, 2) + char_base[of][:, None]]
         a_ids = numbers(e.ids for e in got)
         protos = self.b.encode([t[1:] for t in texts], return_type="proto")
         of = np.repeat(np.arange(len(protos)), [len(p.pieces) for p in protos])
-        b = numbers((p.id, p.begin, p.end) for proto in protos for p in proto.pieces).reshape(-1, 3)
+        b = numbers(map(SPAN, chain.from_iterable(p.pieces for p in protos))).reshape(-1, 3)
         gc.enable()
         first = np.concatenate([[True], of[1:] != of[:-1]]) if len(of) else np.zeros(0, dtype=bool)
         # the model's own space is before the first span
@@ -238,13 +248,14 @@ class Aligner:
         """
         cut_up = [self.segments(" " + t) if t else [] for t in texts]
         flat = [s for parts in cut_up for s in parts]
-        known = self.known
-        entries = [known.get(s, -1) for s in flat]
-        if new := list(dict.fromkeys([s for s, e in zip(flat, entries) if e < 0])):
-            found = self.learn(new)
-            known.update((s, e) for s, e in found.items() if len(s) <= LONGEST)
-            entries = [found[s] if e < 0 else e for s, e in zip(flat, entries)]
-        entries, of = np.array(entries, dtype=np.int64), np.repeat(np.arange(len(texts)), [len(p) for p in cut_up])
+        of = np.repeat(np.arange(len(texts)), [len(p) for p in cut_up])
+        entries = np.fromiter(map(self.known.get, flat, repeat(-1)), dtype=np.int64, count=len(flat))
+        missing = np.flatnonzero(entries < 0)
+        if len(missing):
+            unknown = [flat[i] for i in missing.tolist()]
+            found = self.learn(list(dict.fromkeys(unknown)))
+            self.known.update((s, e) for s, e in found.items() if len(s) <= LONGEST)
+            entries[missing] = np.fromiter(map(found.__getitem__, unknown), dtype=np.int64, count=len(unknown))
         uses = np.bincount(entries, minlength=len(self.texts))
         uses[: len(self.uses)] += self.uses
         self.uses = uses
