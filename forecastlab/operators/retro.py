@@ -35,6 +35,12 @@ def join_resolutions_by_event(forecasts: DataFrame, resolutions: DataFrame, per_
     return forecasts.join(last, ["run_id", "event_id"])
 
 
+def attach_trader_profile(positions: DataFrame, profiles: DataFrame, order: list[Column], key: str = "address") -> DataFrame:
+    """positions with the columns of their wallet's first profile in order; those without one stay, with nulls, and none multiplies."""
+    known = first_per_key(profiles.filter(F.col(key).isNotNull()), [key], order)
+    return positions.join(known, key, "left")
+
+
 def join_post_facts(features: DataFrame, facts: DataFrame, rates: list[str]) -> DataFrame:
     """features with each rate's actual value and its divergence from the baseline, null where either is unknown."""
     return features.join(facts, "event_id", "left").withColumns({f"{r}_divergence": F.col(f"{r}_actual") - F.col(f"{r}_baseline") for r in rates})

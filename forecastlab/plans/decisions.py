@@ -124,7 +124,10 @@ query("j12_market_enrichment", f"WITH {BOOK} {SIDE.format('yes', 'bs', 'asz', 'b
     lambda t: M.attach_enrichment(M.both_sides(t("markets")).select("event_id", "market_no", "slug", "side"), _facts(t)).drop("slug")
 )
 query("j14_trader_profile", "SELECT o_orderkey AS position_id, c_acctbal AS edge FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_mktsegment <> 'MACHINERY'", "edge")(
-    lambda t: t("orders").select(c("o_orderkey").alias("position_id"), c("o_custkey").alias("address")).join(t("customer").filter("c_mktsegment <> 'MACHINERY'").select(c("c_custkey").alias("address"), c("c_acctbal").alias("edge")), "address", "left").select("position_id", "edge")
+    lambda t: R.attach_trader_profile(
+        t("orders").select(c("o_orderkey").alias("position_id"), c("o_custkey").alias("address")),
+        t("customer").filter("c_mktsegment <> 'MACHINERY'").select(c("c_custkey").alias("address"), c("c_acctbal").alias("edge"), c("c_name").alias("name")), [c("name"), c("edge")],
+    ).select("position_id", "edge")
 )
 query(
     "j15_event_tier_by_name",

@@ -113,27 +113,54 @@ def _log(t):
 
 
 query("src2_read_forecast_log", LOG, "p")(_log)
-query("src3_read_resolutions", "SELECT slug, CAST(max(won) AS INT) AS outcome FROM forecasts GROUP BY slug")(
-    lambda t: through(t, t("forecasts").groupBy("slug").agg(F.lit(True).alias("settled"), F.max("won").alias("outcome")).coalesce(1), lambda s, p: readers.read_resolutions(s, p), lambda df, path: _as_resolutions(df, path)).select("slug", "outcome")
-)
+LINE = "line_no, event_id, partkey, suppkey, p, day"
+
+
+def _resolutions(t):
+    """Each forecast as a line of its run, in order, in several files a run; a slug's lines of a run are in one file."""
+    lines = t("forecasts").select("run_id", "slug", c("won").isNotNull().alias("settled"), c("won").alias("outcome"), *LINE.split(", "))
+    ordered = lines.repartition("run_id", "slug").sortWithinPartitions("run_id", *LINE.split(", ")).select("run_id", "slug", "settled", "outcome")
+    read = through(t, ordered, readers.read_resolutions, _as_resolutions)
+    return read.select(F.regexp_extract("run", r"^run(\d+)-", 1).cast("long").alias("run_id"), "slug", "settled", "outcome")
 
 
 def _as_resolutions(df, path: str) -> None:
-    """Resolution lines under the name that marks them, by Hadoop's own rename, which any store has."""
-    df.write.json(path)
+    """Resolution lines in a folder a run, under names that mark them, by Hadoop's own rename, which any store has."""
+    df.write.partitionBy("run_id").json(path)
     jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(conf)
-    for i, f in enumerate(x.getPath() for x in fs.listStatus(folder) if x.getPath().getName().startswith("part-")):
-        fs.rename(f, jvm.org.apache.hadoop.fs.Path(folder, f"run{i}.resolutions.jsonl"))
+    fs = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(conf)
+    for i, f in enumerate(x.getPath() for x in fs.globStatus(jvm.org.apache.hadoop.fs.Path(path, "run_id=*/part-*"))):
+        run = f.getParent().getName().partition("=")[2]
+        fs.rename(f, jvm.org.apache.hadoop.fs.Path(f.getParent(), f"run{run}-{i}.resolutions.jsonl"))
 
 
-query("src4_price_history", "SELECT token_id, event_id AS s, p FROM prices WHERE event_id % 5 > 0", "p")(
-    lambda t: readers.explode_history(t("prices").select("token_id", F.array(F.struct(F.when(c("event_id") % 5 > 0, c("event_id").cast("string")).otherwise("x").alias("t"), c("p").cast("string").alias("p"))).alias("history"))).select("token_id", F.unix_seconds("t").alias("s"), "p")
-)
-query("src5_events_snapshot", "SELECT event_id, slug FROM markets")(
-    lambda t: readers.explode_markets(t("markets").groupBy("event_id").agg(F.first("league").alias("title"), F.collect_list(F.struct("slug")).alias("markets"))).select("event_id", "slug")
-)
+query(
+    "src3_read_resolutions",
+    f"SELECT CAST(run_id AS BIGINT) AS run_id, slug, won IS NOT NULL AS settled, CAST(won AS INT) AS outcome FROM (SELECT *, row_number() OVER (PARTITION BY run_id, slug ORDER BY {', '.join(x + ' DESC NULLS LAST' for x in LINE.split(', '))}) AS i FROM forecasts) WHERE i = 1",
+)(_resolutions)
+
+
+def _history(t):
+    """Bundles of a token's points, some of whose times are no numbers."""
+    when = F.when(c("event_id") % 5 > 0, c("event_id").cast("string")).otherwise("x").alias("t")
+    points = t("prices").groupBy("token_id").agg(F.collect_list(F.struct(when, c("p"))).alias("history"))
+    read = through(t, points, lambda spark, path: readers.read_price_history(spark, path, bundled=True), lambda df, path: df.write.json(path))
+    return read.select(c("token_id").cast("long").alias("token_id"), F.unix_seconds("t").alias("s"), "p")
+
+
+query("src4_price_history", "SELECT CAST(token_id AS BIGINT) AS token_id, CAST(event_id AS BIGINT) AS s, p FROM prices WHERE event_id % 5 > 0", "p")(_history)
+
+
+def _snapshot(t):
+    """Pages of events with their markets, one JSON array a file; every eleventh event has none."""
+    market = F.when(c("event_id") % 11 > 0, F.struct("slug", "closed"))
+    found = t("markets").groupBy("event_id").agg(F.max("league").alias("title"), F.collect_list(market).alias("markets"))
+    pages = found.groupBy(F.floor(c("event_id") / 4000).alias("page")).agg(F.to_json(F.collect_list(F.struct("event_id", "title", "markets"))).alias("value"))
+    read = through(t, pages.select("value"), readers.read_events_snapshot, lambda df, path: df.write.option("maxRecordsPerFile", 1).text(path))
+    return read.select("event_id", "title", "slug", "closed")
+
+
+query("src5_events_snapshot", "SELECT CAST(event_id AS BIGINT) AS event_id, league AS title, slug, closed FROM markets WHERE event_id % 11 > 0 UNION ALL SELECT DISTINCT CAST(event_id AS BIGINT), league, CAST(NULL AS VARCHAR), CAST(NULL AS BOOLEAN) FROM markets WHERE event_id % 11 = 0")(_snapshot)
 query("src6_flatten_match", "SELECT match_id, p1, p2, CAST(winner_side AS INT) AS winner_side, nullif(trim(score), '') AS score FROM matches WHERE p2 % 7 > 0 OR winner_side = 1")(
     lambda t: readers.flatten_match(t("matches").select(c("match_id").alias("id"), "tour", F.concat(c("match_date").cast("string"), F.lit("T00:00:00Z")).alias("date"), F.struct(c("p1").alias("id")).alias("player1"), F.struct(c("p2").alias("id")).alias("player2"), F.when(c("winner_side") == 1, c("p1")).when(c("p2") % 7 > 0, c("p2")).otherwise(-1).alias("winner_id"), "score")).select("match_id", "p1", "p2", "winner_side", "score")
 )

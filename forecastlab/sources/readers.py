@@ -38,8 +38,8 @@ def read_forecast_log(spark: SparkSession, path: str, record_type: str = "predic
 
 
 def read_resolutions(spark: SparkSession, path: str) -> DataFrame:
-    """The last line of each run and slug of a folder's resolution files."""
-    raw = spark.read.schema(RESOLUTION).option("columnNameOfCorruptRecord", "_bad").option("pathGlobFilter", "*.resolutions.jsonl").json(path)
+    """The last line of each run and slug of the resolution files of a folder and those inside it."""
+    raw = spark.read.schema(RESOLUTION).option("columnNameOfCorruptRecord", "_bad").option("pathGlobFilter", "*.resolutions.jsonl").option("recursiveFileLookup", True).json(path)
     lines = raw.select("*", F.regexp_replace(F.col("_metadata.file_name"), r"\.resolutions\.jsonl$", ".jsonl").alias("run"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line"))
     good = lines.filter("_bad IS NULL AND slug IS NOT NULL")
     return good.groupBy("run", "slug").agg(F.max_by(F.struct("settled", "outcome"), F.struct("_block", "_line")).alias("r")).select("run", "slug", "r.*")
@@ -50,8 +50,12 @@ def explode_history(df: DataFrame) -> DataFrame:
     return df.select("token_id", F.inline("history")).select("token_id", F.col("t").cast("string").try_cast("double").alias("s"), F.col("p").cast("string").try_cast("double").alias("p")).filter("s IS NOT NULL AND p IS NOT NULL").select("token_id", F.timestamp_seconds("s").alias("t"), "p")
 
 
-def read_price_history(spark: SparkSession, path: str) -> DataFrame:
-    """A folder of one JSON array [{t, p}] a token; the file name is the token."""
+def read_price_history(spark: SparkSession, path: str, bundled: bool = False) -> DataFrame:
+    """A folder of one JSON array [{t, p}] a token, whose file name is the token; bundled: of JSON lines {token_id, history},
+    which many tokens need, as a file for each is small. Lines that cannot be read are left out."""
+    if bundled:
+        lines = spark.read.schema("token_id string, history array<struct<t: string, p: string>>, _bad string").option("columnNameOfCorruptRecord", "_bad").json(path)
+        return explode_history(lines.filter("_bad IS NULL AND token_id IS NOT NULL"))
     raw = spark.read.schema("t string, p string").json(path, multiLine=True)
     named = raw.select(F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", "").alias("token_id"), F.array(F.struct("t", "p")).alias("history"))
     return explode_history(named)

@@ -199,12 +199,24 @@ def test_logs_round_trip(spark, tmp_path):
     history.mkdir()
     (history / "tok.json").write_text('[{"t": 20, "p": 0.5}, {"t": "x", "p": 1}, {"t": 10, "p": "0.25"}]')
     assert sorted((r["token_id"], r["p"]) for r in readers.read_price_history(spark, str(history)).collect()) == [("tok", 0.25), ("tok", 0.5)]
+    lines = tmp_path / "bundles"
+    lines.mkdir()
+    (lines / "a.json").write_text("\n".join(['{"token_id": "k", "history": [{"t": 20, "p": 0.5}, {"t": "x", "p": 1}, {"t": 10, "p": "0.25"}]}', "{bad", '{"history": [{"t": 1, "p": 1}]}', '{"token_id": "n", "history": null}']))
+    assert sorted((r["token_id"], r["p"]) for r in readers.read_price_history(spark, str(lines), bundled=True).collect()) == [("k", 0.25), ("k", 0.5)]
     events = tmp_path / "events"
     events.mkdir()
     (events / "p1.json").write_text('[{"event_id": 1, "title": "t", "markets": [{"slug": "a"}, {"slug": "b"}]}, {"event_id": 2, "title": "u"}]')
     assert sorted((r["event_id"], r["slug"] or "") for r in readers.read_events_snapshot(spark, str(events)).collect()) == [(1, "a"), (1, "b"), (2, "")]
 
 
+def test_trader_profiles_never_multiply(spark):
+    positions = spark.createDataFrame([(1, "w"), (2, "w"), (3, "x"), (4, None)], "position_id long, address string")
+    profiles = spark.createDataFrame([("w", 0.5, 2), ("w", 0.25, 1), (None, 0.9, 0)], "address string, edge double, at int")
+    found = retro.attach_trader_profile(positions, profiles, [F.col("at")])
+    assert sorted((r["position_id"], r["edge"]) for r in found.collect()) == [(1, 0.25), (2, 0.25), (3, None), (4, None)]
+    assert found.filter("edge IS NULL").count() == 2 and retro.attach_trader_profile(positions, profiles.limit(0), [F.col("at")]).count() == 4
+
+
 def test_gates_of_sinks(spark, tmp_path):
     none = spark.createDataFrame([], "event_id long")
     assert not writers.write_dataset(none, str(tmp_path / "d")) and not (tmp_path / "d").exists()
