@@ -104,6 +104,33 @@ def tours_of(league: Column) -> Column:
     return out
 
 
+#: How slugs of tennis events begin after the tour, and the surface; the first six are grand slams, others masters.
+EVENT_SURFACES = {
+    "australian-open": "hard", "aus-open": "hard", "french-open": "clay", "roland-garros": "clay", "wimbledon": "grass", "us-open": "hard",
+    "indian-wells": "hard", "miami-open": "hard", "miami": "hard", "monte-carlo": "clay", "madrid-open": "clay", "madrid": "clay",
+    "italian-open": "clay", "rome-open": "clay", "rome": "clay", "canadian-open": "hard", "canada-open": "hard", "national-bank-open": "hard",
+    "cincinnati-open": "hard", "cincinnati": "hard", "shanghai-masters": "hard", "shanghai": "hard", "paris-masters": "hard", "paris-rolex": "hard",
+}
+GRAND_SLAMS = list(EVENT_SURFACES)[:6]
+
+
+def _event_begins(slug: Column, names: list[str]) -> Column:
+    return slug.rlike("^(atp|wta)-(" + "|".join(names) + ")")
+
+
+def slug_surface(slug: Column) -> Column:
+    """The surface of a known large event of either tour; null for other slugs."""
+    surface = F.lit(None).cast("string")
+    for kind in sorted(set(EVENT_SURFACES.values())):
+        surface = F.when(_event_begins(slug, [name for name, s in EVENT_SURFACES.items() if s == kind]), kind).otherwise(surface)
+    return surface
+
+
+def slug_tier(slug: Column) -> Column:
+    """grand_slam or masters for a known large event of either tour; null for other slugs."""
+    return F.when(_event_begins(slug, GRAND_SLAMS), "grand_slam").when(_event_begins(slug, list(EVENT_SURFACES)), "masters")
+
+
 def latest_year_cells(cells: Column) -> Column:
     """Of a map from year to struct(w, l): the struct of the largest numeric year; null where both are zero."""
     year = F.array_max(F.transform(F.map_keys(cells), lambda k: k.try_cast("int")))

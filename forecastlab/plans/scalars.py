@@ -159,6 +159,23 @@ scalar(
     "f34_slug_predicates", "forecasts", lambda: {"game": X.is_game_event(_SLUG()), "variant": X.is_variant(_SLUG()), "league": X.league_of(_SLUG()), "tours": F.array_join(X.tours_of(X.league_of(_SLUG())), "+")},
     "partkey % 5 <> 0 AS game, partkey % 5 = 0 AS variant, ['atp', 'wta', 'itf', 'epl'][partkey % 4 + 1] AS league, ['atp', 'wta', 'atp+wta', ''][partkey % 4 + 1] AS tours",
 )
+#: Slugs of all known events, and of some that are none, of either tour and of no tour.
+EVENT_NAMES = [*X.EVENT_SURFACES, "adelaide", "open-rome", ""]
+
+
+def _EVENT_SLUG():
+    part = lambda names, at: F.element_at(F.array(*map(F.lit, names)), (at + 1).cast("int"))
+    return F.concat(part(["atp-", "wta-", "itf-"], c("suppkey") % 3), part(EVENT_NAMES, c("partkey") % len(EVENT_NAMES)), F.lit("-2026-x-vs-y"))
+
+
+_NAME, _TOUR = f"{EVENT_NAMES}[partkey % {len(EVENT_NAMES)} + 1]", "suppkey % 3 < 2"
+scalar(
+    "f34_slug_surface_tier", "forecasts", lambda: {"surface": X.slug_surface(_EVENT_SLUG()), "tier": X.slug_tier(_EVENT_SLUG())},
+    f"""CASE WHEN NOT ({_TOUR}) OR {_NAME} IN ('adelaide', 'open-rome', '') THEN NULL WHEN {_NAME} = 'wimbledon' THEN 'grass' WHEN regexp_matches({_NAME}, 'french|roland|monte|madrid|italian|rome') THEN 'clay' ELSE 'hard' END AS surface,
+    CASE WHEN NOT ({_TOUR}) OR {_NAME} IN ('adelaide', 'open-rome', '') THEN NULL WHEN regexp_matches({_NAME}, '^(aus|french|roland|wimbledon|us-)') THEN 'grand_slam' ELSE 'masters' END AS tier""",
+)
+
+
 def _RAW():
     return F.element_at(F.array(*map(F.lit, ['["1","0"]', '["0.0005","0.9995"]', '["0.4","0.6"]', '["0", "1"]', '{"a"', "[]"])), (c("partkey") % 6 + 1).cast("int"))
 _KIND = "partkey % 6"
