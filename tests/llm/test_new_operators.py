@@ -1,6 +1,7 @@
 """Whitening, cross-tokenizer alignment and packing against brute-force versions, on the small tables and on awkward rows."""
 
 import hashlib
+import random
 from collections import Counter, defaultdict
 from fractions import Fraction
 from math import floor
@@ -184,6 +185,16 @@ def test_alignment_awkward(spark, awkward, tokenizers_of):
     assert out["a_ends"] == np.cumsum([len(t) for _, t in at]).tolist() and out["b_ends"] == np.cumsum([len(t) for _, t in bt]).tolist()
 
 
+def test_segments_are_cut_before_plain_spaces():
+    """Quick and careful ways of cutting agree: before each space that follows no white space and has a character after it."""
+    aligner, rng = token_align.Aligner.__new__(token_align.Aligner), random.Random(7)
+    aligner.cut = True
+    for _ in range(3000):
+        text = " " + "".join(rng.choices("ab\n\t\u00a0\u180e\u2581é ", weights=[9, 9, 1, 1, 1, 1, 1, 2, 6], k=rng.randint(1, 14)))
+        ends = [i for i in range(1, len(text) - 1) if text[i] == " " and not text[i - 1].isspace() and text[i - 1] != "\u180e"]
+        assert aligner.segments(text) == [text[x:y] for x, y in zip([0, *ends], [*ends, len(text)])]
+
+
 def test_segments_encode_as_whole_texts(tokenizers_of):
     """Random strings of letters, spaces of many kinds and marks: segments give the ids that whole texts do."""
     rng = np.random.default_rng(8)
