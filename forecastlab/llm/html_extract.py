@@ -31,14 +31,19 @@ _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?
 _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title xmp noembed noframes".split())
-INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
+#: Elements that stand inside a line and never are article text, and those of formulas that only repeat them as source.
+UNSEEN_INLINE = set("svg button canvas input embed annotation annotation-xml".split())
+FOREIGN = {"svg", "annotation", "annotation-xml"}  # <svg/> is closed, <button/> is not
+FORMULA = set("math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle mpadded mphantom menclose msub msup msubsup munder mover munderover mmultiscripts mtable mtr mtd semantics".split())
+INLINE = UNSEEN_INLINE | FORMULA | set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 #: Elements that a new block closes, with what is open inside them.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Elements that open a context of their own: what is open outside is not closed by what opens inside.
 BARRIERS = {"table", "ul", "ol", "article", "section", "div", "body"}
 #: Elements that never are article text.
-DROPPED = set("head nav footer aside form script style noscript template button select option textarea iframe svg math canvas object embed audio video dialog menu title input fieldset datalist map xmp noembed noframes".split())
-#: Words of a class, id or role that mark an element wherever they stand in it, and beginnings of such words, as in commentlist or advertisement2.
+DROPPED = set("head nav footer aside form script style noscript template select option textarea iframe object audio video dialog menu title fieldset datalist map xmp noembed noframes".split())
+#: Words of a class, id or role that mark an element, and beginnings of such words, as in commentlist or advertisement2: wherever
+#: they stand in it, but in an article only where what follows names a place or shape, as in share-buttons and not in cookie-recipe.
 MARKS = set(
     "ad ads adv sponsored promo nav navbar navigation menu menubar sidebar masthead cookie cookies consent gdpr newsletter subscribe subscription signup login share sharing social comment comments disqus toolbar".split()
 )
@@ -48,6 +53,10 @@ WEAK_MARKS = set(
     "banner aside footer header notice alert popup modal overlay dialog related recommended recommendations reply replies discussion widget search form pagination pager copyright contentinfo complementary skip hidden tagcloud respond posts links".split()
 )
 PLACES = set("box block bar list item items container wrapper wrap area section inner outer left right top bottom main row col column panel group site page global primary secondary content site fixed sticky".split())
+#: Words that follow a marking one and leave it what the name is about.
+SHAPES = set("icons icon buttons button link thread form feed count toggle tools tool prompt cta unit slot inline strip ribbon tray text author meta date avatar title label law info policy".split())
+#: A name with one of these tells what an element has or lacks, as in has-sidebar, and not what it is.
+ASIDE_WORDS = {"has", "with", "without", "no"}
 #: Elements that are blocks of text or groups of such, never all of an article.
 TEXTS = set("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table thead tbody tfoot tr td th caption figure figcaption address summary center".split())
 CONTENT = set("article content main post entry story body text".split())
@@ -61,8 +70,12 @@ def is_marked(names: tuple[str, ...], in_article: bool) -> bool:
 @lru_cache(maxsize=65_536)
 def _name_marks(name: str, in_article: bool) -> bool:
     words = _WORDS.findall(name)
-    if any(w in MARKS or w.startswith(MARK_STARTS) for w in words):
-        return True
+    if ASIDE_WORDS.intersection(words):
+        return False
+    marking = [w in MARKS or w.startswith(MARK_STARTS) for w in words]
+    if any(marking):
+        about = max(k for k, m in enumerate(marking) if m)
+        return not in_article or all(w in PLACES or w in SHAPES or w in WEAK_MARKS for w in words[about + 1 :])
     weak = {w for w in words if w in WEAK_MARKS} - ({"header"} if in_article else set())
     return bool(weak - {"posts", "links"}) and all(w in WEAK_MARKS or w in PLACES for w in words)
 
@@ -307,7 +320,7 @@ def read(page: str) -> Page:
             continue
         if muted:
             if not closing:
-                ends_outer = name not in INLINE and muted[-1] in INLINE and any(n in stack[-1].closable for n in ("p", *CLOSES.get(name, ())))
+                ends_outer = name not in INLINE and muted[-1] in INLINE and muted[0] not in UNSEEN_INLINE and any(n in stack[-1].closable for n in ("p", *CLOSES.get(name, ())))
                 if not ends_outer:
                     if name not in VOID:
                         muted.append(name)
@@ -337,10 +350,10 @@ def read(page: str) -> Page:
             continue
         own = _attributes(raw)
         names = tuple(n for k in ("class", "id", "role") if k in own for n in own[k].lower().split())
-        unseen = "hidden" in own or own.get("aria-hidden") == "true" or "style" in own and _UNSEEN.search(own["style"]) is not None
+        unseen = name in UNSEEN_INLINE or "hidden" in own or own.get("aria-hidden") == "true" or "style" in own and _UNSEEN.search(own["style"]) is not None
         in_article = opened["article"] + opened["main"] > 0
         if name in INLINE:
-            if name not in VOID and (unseen or is_marked(names, in_article)):
+            if name not in VOID and not (name in FOREIGN and raw.endswith("/")) and (unseen or is_marked(names, in_article)):
                 muted.append(name)
                 inside[name] += 1
             continue
@@ -351,7 +364,7 @@ def read(page: str) -> Page:
         if k:
             close(k)
         top = stack[-1]
-        key = name + "".join("." + _DIGITS.sub("0", w) for w in sorted(own.get("class", "").lower().split())[:3])
+        key = name + "".join("." + _DIGITS.sub("0", w) for w in sorted(own.get("class", "").lower().split()))
         whole = name in ("html", "body", "main", "article")
         dropped = name in DROPPED or unseen or name == "header" and not in_article
         closable = {} if name in BARRIERS else {**top.closable, name: len(stack)} if name in CLOSABLE else top.closable
@@ -424,11 +437,12 @@ def profile(wrapper: Node, pages: int) -> list[list[str]]:
 def main_text(page: str, roots: list[list[str]]) -> str:
     """The page's blocks below the content elements that are neither in dropped nor in marked elements; joined by newlines.
 
-    A page without such blocks is judged by its own wrapper, then without marks: so one that differs from its host keeps its text.
+    A page without such blocks is judged by its own wrapper, so one that differs from its host keeps its text; one that has
+    nothing but dropped and marked elements has none.
     """
     own = read(page)
 
-    def below(paths: list[list[str]], marks: bool) -> list[str]:
+    def below(paths: list[list[str]]) -> list[str]:
         tree: dict = {}
         for keys in paths:
             at = tree
@@ -439,12 +453,9 @@ def main_text(page: str, roots: list[list[str]]) -> str:
         for parent, key in zip(own.parents[1:], own.keys[1:]):
             here = state[parent]
             state.append(here if here is None or None in here else here.get(key, _NOWHERE))
-        return [t for e, t, dropped, marked in own.blocks if None in state[e] and not dropped and not (marked and marks)]
+        return [t for e, t, dropped, marked in own.blocks if None in state[e] and not dropped and not marked]
 
-    if kept := below(roots, True):
-        return "\n".join(kept)
-    mine = profile(own.wrapper, 1)
-    return "\n".join(below(mine, True) or below(mine, False))
+    return "\n".join(below(roots) or below(profile(own.wrapper, 1)))
 
 
 _NOWHERE: dict = {}

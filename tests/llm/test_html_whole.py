@@ -72,3 +72,43 @@ def test_html_wrappers_round_trip():
 def test_html_names_and_inline_marks(spark, n, inside, text):
     got = text_of(spark, f"<body><nav>m</nav><article><h1>T</h1>{inside}</article><footer>f</footer></body>", n)
     assert got == {i: "T\n" + text.format(i=i) for i in range(n)}
+
+
+@pytest.mark.parametrize("name", "cookie-recipe navigation-history login-guide subscription-model promo-code social-history sidebar-note has-sidebar with-comments".split())
+def test_html_names_about_something_else_keep_their_text(spark, name):
+    html = f"<body><nav>m</nav><article><h1>T</h1><section class='{name}'><p>r %(i)s</p></section></article></body>"
+    assert text_of(spark, html, 3) == {i: f"T\nr {i} text" for i in range(3)}
+
+
+@pytest.mark.parametrize("name", "cookie-banner share-buttons post-comments comment-thread comment-17 newsletter-signup-form social-links ad-slot ads navbar-inner comment-author".split())
+def test_html_names_of_marked_parts_in_articles(spark, name):
+    html = f"<body><nav>m</nav><article><h1>T</h1><section class='{name}'><p>r %(i)s</p></section><p>b</p></article></body>"
+    assert text_of(spark, html, 3) == {i: "T\nb" for i in range(3)}
+
+
+@pytest.mark.parametrize("n", [1, 3])
+@pytest.mark.parametrize("html", [
+    "<body><div class='sidebar'>side %(i)s</div></body>", "<body><div class='comments'><p>c %(i)s</p></div></body>", "<nav>m %(i)s</nav><footer>f</footer>", "<body><article><div class='comments'>c %(i)s</div></article></body>",
+    "<script>var t = '%(i)s'</script>",
+])
+def test_html_of_marked_parts_alone_has_no_text(spark, n, html):
+    assert text_of(spark, html, n) == {i: "" for i in range(n)}
+
+
+@pytest.mark.parametrize("line,text", [
+    ("the sum <math><mi>a</mi><mo>+</mo><semantics><mn>1</mn><annotation>a+1</annotation></semantics></math> is %(i)s", "the sum a+1 is {i} text"),
+    ("a <svg class='x'><path d='M0'/><text>icon</text></svg>b <button>press</button>%(i)s<canvas>old</canvas> end", "a b {i} text end"), ("a <svg/>%(i)s", "a {i} text"), ("a <input value='v'>%(i)s <embed src='x'>end", "a {i} text end"),
+])
+def test_html_formulas_and_unseen_parts_stay_inside_their_line(spark, line, text):
+    assert text_of(spark, f"<body><article><p>{line}</p></article></body>", 2) == {i: text.format(i=i) for i in range(2)}
+
+
+def test_html_fourth_class_counts(spark):
+    html = "<body><div class='a b c w'><p>x %(i)s</p></div><div class='a b c sidebar'><p>y %(i)s</p></div></body>"
+    assert text_of(spark, html, 3) == {i: f"x {i} text" for i in range(3)}
+
+
+def test_html_repeated_pages_of_a_host(spark):
+    rows = [(1, "http://a.example/1", "<body><nav>m</nav><div class='x'><p>one</p></div></body>")] * 4 + [(2, "http://a.example/2", None), (None, None, "<p>z</p>")]
+    got = [tuple(r)[:3] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()]
+    assert sorted(got, key=str) == sorted([(1, "http://a.example/1", "one")] * 4 + [(2, "http://a.example/2", ""), (None, None, "z")], key=str)
