@@ -45,28 +45,41 @@ def _symmetric(t):
     return M.predict_symmetric(M.predict(M.train_linear_model(train, FEATURES), holdout, FEATURES))
 
 
+def prepared(t):
+    """The training rows and the later ones, of all features, as vectors that all fits of a query read."""
+    train, _, holdout = table(t)
+    return M.prepare({"train": train, "holdout": holdout}, shared(t), FEATURES, CATEGORIES)
+
+
 @query("m6_bag")
 def _bag(t):
-    train, _, holdout = table(t)
-    return M.bag(train, holdout, FEATURES, [1, 2, 3, 4, 5], trees=3, depth=3).select("match_id", "anchor", "q")
+    return M.bag(prepared(t), "holdout", [42, 43, 44, 45, 46], trees=5, depth=4).select("match_id", "anchor", "q")
+
+
+ALL = [*FEATURES, *CATEGORIES]
+ABLATIONS = {
+    "all": ALL, "no categories": FEATURES, "no rank": [f for f in ALL if "rank" not in f], "no elo": [f for f in ALL if "elo" not in f], "no h2h": [f for f in ALL if "h2h" not in f],
+    "form": ["last_5_diff", "last_10_diff", "last_25_diff"],
+}
 
 
 @query("m7_ablate")
 def _ablate(t):
-    train, _, holdout = table(t)
-    return M.ablate(train, holdout, {"all": FEATURES, "no rank": [f for f in FEATURES if not f.startswith("rank")], "form": ["last_5_diff", "last_10_diff", "last_25_diff"]}, trees=5, depth=3)
+    return M.ablate(prepared(t), "holdout", ABLATIONS, trees=5, depth=3)
+
+
+#: Three values of each of four settings: 81 points.
+GRID = {"depth": [2, 3, 4], "rate": [0.03, 0.1, 0.3], "least": [1, 10, 50], "subsample": [0.6, 0.8, 1.0]}
 
 
 @query("m7_grid_search")
 def _grid(t):
-    train, _, holdout = table(t)
-    return M.grid_search(train, holdout, FEATURES, [2, 3], [0.1, 0.3], trees=3)
+    return M.grid_search(prepared(t), "holdout", GRID, trees=3)
 
 
 @query("m8_learning_curve")
 def _curve(t):
-    train, _, holdout = table(t)
-    return M.learning_curve(train, holdout, FEATURES, [0.25, 0.5, 1.0], trees=5, depth=3)
+    return M.learning_curve(prepared(t), "holdout", [0.1, 0.25, 0.5, 0.75, 1.0], trees=5, depth=3)
 
 
 @query("m10_feature_importance")
