@@ -55,9 +55,13 @@ def grams(host: str, path: str, bits: int, sizes: tuple[int, ...] = (3, 4, 5)) -
 
 
 @cache
-def train(bits: int = 14, rounds: int = 400, rate: float = 0.5, decay: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Weights and bias by gradient descent on the logistic loss over the labelled URL table, which is small and fixed."""
-    table = url_table()
+def train() -> tuple[np.ndarray, float]:
+    """The model of the labelled URL table above."""
+    return fit(url_table())
+
+
+def fit(table: list[tuple[str, str, int]], bits: int = 14, rounds: int = 400, rate: float = 0.5, decay: float = 1e-3) -> tuple[np.ndarray, float]:
+    """Weights and bias by gradient descent on the logistic loss over a small table of host, path and label (1: block)."""
     rows = [grams(h, p, bits) for h, p, _ in table]
     y = np.array([label for *_, label in table], dtype=float)
     scale = np.array([1 / np.sqrt(max(1, len(r))) for r in rows])
@@ -79,21 +83,22 @@ def score(host: str, path: str, model: tuple[np.ndarray, float], bits: int = 14)
     return float(1 / (1 + np.exp(-(model[0][at].sum() / np.sqrt(max(1, len(at))) + model[1]))))
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, threshold: float = 0.5) -> DataFrame:
+def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, threshold: float = 0.5, labelled: list[tuple[str, str, int]] | None = None) -> DataFrame:
     """One row for each row of pages (page_id, url): page_id, host, path, rule, verdict, block_score.
 
-    The verdict is that of the longest rule that fits, else block where block_score is at least the threshold. Null
+    The verdict is that of the longest rule that fits, else block where block_score is at least the threshold. The model is
+    fitted once, on the driver, from labelled (host, path, 1 to block; by default url_table) and broadcast: 128 KB. Null
     URLs and those without :// have an empty host and path, which no rule fits and the model scores like any other. An
-    empty table gives an empty result; other columns of pages are not looked at. Only the URL is read.
+    empty table gives an empty result, repeated rows have a row each; other columns of pages are not looked at. Only the URL is read.
     """
+    model = pages.sparkSession.sparkContext.broadcast(train() if labelled is None else fit(labelled))
     host, path = host_path(F.col("url"))
     parts = pages.select(F.col("page_id").cast("long"), F.coalesce(F.col("url"), F.lit("")).alias("url")).select("page_id", host.alias("host"), path.alias("path"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = train()
         for batch in batches:
             for part in slices(batch, 2048):
-                scores = [score(h, p, model) for h, p in zip(part.column(1).to_pylist(), part.column(2).to_pylist())]
+                scores = [score(h, p, model.value) for h, p in zip(part.column(1).to_pylist(), part.column(2).to_pylist())]
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(3)), pa.array(scores, pa.float64())], ["page_id", "host", "path", "block_score"])
 
     scored = parts.mapInArrow(run, "page_id long, host string, path string, block_score double")
