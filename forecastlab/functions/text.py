@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from decimal import Decimal
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Latin letters with marks, and the letters without: what canonical decomposition would leave (fixed values).
@@ -15,6 +17,22 @@ def normalize_name(s: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(F.translate(F.lower(s), ACCENTED, PLAIN), "-", " "), r"\s+", " "))
 
 
+def fixed(x: Column, places: int) -> Column:
+    """x with so many decimals, as printf writes it: by the exact binary value, ties to even.
+
+    format_number and format_string round the shortest decimal that means x, so 0.0005, a little above a tie in binary,
+    becomes 0.000 in one, and 0.0625, a tie, 0.063 in the other. The fraction's first 62 bits are counted as integers.
+    """
+    size, scale, unit = F.abs(x), 10**places, Decimal(2**62)
+    counted = ((size - F.floor(size)) * float(2**62)).cast("long").cast("decimal(19,0)") * F.lit(Decimal(scale))
+    rest = counted % F.lit(unit)
+    low = ((counted - rest) / F.lit(unit)).cast("long")
+    up = F.when((rest * 2 > F.lit(unit)) | ((rest * 2 == F.lit(unit)) & (low % 2 == 1)), 1).otherwise(0)
+    total = F.floor(size) * scale + low + up
+    whole = F.concat(F.when(x < 0, "-").otherwise(""), F.floor(total / scale).cast("string"))
+    return F.concat(whole, F.lit("."), F.lpad((total % scale).cast("string"), places, "0")) if places else whole
+
+
 def surname_candidates(name: Column) -> Column:
     """The last token, and of three or more also the last but one; letters and digits only."""
     tokens = F.filter(F.split(normalize_name(name), " "), lambda t: t != "")
@@ -41,10 +59,20 @@ def parse_h2h_title(title: Column) -> Column:
 def win_pct_from_record(record: Column) -> Column:
     """The win share of 'W-L' or 'W-L-T', ties counting half; null where it cannot be read or has no games."""
     part = lambda k: F.regexp_extract(record, r"^\s*(\d+)-(\d+)(?:-(\d+))?\s*$", k).try_cast("int")
-    w, losses, t = part(1), part(2), F.coalesce(part(3), F.lit(0))
+    return win_pct(part(1), part(2), F.coalesce(part(3), F.lit(0)))
+
+
+def win_pct(w: Column, losses: Column, t: Column) -> Column:
     return F.when(w + losses + t > 0, (w + 0.5 * t) / (w + losses + t))
 
 
+def with_win_pct(df: DataFrame, record: str, out: str) -> DataFrame:
+    """df with win_pct_from_record of a column: its parts are columns first, so that each is matched once a row."""
+    part = lambda k: F.regexp_extract(record, r"^\s*(\d+)-(\d+)(?:-(\d+))?\s*$", k).try_cast("int")
+    split = df.withColumns({"_w": part(1), "_l": part(2), "_t": F.coalesce(part(3), F.lit(0))})
+    return split.withColumn(out, win_pct(F.col("_w"), F.col("_l"), F.col("_t"))).drop("_w", "_l", "_t")
+
+
 def is_placeholder_record(record: Column) -> Column:
     return record.isin("0-0", "0-0-0")
 

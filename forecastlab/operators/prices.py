@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from forecastlab.functions.text import fixed
+
 from .asof import asof_price, nearest_within
 from .long_streams import numbered, with_previous
 from .quantiles import exact_quantiles
@@ -34,7 +36,7 @@ def sparkline(points: DataFrame, n: int = 5, invert: bool = False) -> DataFrame:
     p = 1 - F.col("p") if invert else F.col("p")
     step = (F.col("_n") - 1) / (n - 1)
     chosen = F.array_contains(F.array(*[F.bround(step * i).cast("long") for i in range(n)]), F.col("_i")) | (F.col("_n") <= n)
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_i", F.format_number(p, 3).alias("s")))), lambda x: x["s"]), "→")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_i", fixed(p, 3).alias("s")))), lambda x: x["s"]), "→")
     return placed.filter(chosen).groupBy("token_id").agg(text.alias("line"))
 
 
