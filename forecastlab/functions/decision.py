@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed values of the grading rules.
@@ -76,7 +76,11 @@ def divergence_label(gap: Column) -> Column:
 
 
 def classify_ev(p: Column, m: Column) -> Column:
-    return F.coalesce(ladder(ev_per_dollar(p, m), [(0.30, "Prime"), (0.15, "Edge"), (0.0, "Thin")], "Negative"), F.lit("Unrated"))
+    return ev_grade(ev_per_dollar(p, m))
+
+
+def ev_grade(ev: Column) -> Column:
+    return F.coalesce(ladder(ev, [(0.30, "Prime"), (0.15, "Edge"), (0.0, "Thin")], "Negative"), F.lit("Unrated"))
 
 
 def gap_decay(gap: Column, p: Column, scales: tuple[float, float, float] = GAP_SCALES) -> Column:
@@ -85,18 +89,40 @@ def gap_decay(gap: Column, p: Column, scales: tuple[float, float, float] = GAP_S
     return F.when(gap.isNotNull() & p.isNotNull(), clip(1 - off(-gap, neg) - off(gap, pos) - off(0.5 - (p - gap), apart), 0.0, 1.0))
 
 
+def turned(gap: Column, is_a: Column) -> Column:
+    return F.when(is_a, gap).otherwise(-gap)
+
+
 def risk_score(p: Column, defens: Column, gap_market: Column, is_a: Column, temperature: float, gap_model: Column) -> Column:
-    """The weighted mean of the terms that are known; null without a defensibility score."""
-    turned = lambda gap: F.when(is_a, gap).otherwise(-gap)
-    terms = {
+    """The weighted mean of the terms that are known; null without a defensibility score. For tables see with_risk."""
+    return risk_mean(defens, {
         "magnitude": clip(apply_temperature(p, temperature), 0.0, 1.0), "defensibility": clip(defens, 0.0, 1.0),
-        "market": gap_decay(turned(gap_market), p), "model": gap_decay(turned(gap_model), p),
-    }
+        "market": gap_decay(turned(gap_market, is_a), p), "model": gap_decay(turned(gap_model, is_a), p),
+    })
+
+
+def risk_mean(defens: Column, terms: dict[str, Column]) -> Column:
     weight = {k: F.when(v.isNotNull(), RISK_WEIGHTS[k]).otherwise(0.0) for k, v in terms.items()}
     add = lambda xs: reduce(Column.__add__, xs)
     return F.when(defens.isNotNull(), add([F.coalesce(v * RISK_WEIGHTS[k], F.lit(0.0)) for k, v in terms.items()]) / add(list(weight.values())))
 
 
+def with_risk(df: DataFrame, temperature: float, score: str = "score", bucket: str = "risk_bucket") -> DataFrame:
+    """df (p, defens, gap_market, gap_model, is_a) with risk_score and its bucket.
+
+    Every step is a column that the next one names, for a term that is written out wherever it is used, once for being
+    known and once for its value, doubles with every step, to code too long to be compiled.
+    """
+    c = F.col
+    steps = [
+        {"_heat": apply_temperature(c("p"), temperature), "_market": turned(c("gap_market"), c("is_a")), "_model": turned(c("gap_model"), c("is_a"))},
+        {"_heat": clip(c("_heat"), 0.0, 1.0), "_defens": clip(c("defens"), 0.0, 1.0), "_market": gap_decay(c("_market"), c("p")), "_model": gap_decay(c("_model"), c("p"))},
+        {score: risk_mean(c("defens"), {"magnitude": c("_heat"), "defensibility": c("_defens"), "market": c("_market"), "model": c("_model")})},
+        {bucket: risk_bucket(c(score))},
+    ]
+    return reduce(DataFrame.withColumns, steps, df).drop("_heat", "_defens", "_market", "_model")
+
+
 def risk_bucket(score: Column) -> Column:
     return F.coalesce(ladder(score, [(0.75, "Lock"), (0.60, "Lean"), (0.45, "Coin-flip")], "Avoid"), F.lit("Unrated"))
 
@@ -104,7 +130,7 @@ def risk_bucket(score: Column) -> Column:
 def bucket_rank(bucket: Column, order: list[str]) -> Column:
     """The bucket's place in order; unknown ones come last."""
     at = F.array_position(F.array(*map(F.lit, order)), bucket)
-    return F.when(at > 0, at - 1).otherwise(len(order)).cast("int")
+    return F.coalesce((at + F.lit(len(order))) % (len(order) + 1), F.lit(len(order))).cast("int")  # 0, for none, becomes the last
 
 
 def ev_retro_bucket(ev: Column) -> Column:

@@ -55,13 +55,18 @@ TURN = {g: f"(CASE WHEN is_a THEN {g} ELSE -{g} END)" for g in ("gap_market", "g
 RISK = f"""CASE WHEN defens IS NOT NULL THEN (0.4 * ({TEMPERED}) + 0.25 * greatest(0, least(1, defens)) + coalesce(0.15 * ({decay_sql(TURN['gap_market'])}), 0) + coalesce(0.2 * ({decay_sql(TURN['gap_model'])}), 0))
     / (0.65 + CASE WHEN gap_market IS NULL THEN 0 ELSE 0.15 END + CASE WHEN gap_model IS NULL THEN 0 ELSE 0.2 END) END"""
 RISK_GRADE = f"CASE WHEN ({RISK}) IS NULL THEN 'Unrated' WHEN ({RISK}) >= .75 THEN 'Lock' WHEN ({RISK}) >= .6 THEN 'Lean' WHEN ({RISK}) >= .45 THEN 'Coin-flip' ELSE 'Avoid' END"
-def _risk():
-    return D.risk_score(c("p"), c("defens"), c("gap_market"), c("is_a"), 1.6, c("gap_model"))
-scalar("f12_classify_risk", "forecasts", lambda: {"score": _risk(), "bucket": D.risk_bucket(_risk())}, f"{RISK} AS score, {RISK_GRADE} AS bucket", "score")
-scalar(
-    "f13_bucket_rank", "forecasts", lambda: {"risk_rank": D.bucket_rank(D.risk_bucket(_risk()), D.RISK_BUCKETS), "ev_rank": D.bucket_rank(D.classify_ev(c("p"), c("m")), D.EV_BUCKETS)},
-    f"CAST(list_position(['Lock', 'Lean', 'Coin-flip', 'Avoid', 'Unrated'], {RISK_GRADE}) - 1 AS INT) AS risk_rank, CAST(list_position(['Prime', 'Edge', 'Thin', 'Negative', 'Unrated'], {EV_GRADE}) - 1 AS INT) AS ev_rank",
-)
+query("f12_classify_risk", f"SELECT event_id, {RISK} AS score, {RISK_GRADE} AS bucket FROM forecasts", "score")(lambda t: D.with_risk(t("forecasts"), 1.6, bucket="bucket").select("event_id", "score", "bucket"))
+
+
+def graded(t):
+    """Forecasts with their risk and value grades."""
+    return D.with_risk(t("forecasts"), 1.6).withColumn("ev", D.ev_per_dollar(c("p"), c("m"))).withColumn("ev_bucket", D.ev_grade(c("ev"))).drop("ev")
+
+
+query(
+    "f13_bucket_rank",
+    f"SELECT event_id, CAST(list_position(['Lock', 'Lean', 'Coin-flip', 'Avoid', 'Unrated'], {RISK_GRADE}) - 1 AS INT) AS risk_rank, CAST(list_position(['Prime', 'Edge', 'Thin', 'Negative', 'Unrated'], {EV_GRADE}) - 1 AS INT) AS ev_rank FROM forecasts",
+)(lambda t: graded(t).select("event_id", D.bucket_rank(c("risk_bucket"), D.RISK_BUCKETS).alias("risk_rank"), D.bucket_rank(c("ev_bucket"), D.EV_BUCKETS).alias("ev_rank")))
 RETRO = f"CASE WHEN {EV} IS NULL THEN 'no_ev' WHEN {EV} >= .5 THEN '50%+' WHEN {EV} >= .3 THEN '30-50%' WHEN {EV} >= .15 THEN '15-30%' WHEN {EV} >= 0 THEN '0-15%' ELSE 'negative' END"
 scalar("f14_ev_retro_bucket", "forecasts", lambda: {"bucket": D.ev_retro_bucket(D.ev_per_dollar(c("p"), c("m")))}, f"{RETRO} AS bucket")
 def NOTABLE():
