@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from forecastlab.functions.decision import mid
-from forecastlab.functions.text import is_variant, normalize_name, parse_h2h_title, win_pct_from_record
+from forecastlab.functions.text import is_variant, normalize_name, parse_h2h_title, with_win_pct
 
 
 #: Columns of a market that change places on its NO side, those that describe the YES session, and nested quotes.
@@ -100,8 +100,8 @@ def listing_filter(markets: DataFrame) -> DataFrame:
 
 def record_spread(markets: DataFrame) -> DataFrame:
     """The gap between the best and worst win share of an event's sides; null with fewer than two."""
-    wp = win_pct_from_record(F.col("record"))
-    return markets.groupBy("event_id").agg(F.when(F.count(wp) >= 2, F.max(wp) - F.min(wp)).alias("spread"))
+    wp = F.col("_wp")
+    return with_win_pct(markets, "record", "_wp").groupBy("event_id").agg(F.when(F.count(wp) >= 2, F.max(wp) - F.min(wp)).alias("spread"))
 
 
 def attach_by_slug(markets: DataFrame, facts: DataFrame, key: str = "slug") -> DataFrame:
