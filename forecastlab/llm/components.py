@@ -26,10 +26,10 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if settled:
             break
         large = join_few_or_hot(both, least, "a", "n", n, top).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        down = cut(_few(large.distinct(), n))
+        down = cut(few(large.distinct(), n))
         least, n, top, _ = _least(down, n)
         small = join_few_or_hot(down, least, "a", "n", n, top)
-        now = cut(_few(_pairs_of(small, ("b", "m"), ("a", "m")).filter("a != b").distinct(), n))
+        now = cut(few(_pairs_of(small, ("b", "m"), ("a", "m")).filter("a != b").distinct(), n))
     else:
         raise RuntimeError("components did not settle")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
@@ -41,14 +41,14 @@ def _pairs_of(rows: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
     return rows.select(F.inline(F.array(*[pair(*p) for p in pairs])))
 
 
-def _few(rows: DataFrame, n: int | None) -> DataFrame:
+def few(rows: DataFrame, n: int | None) -> DataFrame:
     """rows, of which there are about n, in no more partitions than have PER_TASK each; as they are where n is not known."""
     return rows if n is None else rows.coalesce(max(1, -(-n // PER_TASK)))
 
 
 def _least(edges: DataFrame, about: int | None) -> tuple[DataFrame, int, int, bool]:
     """a, m (the smallest of a and its neighbours b), n (their number); the number of edges, the largest n, and whether no node has a smaller neighbour and others."""
-    least = cut(_few(edges.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count("*").alias("n")), about))
+    least = cut(few(edges.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count("*").alias("n")), about))
     open_: Column = (F.col("m") < F.col("a")) & (F.col("n") > 1)
     n, top, open_nodes = least.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0)), F.count_if(open_)).first()
     return least, n, top, open_nodes == 0

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
 from .common import arrow_batches, cut, join_few, slices
-from .components import components
+from .components import components, few
 from .simhash import _LOWER, keep_firsts, text_mark
 
 #: Words in a shingle; least similarity in fifths (four of five shingles in common).
@@ -196,6 +196,43 @@ def candidates(nodes: DataFrame, most: int | None, crowd: int = 4096, load: Data
     rows is cut into a grid of cells of at most crowd homes and guests each. load may be of the same nodes in an
     earlier round.
     """
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(_compared(frame, most), columns=["guest", "home", "apart", "lead", "besides"])
+
+    return _cells(nodes, crowd, load).groupBy("cell").applyInPandas(compare, "guest long, home long, apart long, lead long, besides long")
+
+
+_FIRSTS = ["guest", "nearest", "apart", "leader", "lead", "low", "high", "besides"]
+
+
+def firsts(nodes: DataFrame, crowd: int = 4096) -> DataFrame:
+    """Of candidates with most = 1 a row for each guest of a cell: its nearest and its leading home there, how far apart
+    and with which lead, the least and the greatest home, and the most besides. So a group of many near texts makes no
+    more rows than its texts visit cells."""
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        found = _compared(frame, 1)
+        guest, home, apart, lead, besides = found.T
+        nearest, leading = np.lexsort((home, apart, guest)), np.lexsort((home, lead, guest))
+        at = np.flatnonzero(np.diff(guest[nearest], prepend=guest[nearest][:1] - 1))
+        a, b, (homes, more) = nearest[at], leading[at], found[nearest][:, [1, 4]].T
+        ends = [np.minimum.reduceat(homes, at), np.maximum.reduceat(homes, at), np.maximum.reduceat(more, at)] if len(at) else [home, home, besides]
+        return pd.DataFrame(dict(zip(_FIRSTS, [guest[a], home[a], apart[a], home[b], lead[b], *ends])))
+
+    return _cells(nodes, crowd).groupBy("cell").applyInPandas(compare, ", ".join(f"{k} long" for k in _FIRSTS))
+
+
+def _compared(frame: pd.DataFrame, most: int | None) -> np.ndarray:
+    """The distinct rows of _pairs over the anchors of a cell."""
+    rows = np.frombuffer(b"".join(frame["rows"]), dtype=_ROW)
+    rows = rows[np.argsort(rows["anchor"], kind="stable")]
+    ends = [*(np.flatnonzero(np.diff(rows["anchor"])) + 1).tolist(), len(rows)]
+    return np.unique(np.concatenate([_pairs(rows[a:b], most) for a, b in zip([0, *ends], ends)]), axis=0)
+
+
+def _cells(nodes: DataFrame, crowd: int, load: DataFrame | None = None) -> DataFrame:
+    """cell, rows: the nodes that meet in a cell, by anchor (see candidates)."""
     nodes, load = nodes.select(_NODE), load or anchor_load(nodes)
     pages = max(1, min(ANCHORS, load.agg(F.coalesce(F.sum(F.col("n") + F.col("homes")), F.lit(0))).first()[0] // 16_384))
     crowded = [(r["anchor"], max(1, -(-r["homes"] // crowd)), max(1, -(-r["n"] // crowd))) for r in load.filter(F.col("n") + F.col("homes") > crowd).orderBy("anchor").collect()]  # at most ANCHORS rows
@@ -225,13 +262,7 @@ def candidates(nodes: DataFrame, most: int | None, crowd: int = 4096, load: Data
                 ends = np.append(begins[1:], len(cell))
                 yield pa.RecordBatch.from_arrays([pa.array(cell[begins]), pa.array([out[a:b].tobytes() for a, b in zip(begins, ends)], pa.binary())], ["cell", "rows"])
 
-    def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        rows = np.frombuffer(b"".join(frame["rows"]), dtype=_ROW)
-        rows = rows[np.argsort(rows["anchor"], kind="stable")]
-        ends = [*(np.flatnonzero(np.diff(rows["anchor"])) + 1).tolist(), len(rows)]
-        return pd.DataFrame(np.concatenate([_pairs(rows[a:b], most) for a, b in zip([0, *ends], ends)]), columns=["guest", "home", "apart", "lead", "besides"]).drop_duplicates()
-
-    return nodes.mapInArrow(deal, "cell long, rows binary").groupBy("cell").applyInPandas(compare, "guest long, home long, apart long, lead long, besides long")
+    return nodes.mapInArrow(deal, "cell long, rows binary")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, hot: int = 20_000) -> DataFrame:
@@ -260,11 +291,11 @@ def confirmed(pairs: DataFrame, sets: DataFrame, hot: int = 20_000) -> DataFrame
     return both.select("guest", "home", "guest_set", "home_set").mapInArrow(run, "guest long, home long")
 
 
-def _one_each(found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of each node's candidates over all its anchors the nearest and the leading one as pairs (guest, home); and all nodes with candidates: needed, more."""
-    best = cut(found.groupBy("guest").agg(
-        F.min_by("home", F.struct("apart", "home")).alias("nearest"), F.min_by("home", F.struct("lead", "home")).alias("leader"), F.min("home").alias("low"), F.max("home").alias("high"), F.max("besides").alias("besides")
-    ))
+def _one_each(found: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """Of each of n nodes' candidates over all its cells (see firsts) the nearest and the leading one as pairs (guest, home); and all nodes with candidates: needed, more."""
+    best = cut(few(found.groupBy("guest").agg(
+        F.min_by("nearest", F.struct("apart", "nearest")).alias("nearest"), F.min_by("leader", F.struct("lead", "leader")).alias("leader"), F.min("low").alias("low"), F.max("high").alias("high"), F.max("besides").alias("besides")
+    ), n))
     pairs = best.select(F.explode(F.array_distinct(F.array("nearest", "leader"))).alias("home"), "guest").select(F.least("guest", "home").alias("guest"), F.greatest("guest", "home").alias("home")).distinct()
     return pairs, best.select(F.col("guest").alias("needed"), ((F.col("besides") > 0) | (F.col("low") != F.col("high"))).alias("more"))
 
@@ -343,14 +374,14 @@ def _links_between(rows: DataFrame, nodes: DataFrame, sets: DataFrame, block: in
     return both.mapInArrow(run, "guest long, home long")
 
 
-def _merged(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """nodes with the labels of the components that links (guest, home) make of theirs."""
+def _merged(nodes: DataFrame, links: DataFrame, n: int) -> DataFrame:
+    """n nodes with the labels of the components that links (guest, home) make of theirs."""
     good = cut(links)
     if good.isEmpty():
         return nodes
     of = lambda side: nodes.select(F.col("node").alias(side), F.col("label").alias(f"label_{side}"))
     roots = components(good.join(of("guest"), "guest").join(of("home"), "home").select(F.col("label_guest").alias("a"), F.col("label_home").alias("b")))
-    return cut(nodes.join(roots.select(F.col("node").alias("label"), "root"), "label", "left").select("node", F.coalesce("root", "label").alias("label")))
+    return cut(few(nodes.join(roots.select(F.col("node").alias("label"), "root"), "label", "left").select("node", F.coalesce("root", "label").alias("label")), n))
 
 
 def near_roots(docs: DataFrame) -> DataFrame:
@@ -363,15 +394,16 @@ def near_roots(docs: DataFrame) -> DataFrame:
     texts of one that was not tested both have more: none goes untested unless it cannot be near or is in one component.
     """
     nodes = cut(fingerprints(docs).withColumn("label", F.col("node")))
-    pairs, involved = _one_each(cut(candidates(nodes.withColumn("asks", F.lit(True)), 1)))
-    nodes = nodes.select("node", "label")
+    n = nodes.count()
+    pairs, involved = _one_each(firsts(few(nodes, 4 * n).withColumn("asks", F.lit(True))), n)
+    nodes = cut(few(nodes.select("node", "label"), n))
     sets = shingle_sets(docs, involved)
-    nodes = _merged(nodes, confirmed(cut(pairs), sets))
+    nodes = _merged(nodes, confirmed(cut(few(pairs, 2 * n)), sets), n)
     more = involved.filter("more").select(F.col("needed").alias("node"))
     if not more.isEmpty():
         rows = prefixes(sets.join(more, "node", "left_semi"))
-        nodes = _merged(nodes, confirmed(cut(_shared(rows, nodes)), sets))
-        nodes = _merged(nodes, _links_between(rows, nodes, sets))
+        nodes = _merged(nodes, confirmed(cut(_shared(rows, nodes)), sets), n)
+        nodes = _merged(nodes, _links_between(rows, nodes, sets), n)
     return nodes.select(F.col("node").alias("mark"), F.col("label").alias("root"))
 
 
