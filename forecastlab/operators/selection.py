@@ -242,9 +242,14 @@ def synthetic_labels(df: DataFrame, p: str = "p", market: str = "m", won: str =
 
 
 def top_k_per_slate(scored: DataFrame, k: int, score: str = "score", slate: tuple[str, ...] = ("day", "tour"), tie: str = "id") -> DataFrame:
-    """The k best of each slate of more than k candidates; equals by id. Slates of a day are small."""
+    """The k best of each slate of more than k candidates; equals by id.
+
+    The k + 1 best say which slates have more than k. Ranks that are only limited are cut before the shuffle, so a task
+    holds k + 1 rows of a slate for each part of the input, however large slates are.
+    """
     w = Window.partitionBy(*slate)
-    return scored.withColumns({"_n": F.count("*").over(w), "_i": F.row_number().over(w.orderBy(F.desc(score), tie))}).filter((c("_n") > k) & (c("_i") <= k)).drop("_n", "_i")
+    best = scored.withColumn("_i", F.row_number().over(w.orderBy(F.desc(score), tie))).filter(c("_i") <= k + 1)
+    return best.withColumn("_n", F.max("_i").over(w)).filter((c("_n") > k) & (c("_i") <= k)).drop("_n", "_i")
 
 
 def slate_metrics(picks: DataFrame, pool: DataFrame, by: list[str]) -> DataFrame:
