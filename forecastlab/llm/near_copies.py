@@ -271,15 +271,15 @@ def confirmed(pairs: DataFrame, sets: DataFrame, hot: int = 20_000) -> DataFrame
     The homes of over hot pairs, whose number is that of all pairs by hot at most, go to their pairs one batch of
     pairs at a time: their pairs are spread by the guest, and a copy of the home's set comes to each spread.
     """
-    counts = cut(pairs.groupBy("home").agg(F.count("*").alias("n")).filter(F.col("n") > hot).withColumn("spread", F.ceil(F.col("n") / hot).cast("int")))
+    counts = cut(few(pairs.groupBy("home").agg(F.count("*").alias("n")), pairs.count()).filter(F.col("n") > hot).withColumn("spread", F.ceil(F.col("n") / hot).cast("int")))
     with_guest = pairs.join(sets.select(F.col("node").alias("guest"), F.col("hashes").alias("guest_set")), "guest")
     homes = sets.select(F.col("node").alias("home"), F.col("hashes").alias("home_set"))
     if counts.isEmpty():
         both = with_guest.join(homes, "home")
     else:
-        few = F.broadcast(counts.select("home", "spread"))  # a row for each hot home
-        dealt = with_guest.join(few, "home", "left").withColumn("at", F.pmod(F.xxhash64("guest"), F.coalesce("spread", F.lit(1))).cast("int")).drop("spread")
-        copies = homes.join(few, "home", "left").withColumn("at", F.explode(F.sequence(F.lit(0), F.coalesce("spread", F.lit(1)) - 1))).drop("spread")
+        spread = F.broadcast(counts.select("home", "spread"))  # a row for each hot home
+        dealt = with_guest.join(spread, "home", "left").withColumn("at", F.pmod(F.xxhash64("guest"), F.coalesce("spread", F.lit(1))).cast("int")).drop("spread")
+        copies = homes.join(spread, "home", "left").withColumn("at", F.explode(F.sequence(F.lit(0), F.coalesce("spread", F.lit(1)) - 1))).drop("spread")
         both = dealt.join(copies, ["home", "at"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -377,10 +377,11 @@ def _links_between(rows: DataFrame, nodes: DataFrame, sets: DataFrame, block: in
 def _merged(nodes: DataFrame, links: DataFrame, n: int) -> DataFrame:
     """n nodes with the labels of the components that links (guest, home) make of theirs."""
     good = cut(links)
-    if good.isEmpty():
+    if (k := good.count()) == 0:
         return nodes
     of = lambda side: nodes.select(F.col("node").alias(side), F.col("label").alias(f"label_{side}"))
-    roots = components(good.join(of("guest"), "guest").join(of("home"), "home").select(F.col("label_guest").alias("a"), F.col("label_home").alias("b")))
+    found = few(few(few(good, k).join(of("guest"), "guest"), k).join(of("home"), "home"), k)
+    roots = components(found.select(F.col("label_guest").alias("a"), F.col("label_home").alias("b")))
     return cut(few(nodes.join(roots.select(F.col("node").alias("label"), "root"), "label", "left").select("node", F.coalesce("root", "label").alias("label")), n))
 
 
