@@ -40,14 +40,19 @@ def sparkline(points: DataFrame, n: int = 5, invert: bool = False) -> DataFrame:
     return placed.filter(chosen).groupBy("token_id").agg(text.alias("line"))
 
 
-def book_summary(levels: DataFrame) -> DataFrame:
-    """A row a book: for each side the best price, the size there, the value and the number of levels; nulls for an empty side."""
-    one = levels.groupBy("market_id", "side", "price").agg(F.sum("size").alias("s"), F.count("*").alias("k"), F.sum(F.col("price") * F.col("size")).alias("v"))
+def book_summary(levels: DataFrame, per_task: int = 500_000) -> DataFrame:
+    """A row a book: for each side the best price, the size there, the value and the number of levels; nulls for an empty side.
+
+    Prices and then books are dealt to tasks of about per_task levels each before they are summed, so that what a task
+    holds does not grow with the table: few levels of a book share a price, and summing where they are read would hold nearly all.
+    """
+    tasks = max(int(levels.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-levels.count() // per_task))
+    one = levels.repartition(tasks, "market_id", "side", "price").groupBy("market_id", "side", "price").agg(F.sum("size").alias("s"), F.count("*").alias("k"), F.sum(F.col("price") * F.col("size")).alias("v"))
     cols = []
     for name, best in (("bid", F.max_by), ("ask", F.min_by)):
         here = F.col("side") == name
         cols += [(F.max if name == "bid" else F.min)(F.when(here, F.col("price"))).alias(f"{name}_top"), best(F.when(here, F.col("s")), F.when(here, F.col("price"))).alias(f"{name}_size"), F.sum(F.when(here, F.col("v"))).alias(f"{name}_value"), F.coalesce(F.sum(F.when(here, F.col("k"))), F.lit(0)).alias(f"{name}_depth")]
-    return one.groupBy("market_id").agg(*cols)
+    return one.repartition(tasks, "market_id").groupBy("market_id").agg(*cols)
 
 
 def build_backtest_rows(points: DataFrame, anchors: DataFrame) -> DataFrame:
